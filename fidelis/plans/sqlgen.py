@@ -7,11 +7,11 @@ from collections.abc import Sequence
 
 def melt_sql(src: str, ids: Sequence[str], variables: Sequence[str], *, dtype: str = "DOUBLE",
              drop_nulls: bool = True, value: str = "value") -> str:
-    idl = ", ".join(ids)
+    idl = "".join(f"{i}, " for i in ids)
     parts = []
     for v in variables:
         where = f" WHERE {v} IS NOT NULL" if drop_nulls else ""
-        parts.append(f"SELECT {idl}, '{v}' AS variable, CAST({v} AS {dtype}) AS {value} FROM {src}{where}")
+        parts.append(f"SELECT {idl}'{v}' AS variable, CAST({v} AS {dtype}) AS {value} FROM {src}{where}")
     return "\nUNION ALL\n".join(parts)
 
 

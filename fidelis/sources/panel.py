@@ -10,10 +10,13 @@ both engines produce bit-identical indicator values.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fidelis.operators.order import with_row_index
+from fidelis.session import checkpoint_dir
 
 # --- fixed values of the panel rule -------------------------------------------------
 # noise e_k = ((l_orderkey*A + l_linenumber*B + l_partkey*K) % M) / M * 3.4641 - 1.7320
@@ -105,8 +108,44 @@ def panel_from_lineitem(lineitem: DataFrame, *, extended: bool = False, with_row
     return df
 
 
-def load_panel(spark: SparkSession, sf_dir: str, *, extended: bool = False, with_row_id: bool = False) -> DataFrame:
-    return panel_from_lineitem(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), extended=extended, with_row_id=with_row_id)
+def load_panel(spark: SparkSession, sf_dir: str, *, extended: bool = False, with_row_id: bool = False,
+               materialize: bool = True) -> DataFrame:
+    """The panel of ``sf_dir``'s lineitem.
+
+    By default the panel is derived once and written as Parquet, partitioned by
+    technique, under the shared checkpoint folder; later evaluators read it back
+    (REAL-only statistics then prune to REAL's files).  The folder name carries the
+    source's size and modification time, so a changed source is derived anew.
+    """
+    src = f"{sf_dir}/lineitem.parquet"
+    if not materialize:
+        return panel_from_lineitem(spark.read.parquet(src), extended=extended, with_row_id=with_row_id)
+    tag = f"{'x' if extended else 'b'}{'r' if with_row_id else 'n'}-{source_fingerprint(spark, src)}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/panel-{tag}"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        df = panel_from_lineitem(spark.read.parquet(src), extended=extended, with_row_id=with_row_id)
+        df.write.mode("overwrite").partitionBy("technique").parquet(path)
+    df = spark.read.parquet(path)
+    order = ["technique", "replicate"] + (["row_id"] if with_row_id else []) + VARIABLES
+    if extended:
+        order += ["l_returnflag", "l_linestatus", "l_linenumber", "o1", SENSITIVE]
+    return df.select(*order)
+
+
+def source_fingerprint(spark: SparkSession, path: str) -> str:
+    jvm = spark._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    summary = fs.getContentSummary(hpath)
+    status = fs.getFileStatus(hpath)
+    raw = f"{fs.makeQualified(hpath).toString()}|{summary.getLength()}|{summary.getFileCount()}|{status.getModificationTime()}"
+    return hashlib.sha1(raw.encode()).hexdigest()[:16]
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath))
 
 
 # ---------------------------------------------------------------- SQL twin (oracle side)
