@@ -17,6 +17,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,7 +71,8 @@ def _running_sums(keys: list[str], x: str, weights: list[str]):
             pdf = batch.to_pandas()
             kdf = pdf[keys]
             # group boundaries inside the batch (data are sorted by keys, x)
-            key_tuples = list(kdf.itertuples(index=False, name=None)) if len(keys) > 1 else list(kdf.iloc[:, 0])
+            first_key = tuple(kdf.iloc[0]) if len(keys) > 1 else kdf.iloc[0, 0]
+            last_key = tuple(kdf.iloc[-1]) if len(keys) > 1 else kdf.iloc[-1, 0]
             new_group = np.ones(len(pdf), dtype=bool)
             if len(pdf) > 1:
                 same = np.ones(len(pdf) - 1, dtype=bool)
@@ -80,7 +82,7 @@ def _running_sums(keys: list[str], x: str, weights: list[str]):
                     eq = (a == b) | (pd.isna(a) & pd.isna(b))
                     same &= eq
                 new_group[1:] = ~same
-            cont = key_tuples[0] == carry_key  # first group continues the previous batch's key
+            cont = first_key == carry_key  # first group continues the previous batch's key
             new_group[0] = True
             gid = np.cumsum(new_group)
             out = {k: pdf[k] for k in keys}
@@ -97,7 +99,7 @@ def _running_sums(keys: list[str], x: str, weights: list[str]):
             if cont:
                 dense[gid == 1] += carry_dense
             carry_dense = int(dense[-1])
-            carry_key = key_tuples[-1]
+            carry_key = last_key
             out["_dense"] = dense
             out["_pid"] = np.full(len(pdf), pid, dtype=np.int32)
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out), preserve_index=False)
@@ -120,7 +122,10 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], x: str, weights: Seque
         + [f for w in weights for f in (T.StructField(w, T.LongType()), T.StructField(f"_cum_{w}", T.LongType()))]
         + [T.StructField("_dense", T.LongType()), T.StructField("_pid", T.IntegerType())]
     )
-    local = cut_lineage(ranged.mapInArrow(_running_sums(keys, x, weights), schema))
+    # Cached, not checkpointed: (keys, x) rows are distinct and sorted, so a lost block is
+    # recomputed bit-identically from the same range partitioner; both readers below see
+    # the same partition ids.
+    local = ranged.mapInArrow(_running_sums(keys, x, weights), schema).persist(StorageLevel.MEMORY_AND_DISK)
     # per (partition, key) totals -> offsets of earlier partitions of the same key
     agg = [F.max(f"_cum_{w}").alias(f"_t_{w}") for w in weights] + [F.max("_dense").alias("_t_dense")]
     parts = local.groupBy("_pid", *keys).agg(*agg)
