@@ -249,3 +249,161 @@ def latent_scores(df: DataFrame, results: DataFrame, model: dict[str, Sequence[s
             e = t if e is None else e + t
         scores.append(e.alias(f"LV_{c}"))
     return j.select(*df.columns, *scores)
+
+
+# ------------------------------------------------------------------ bootstrap (all draws in one pass over rows)
+
+_POISSON1_CDF = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(20)])
+
+
+def _splitmix(x: np.ndarray) -> np.ndarray:
+    x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
+    z = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def poisson_weights(row_ids: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """Poisson(1) weight of every (row, draw), a pure function of (row id, draw, seed)."""
+    with np.errstate(over="ignore"):
+        key = row_ids.astype(np.uint64)[:, None] * np.uint64(0x100000001B3) \
+            + np.arange(draws, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B1) + np.uint64(seed)
+        u = (_splitmix(key) >> np.uint64(11)).astype(np.float64) / float(2 ** 53)
+    return np.searchsorted(_POISSON1_CDF, u, side="right").astype(np.float64)
+
+
+def bootstrap_fit(df: DataFrame, model: dict[str, Sequence[str]], structure: Sequence[tuple[str, str]], draws: int = 2000,
+                  seed: int = 123, by=DATASET, row_id: str = "row_id") -> DataFrame:
+    """Path coefficients of ``draws`` Poisson-bootstrap resamples per dataset.
+
+    One pass over rows: every partition emits, per dataset and draw, weighted sums
+    (sum w, sum w x, sum w x x') of the centred items (a BLAS product of the weight
+    matrix with the row-wise outer products); a (dataset, draw) group then merges at
+    most one partial per partition and solves the PLS model."""
+    by = list(by)
+    items = [i for c in model for i in model[c]]
+    p = len(items)
+    means = df.groupBy(*by).agg(*[F.avg(i).alias(f"_m_{i}") for i in items])
+    cen = df.join(F.broadcast(means), by).select(*by, row_id, *[(F.col(i) - F.col(f"_m_{i}")).alias(i) for i in items])
+    cen = cen.dropna(subset=items)
+    part_schema = T.StructType([df.schema[b] for b in by] + [
+        T.StructField("draw", T.IntegerType()), T.StructField("s0", T.DoubleType()),
+        T.StructField("s1", T.ArrayType(T.DoubleType())), T.StructField("s2", T.ArrayType(T.DoubleType()))])
+
+    def partials(batches):
+        acc: dict = {}
+        for pdf in batches:
+            for key, g in pdf.groupby(by, sort=False):
+                key = key if isinstance(key, tuple) else (key,)
+                x = g[items].to_numpy(dtype=np.float64)
+                w = poisson_weights(g[row_id].to_numpy(), draws, seed)
+                z = (x[:, :, None] * x[:, None, :]).reshape(len(x), p * p)
+                s = (w.sum(0), w.T @ x, w.T @ z)
+                if key in acc:
+                    acc[key] = tuple(a + b for a, b in zip(acc[key], s))
+                else:
+                    acc[key] = s
+        for key, (s0, s1, s2) in acc.items():
+            out = {b: [k] * draws for b, k in zip(by, key)}
+            out["draw"] = np.arange(draws, dtype=np.int32)
+            out["s0"] = s0
+            out["s1"] = list(s1)
+            out["s2"] = list(s2)
+            yield pd.DataFrame(out)
+
+    part = cen.mapInPandas(partials, part_schema)
+    names = list(model)
+    pos = {v: k for k, v in enumerate(items)}
+    blocks = [[pos[i] for i in model[c]] for c in names]
+    cid = {c: k for k, c in enumerate(names)}
+    paths = [(cid[a], cid[b]) for a, b in structure]
+    out_schema = T.StructType([df.schema[b] for b in by] + [
+        T.StructField("draw", T.IntegerType()), T.StructField("iv", T.StringType()), T.StructField("dv", T.StringType()),
+        T.StructField("effect", T.StringType()), T.StructField("value", T.DoubleType())])
+
+    def merge_fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        s0 = pdf["s0"].sum()
+        s1 = np.sum(np.stack(pdf["s1"].to_numpy()), axis=0)
+        s2 = np.sum(np.stack(pdf["s2"].to_numpy()), axis=0).reshape(p, p)
+        mu = s1 / s0
+        cov = s2 / s0 - np.outer(mu, mu)
+        sd = np.sqrt(np.diag(cov))
+        r = cov / np.outer(sd, sd)
+        fit = pls_solve(r, blocks, paths, int(s0))
+        total = np.linalg.inv(np.eye(len(names)) - fit["B"]) - np.eye(len(names))
+        rows = []
+        head = [pdf[b].iloc[0] for b in by] + [int(pdf["draw"].iloc[0])]
+        for a, b in structure:
+            rows.append((*head, a, b, "direct", float(fit["B"][cid[a], cid[b]])))
+        for i, a in enumerate(names):
+            for j, b in enumerate(names):
+                if i != j and abs(total[i, j]) > 0:
+                    rows.append((*head, a, b, "total", float(total[i, j])))
+        return pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])
+
+    return part.groupBy(*by, "draw").applyInPandas(merge_fit, out_schema)
+
+
+def bootstrap_summary(boot: DataFrame, estimates: DataFrame, by=DATASET) -> DataFrame:
+    """Original estimate, bootstrap mean and SD, t, two-sided normal p and 95 % percentile CI."""
+    from fidelis.functions.stats import two_sided_p
+
+    by = list(by)
+    s = boot.groupBy(*by, "iv", "dv", "effect").agg(
+        F.avg("value").alias("boot_mean"), F.stddev_samp("value").alias("boot_sd"),
+        F.percentile("value", 0.025).alias("ci_95l"), F.percentile("value", 0.975).alias("ci_95u"))
+    j = estimates.join(s, [*by, "iv", "dv", "effect"])
+    t = F.col("estimate") / F.col("boot_sd")
+    return j.withColumn("t_stat", t).withColumn("p_value", two_sided_p(F.col("t_stat")))
+
+
+def path_estimates(results: DataFrame, by=DATASET) -> DataFrame:
+    direct = results.filter((F.col("sheet") == "paths") & (F.col("metric") == "beta")).select(
+        *by, F.col("key1").alias("iv"), F.col("key2").alias("dv"), F.lit("direct").alias("effect"),
+        F.col("value").alias("estimate"))
+    total = results.filter(F.col("sheet") == "total_effects").select(
+        *by, F.col("key1").alias("iv"), F.col("key2").alias("dv"), F.lit("total").alias("effect"),
+        F.col("value").alias("estimate"))
+    return direct.unionByName(total)
+
+
+def indirect_effects(boot: DataFrame, estimates: DataFrame, mediations: Sequence[tuple[str, str, str]], by=DATASET) -> DataFrame:
+    """a*b for IV -> M -> DV: estimate, bootstrap mean, SD, t, 95 % percentile CI, p."""
+    from fidelis.functions.stats import two_sided_p
+
+    by = list(by)
+    parts = []
+    for iv, med, dv in mediations:
+        a = boot.filter((F.col("iv") == iv) & (F.col("dv") == med) & (F.col("effect") == "direct")).select(*by, "draw", F.col("value").alias("a"))
+        b = boot.filter((F.col("iv") == med) & (F.col("dv") == dv) & (F.col("effect") == "direct")).select(*by, "draw", F.col("value").alias("b"))
+        ab = a.join(b, [*by, "draw"]).select(*by, (F.col("a") * F.col("b")).alias("ab")).groupBy(*by).agg(
+            F.avg("ab").alias("boot_mean"), F.stddev_samp("ab").alias("std_err"),
+            F.percentile("ab", 0.025).alias("ci_95l"), F.percentile("ab", 0.975).alias("ci_95u"))
+        ea = estimates.filter((F.col("iv") == iv) & (F.col("dv") == med) & (F.col("effect") == "direct")).select(*by, F.col("estimate").alias("ea"))
+        eb = estimates.filter((F.col("iv") == med) & (F.col("dv") == dv) & (F.col("effect") == "direct")).select(*by, F.col("estimate").alias("eb"))
+        e = ea.join(eb, by).select(*by, (F.col("ea") * F.col("eb")).alias("indirect_b"))
+        parts.append(e.join(ab, by).select(*by, F.lit(iv).alias("iv"), F.lit(med).alias("mediator"), F.lit(dv).alias("dv"),
+                                           "indirect_b", "boot_mean", "std_err", "ci_95l", "ci_95u"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    t = F.col("indirect_b") / F.col("std_err")
+    return out.withColumn("t_stat", t).withColumn("p_value", two_sided_p(F.col("t_stat")))
+
+
+def mediation_summary(results: DataFrame, mediations: Sequence[tuple[str, str, str]], by=DATASET) -> DataFrame:
+    """a, b, c' (direct), a*b and total from the standardised paths, only when all exist."""
+    by = list(by)
+    beta = results.filter((F.col("sheet") == "paths") & (F.col("metric") == "beta"))
+    parts = []
+    for iv, med, dv in mediations:
+        def one(x, y, name):
+            return beta.filter((F.col("key1") == x) & (F.col("key2") == y)).select(*by, F.col("value").alias(name))
+        m = one(iv, med, "a_std").join(one(med, dv, "b_std"), by).join(one(iv, dv, "cprime_std"), by)
+        parts.append(m.select(*by, F.lit(iv).alias("iv"), F.lit(med).alias("mediator"), F.lit(dv).alias("dv"), "a_std", "b_std",
+                              "cprime_std", (F.col("a_std") * F.col("b_std")).alias("indirect_ab_std"),
+                              (F.col("cprime_std") + F.col("a_std") * F.col("b_std")).alias("total_std")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
