@@ -183,7 +183,10 @@ class Estimates:
         limit = _chi2_quantile(1 - TAIL, len(FEATURES))
         far = lookup_join(self._grouped(stats), self.params, KEYS)
         far = far.withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
-        return far.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= limit))
+        # one CASE over both sides of the join: a conjunct on base_failed alone would be pushed below
+        # the statistics, and the optimiser would unfold them there for every window of a text
+        good = F.when(F.coalesce(F.col("distance2"), F.lit(0.0)) > limit, False).otherwise(~F.col("base_failed"))
+        return far.withColumn("kept", F.when(F.col("_l00").isNull(), ~F.col("base_failed")).otherwise(good))
 
 
 def _statistics(docs: DataFrame, *carry: Column) -> DataFrame:
