@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fidelis.llm.common import materialise
@@ -74,8 +74,8 @@ def _with_fingerprints(shingle: int):
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, _fp of every row, written to the shared folder."""
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("_text"))
+    """doc_id, _th (hash of the text), _fp of every row, written to the shared folder."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_text"))
     schema = rows.drop("_text").withColumn("_fp", F.lit(0).cast("long")).schema
     return materialise(rows.mapInArrow(_with_fingerprints(shingle), schema), "simhash")
 
@@ -197,7 +197,7 @@ def star_components(links: DataFrame) -> DataFrame:
 
 
 def components(prints: DataFrame) -> DataFrame:
-    """Per fingerprint: _fp, component_id (smallest doc_id reachable)."""
+    """Per fingerprint: _fp, _root (names the component), component_id (smallest doc_id reachable)."""
     spark = prints.sparkSession
     entries = materialise(prints.groupBy("_fp").agg(F.min("doc_id").alias("_least")), "simhash-entries")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -208,7 +208,7 @@ def components(prints: DataFrame) -> DataFrame:
         entries.join(roots, F.col("_fp") == F.col("node"), "left")
         .select("_fp", "_least", F.coalesce("root", "_fp").alias("_root")), "simhash-roots")
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return rooted.join(least, "_root").select("_fp", "component_id")
+    return rooted.join(least, "_root").select("_fp", "_root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -223,12 +223,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row of ``docs`` for every component, that of the smallest doc_id; columns unchanged.
 
-    Of several rows with that doc_id in one component, one stays.
+    Of several rows with that doc_id in one component, that of the smallest text hash stays.
     """
     prints = fingerprints(docs, shingle)
     found = materialise(components(prints), "simhash-components")
-    kept = materialise(found.groupBy(F.col("component_id").alias("_id")).agg(F.min("_fp").alias("_any")).select("_id"), "simhash-kept")
+    least = prints.join(found, "_fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = materialise(
+        least.groupBy("_root").agg(F.min(F.struct("doc_id", "_th")).alias("_k")).select(_name(F.col("_k.doc_id")), "_k._th"),
+        "simhash-kept")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(F.col("doc_id").alias("_doc"), row)
-    stay = rows.join(kept, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
-    return stay.dropDuplicates(["_doc"]).select("_row.*")
+    rows = docs.select(_name(F.col("doc_id")), F.xxhash64("text").alias("_th"), row)
+    # join and dropDuplicates share one shuffle of the texts
+    return rows.join(kept, ["_name", "_th"], "left_semi").dropDuplicates(["_name", "_th"]).select("_row.*")
+
+
+def _name(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.lit("null")).alias("_name")
