@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fidelis.llm import decontam, mixing, quality, sharding, simhash, substring
+from fidelis.llm import decontam, mixing, pii, quality, sharding, simhash, substring
 from fidelis.llm.common import read_table
 
 
@@ -28,9 +28,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents")).drop("distance2")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op4_shard, op5_substring_dedup, op8_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op4_shard, op5_substring_dedup, op8_simhash, op9_pii, op10_quality_rules)}
 ORACLES = {"op1_mix_sources": mixing.MIX_SQL}
