@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fidelis.llm import decontam, mixing, pii, quality, sharding, simhash, substring
+from fidelis.llm import decontam, mixing, pii, quality, sharding, simhash, substring, tokens, warc
 from fidelis.llm.common import read_table
 
 
@@ -16,6 +16,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(read_table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.document_tokens(read_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -36,5 +44,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents")).drop("distance2")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op4_shard, op5_substring_dedup, op8_simhash, op9_pii, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_warc, op4_shard, op5_substring_dedup, op6_token_counts, op8_simhash, op9_pii, op10_quality_rules)}
 ORACLES = {"op1_mix_sources": mixing.MIX_SQL}
