@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fidelis.llm import decontam, mixing, pii, quality, sharding, simhash, substring, tokens, warc
+from fidelis.llm import decontam, lines, mixing, pii, quality, sharding, simhash, substring, tokens, warc
 from fidelis.llm.common import read_table
 
 
@@ -32,6 +32,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.document_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents")).drop("distance2")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_warc, op4_shard, op5_substring_dedup, op6_token_counts, op8_simhash, op9_pii, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_warc, op4_shard, op5_substring_dedup, op6_token_counts, op7_line_dedup, op8_simhash, op9_pii, op10_quality_rules)}
 ORACLES = {"op1_mix_sources": mixing.MIX_SQL}
