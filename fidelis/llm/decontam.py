@@ -8,8 +8,8 @@ until none of ``TILE`` words is left.  The document is contaminated when the mar
 cover at least ``COVERAGE`` of an item's words, so a reordered passage is caught too.
 
 The benchmark is a query set: it is read in blocks of at most ``BLOCK_WORDS`` words, each
-broadcast and held against all documents in one pass without a shuffle.  Items of equal
-words are held once, under their smallest item_id.  Memory is one block and one batch.
+broadcast and held against all documents in one pass without a shuffle.  Items of one
+text (case aside) are held once, under their smallest item_id.  Memory is one block and one batch.
 
 Defined cases: null and empty texts are clean; items without words are left out; items
 shorter than ``TILE`` words are sought whole; an empty table on either side flags nothing;
@@ -33,7 +33,6 @@ from fidelis.llm.common import materialise
 TILE = 5
 COVERAGE = 0.6
 BLOCK_WORDS = 2_000_000
-PIECE = 1 << 20  # characters that are split into words at a time
 
 _DROP = re.compile(r"[^\w\s]+")
 _BASE = 0x9E3779B97F4A7C15  # odd multiplier of the rolling hash
@@ -145,11 +144,11 @@ def covered(items: Items, text: str | None, least: float = COVERAGE) -> list[tup
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
     """Benchmark items of different words in blocks of bounded size, read one partition after the other."""
-    clean = F.lower(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[^\p{L}\p{N}_\s]+", ""))
-    one = benchmark.groupBy(F.xxhash64(clean).alias("_h"), clean.alias("_t")).agg(F.min("item_id").alias("item_id")).filter("_t != ''")
+    text = F.lower(F.trim(F.coalesce(F.col("text"), F.lit(""))))
+    one = benchmark.groupBy(text.alias("_t")).agg(F.min("item_id").alias("item_id")).filter("_t != ''")
     block, size = [], 0
-    for row in materialise(one.select("item_id", "_t"), "benchmark").toLocalIterator():
-        n = row["_t"].count(" ") + 1
+    for row in materialise(one, "benchmark").toLocalIterator():
+        n = len(row["_t"].split())
         if block and size + n > block_words:
             yield block
             block, size = [], 0

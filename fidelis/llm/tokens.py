@@ -37,7 +37,6 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 END = 50256
 DTYPE = "<u2"
 BLOCK = 4 << 20
-PIECE = 1 << 20  # characters that are tokenised at a time
 
 
 @lru_cache(maxsize=1)
