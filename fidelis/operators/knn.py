@@ -214,11 +214,11 @@ def knn(query: DataFrame, ref: DataFrame, features: Sequence[str], k: int = 1, *
         blocks = q_sizes.join(r_sizes, [*keys, *cell_cols]).select(
             *keys, *cell_cols, F.ceil(F.col("_nq") / Q_BLOCK).cast("int").alias("_sq"),
             F.ceil(F.col("_nr") / R_BLOCK).cast("int").alias("_sr"))
-        blocks = cut_lineage(blocks)  # one row per non-empty cell: bounded by the grid size
-        qb = ex.join(F.broadcast(blocks), [*keys, *cell_cols]).select(
+        blocks = cut_lineage(blocks)  # one row per non-empty cell; joined by shuffle, it grows with REAL
+        qb = ex.join(blocks, [*keys, *cell_cols]).select(
             "*", F.pmod(F.xxhash64(*[F.col(c) for c in ident]), F.col("_sq")).cast("int").alias("_qs"),
             F.explode(F.sequence(F.lit(0), F.col("_sr") - 1)).alias("_rs")).drop("_sq", "_sr")
-        rb = rside.join(F.broadcast(blocks), [*keys, *cell_cols]).select(
+        rb = rside.join(blocks, [*keys, *cell_cols]).select(
             "*", F.pmod(F.xxhash64("_rid"), F.col("_sr")).cast("int").alias("_rs"),
             F.explode(F.sequence(F.lit(0), F.col("_sq") - 1)).alias("_qs")).drop("_sq", "_sr")
         gkeys = [*keys, *cell_cols, "_qs", "_rs"]

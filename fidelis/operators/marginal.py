@@ -62,13 +62,14 @@ def boundary_adherence(panel: DataFrame, variables: Sequence[str], real: str = R
 
 def category_adherence(panel: DataFrame, variables: Sequence[str], real: str = REAL, by=("technique",)) -> DataFrame:
     """Share of non-null values whose category occurs in REAL (values compared as strings)."""
-    long = _long(panel, variables, by, dtype="string")
-    cats = long.filter(F.col("technique") == real).select("variable", "value").distinct().withColumn("_hit", F.lit(1.0))
-    # size of ``cats`` is the number of REAL categories: Spark broadcasts it only under its size threshold
+    counts = _long(panel, variables, by_all := list(dict.fromkeys(["technique", *by])), dtype="string").groupBy(
+        *by_all, "variable", "value").agg(F.count(F.lit(1)).alias("_n"))
+    cats = counts.filter(F.col("technique") == real).select("variable", "value").distinct().withColumn("_hit", F.lit(True))
+    # one row per category on both sides
     return (
-        long.join(cats, ["variable", "value"], "left")
+        counts.join(cats, ["variable", "value"], "left")
         .groupBy(*by, "variable")
-        .agg(F.avg(F.coalesce(F.col("_hit"), F.lit(0.0))).alias("category_adherence"))
+        .agg((F.sum(F.when(F.col("_hit"), F.col("_n")).otherwise(0)) / F.sum("_n")).alias("category_adherence"))
     )
 
 
@@ -250,10 +251,20 @@ def ks_two_sample(panel: DataFrame, variables: Sequence[str], real: str = REAL,
                   by=("technique", "replicate"), min_n: int = 20) -> DataFrame:
     """KS statistic max|F_r - F_s| and asymptotic p-value; null when either side has < min_n values."""
     by = list(by)
-    cdf = two_sample_cdf(panel, variables, real, by)
-    g = cdf.groupBy(*by, "variable").agg(
-        F.max(F.abs(F.col("f_r") - F.col("f_s"))).alias("d"),
-        F.first("tot_w_r").alias("n_r"), F.first("tot_w_s").alias("n_s"))
+    long = _long(panel, variables, by).withColumnRenamed("value", "x")
+    is_real = F.col("technique") == real
+    sample = long.filter(~is_real).groupBy(*by, "variable", "x").agg(F.count(F.lit(1)).alias("w"))
+    sample = cumulative_counts(sample, [*by, "variable"], "x", ["w"])
+    # REAL's CDF is wanted at the samples' values only: one order per variable, REAL not repeated per sample
+    values = long.groupBy("variable", "x").agg(F.count(F.when(is_real, 1)).alias("w_r"))
+    at = cumulative_counts(values, ["variable"], "x", ["w_r"]).select("variable", "x", "w_r", "cum_w_r", "tot_w_r")
+    j = sample.join(at, ["variable", "x"])
+    # between two values of the sample its CDF is constant, so the largest gap lies at a value or just before it
+    f_r, f_before = F.col("cum_w_r") / F.col("tot_w_r"), (F.col("cum_w_r") - F.col("w_r")) / F.col("tot_w_r")
+    f_s, s_before = F.col("cum_w") / F.col("tot_w"), (F.col("cum_w") - F.col("w")) / F.col("tot_w")
+    g = j.groupBy(*by, "variable").agg(
+        F.max(F.greatest(F.abs(f_r - f_s), F.abs(f_before - s_before))).alias("d"),
+        F.first("tot_w_r").alias("n_r"), F.first("tot_w").alias("n_s"))
     ok = (F.col("n_r") >= min_n) & (F.col("n_s") >= min_n)
     nr, ns = F.col("n_r").cast("double"), F.col("n_s").cast("double")
     en = nr * ns / (nr + ns)

@@ -5,24 +5,18 @@ window: range-partition + local sort, per-partition sizes (one row per partition
 prefix offsets over that tiny table, broadcast back.
 
 ``cumulative_counts`` gives, for every distinct (key, x), the weight of values
-<= x within its key (a CDF) across partitions the same way: range partition on
-(key, x), running sums inside each partition (Arrow batches), then per-(partition,
-key) totals -> offsets.  The offset table has at most partitions + keys rows.
+<= x within its key (a CDF) the same way: range slices on (key, x), running sums
+inside each slice and key, per-(slice, key) totals -> offsets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fidelis.session import cut_lineage
+from fidelis.session import cut_lineage, materialise
 
 
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -55,92 +49,38 @@ def with_row_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_id
     )
 
 
-def _running_sums(keys: list[str], x: str, weights: list[str]):
-    """mapInArrow body: within one (sorted) partition, running sums of the weights per key."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carry_key = None
-        carry = np.zeros(len(weights))
-        carry_dense = 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            pdf = batch.to_pandas()
-            kdf = pdf[keys]
-            # group boundaries inside the batch (data are sorted by keys, x)
-            first_key = tuple(kdf.iloc[0]) if len(keys) > 1 else kdf.iloc[0, 0]
-            last_key = tuple(kdf.iloc[-1]) if len(keys) > 1 else kdf.iloc[-1, 0]
-            new_group = np.ones(len(pdf), dtype=bool)
-            if len(pdf) > 1:
-                same = np.ones(len(pdf) - 1, dtype=bool)
-                for k in keys:
-                    col = kdf[k].to_numpy()
-                    a, b = col[1:], col[:-1]
-                    eq = (a == b) | (pd.isna(a) & pd.isna(b))
-                    same &= eq
-                new_group[1:] = ~same
-            cont = first_key == carry_key  # first group continues the previous batch's key
-            new_group[0] = True
-            gid = np.cumsum(new_group)
-            out = {k: pdf[k] for k in keys}
-            out[x] = pdf[x]
-            for i, w in enumerate(weights):
-                vals = pdf[w].to_numpy(dtype=np.int64)
-                cs = pd.Series(vals).groupby(gid).cumsum().to_numpy()
-                if cont:
-                    cs[gid == 1] += int(carry[i])
-                out[w] = vals
-                out[f"_cum_{w}"] = cs
-                carry[i] = cs[-1]
-            dense = pd.Series(np.ones(len(pdf), dtype=np.int64)).groupby(gid).cumsum().to_numpy()
-            if cont:
-                dense[gid == 1] += carry_dense
-            carry_dense = int(dense[-1])
-            carry_key = last_key
-            out["_dense"] = dense
-            out["_pid"] = np.full(len(pdf), pid, dtype=np.int32)
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out), preserve_index=False)
-
-    return run
-
-
 def cumulative_counts(df: DataFrame, keys: Sequence[str], x: str, weights: Sequence[str],
                       num_partitions: int | None = None) -> DataFrame:
     """For distinct (keys, x) rows with integer weight columns, append per weight ``w``:
     ``cum_w`` = sum of w over values <= x in the key, ``tot_w`` = key total, and
     ``pos`` = dense 1-based position of x within its key.
-    """
+
+    The range slice of a row is stored with the row, in a written table, and both the
+    running sums and the offsets read that table: nothing depends on two evaluations of
+    one range exchange agreeing.  A hot key is spread over its slices."""
     keys, weights = list(keys), list(weights)
     n = _num_partitions(df, num_partitions)
-    ranged = df.select(*keys, x, *weights).repartitionByRange(n, *keys, x).sortWithinPartitions(*keys, x)
-    schema = T.StructType(
-        [ranged.schema[k] for k in keys]
-        + [ranged.schema[x]]
-        + [f for w in weights for f in (T.StructField(w, T.LongType()), T.StructField(f"_cum_{w}", T.LongType()))]
-        + [T.StructField("_dense", T.LongType()), T.StructField("_pid", T.IntegerType())]
-    )
-    # Cached, not checkpointed: (keys, x) rows are distinct and sorted, so a lost block is
-    # recomputed bit-identically from the same range partitioner; both readers below see
-    # the same partition ids.
-    local = ranged.mapInArrow(_running_sums(keys, x, weights), schema).persist(StorageLevel.MEMORY_AND_DISK)
-    # per (partition, key) totals -> offsets of earlier partitions of the same key
-    agg = [F.max(f"_cum_{w}").alias(f"_t_{w}") for w in weights] + [F.max("_dense").alias("_t_dense")]
-    parts = local.groupBy("_pid", *keys).agg(*agg)
-    wk = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy(*keys)
-    offs = parts.select(
-        "_pid", *keys,
-        *[F.coalesce(F.sum(f"_t_{w}").over(wk), F.lit(0)).alias(f"_o_{w}") for w in weights],
-        *[F.sum(f"_t_{w}").over(wall).alias(f"tot_{w}") for w in weights],
-        F.coalesce(F.sum("_t_dense").over(wk), F.lit(0)).alias("_o_dense"),
-    )
-    # offs has <= partitions + keys rows
-    out = local.join(F.broadcast(offs), ["_pid", *keys])
+    sliced = materialise(
+        df.select(*keys, x, *weights).repartitionByRange(n, *keys, x).withColumn("_slice", F.spark_partition_id()), "slices")
+    # one row per slice and key in it: at most slices + keys rows
+    sums = sliced.groupBy("_slice", *keys).agg(
+        *[F.sum(w).alias(f"_t_{w}") for w in weights], F.count(F.lit(1)).alias("_t_pos"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    offsets = sums.select(
+        F.col("_slice").alias("_at"), *[F.col(k).alias(f"_k_{k}") for k in keys],
+        *[F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0)).alias(f"_o_{w}") for w in weights],
+        *[F.sum(f"_t_{w}").over(whole).alias(f"tot_{w}") for w in weights],
+        F.coalesce(F.sum("_t_pos").over(before), F.lit(0)).alias("_o_pos"))
+    local = Window.partitionBy("_slice", *keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    running = sliced.select(
+        *keys, x, *weights, "_slice", *[F.sum(w).over(local).alias(f"_c_{w}") for w in weights],
+        F.count(F.lit(1)).over(local).alias("_c_pos"))
+    same = F.col("_slice") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = running.join(offsets, same)
     sel = [*keys, x]
     for w in weights:
-        sel += [F.col(w), (F.col(f"_cum_{w}") + F.col(f"_o_{w}")).alias(f"cum_{w}"), F.col(f"tot_{w}")]
-    sel.append((F.col("_dense") + F.col("_o_dense")).alias("pos"))
-    return out.select(*sel)
+        sel += [F.col(w), (F.col(f"_c_{w}") + F.col(f"_o_{w}")).alias(f"cum_{w}"), F.col(f"tot_{w}")]
+    return out.select(*sel, (F.col("_c_pos") + F.col("_o_pos")).alias("pos"))

@@ -45,6 +45,8 @@ def complete_case_steps(df: DataFrame, groups: dict[str, Sequence[str]], by: Seq
         cond = F.lit(True)
         for c in groups[g]:
             cond = cond & F.col(c).isNotNull()
+            if df.schema[c].dataType.typeName() in ("double", "float"):
+                cond = cond & ~F.isnan(c)
         complete[g] = cond
     aggs = [F.count(F.lit(1)).alias("_n0")]
     prefix = F.lit(True)

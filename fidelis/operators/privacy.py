@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fidelis.operators.knn import knn
 from fidelis.operators.marginal import exact_quantiles
+from fidelis.session import materialise
 
 REAL = "REAL"
 DATASET = ["technique", "replicate"]
@@ -28,8 +29,9 @@ def exact_match_rate(panel: DataFrame, columns: Sequence[str], real: str = REAL,
     """Share of synthetic rows whose whole tuple occurs in REAL (duplicates count; nulls never match)."""
     r, s = _split(panel, real)
     tuples = r.select(*columns).distinct().withColumn("_hit", F.lit(1))
-    return s.join(tuples, list(columns), "left").groupBy(*by).agg(
-        F.avg(F.col("_hit").isNotNull().cast("double")).alias("exact_match_rate"))
+    counts = s.groupBy(*by, *columns).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.join(tuples, list(columns), "left").groupBy(*by).agg(
+        (F.sum(F.when(F.col("_hit").isNotNull(), F.col("_n")).otherwise(0)) / F.sum("_n")).alias("exact_match_rate"))
 
 
 def nn_distances(panel: DataFrame, features: Sequence[str], k: int = 1, real: str = REAL, by=DATASET,
@@ -62,28 +64,29 @@ def attribute_disclosure(panel: DataFrame, qi: Sequence[str], sensitive: str, re
     """Nearest REAL row by one-hot QIs (= most equal QIs, first row on ties); share of synthetic
     rows whose sensitive value equals that row's.
 
-    Works on distinct QI tuples: level m joins on every m-subset of the QIs, from all
-    of them down to none; the first level with a candidate fixes the match count."""
+    Works on distinct QI tuples: level m meets every m-subset of the QIs, from all of them
+    down to none, and the first level with a candidate fixes the match count.  REAL is
+    brought to one row per subset tuple before each join, so a join returns one row per
+    synthetic tuple, and only tuples without a candidate go on to the next level."""
     qi = list(qi)
     r, s = _split(panel, real)
-    rt = r.groupBy(*qi).agg(F.min(row_id).alias("_rid"), F.min_by(sensitive, row_id).alias("_sens_r"))
-    st = s.select(*qi).distinct()
+    first = F.struct(F.col("_rid"), F.col("_sens_r"))
+    rt = materialise(r.groupBy(*qi).agg(F.min(row_id).alias("_rid"), F.min_by(sensitive, row_id).alias("_sens_r")), "qi-real")
+    pending = materialise(s.select(*qi).distinct(), "qi-open")
     best = None
-    for m in range(len(qi), -1, -1):
-        level = None
-        for subset in itertools.combinations(qi, m):
-            sub = list(subset)
-            if sub:
-                rs = rt.select(*[F.col(c).alias(f"_r_{c}") for c in sub], "_rid", "_sens_r")
-                j = st.join(rs, [st[c] == rs[f"_r_{c}"] for c in sub]).select(*[st[c] for c in qi], "_rid", "_sens_r")
-            else:
-                # level 0: every REAL tuple qualifies -> the first REAL row overall (two numbers)
-                first = rt.agg(F.min("_rid").alias("_rid"), F.min_by("_sens_r", "_rid").alias("_sens_r")).first()
-                j = st.select(*qi, F.lit(first["_rid"]).alias("_rid"), F.lit(first["_sens_r"]).alias("_sens_r"))
-            level = j if level is None else level.unionByName(j)
-        pick = level.groupBy(*qi).agg(F.min("_rid").alias("_rid"), F.min_by("_sens_r", "_rid").alias("_sens_r"))
-        pick = pick.withColumn("_level", F.lit(m))
-        best = pick if best is None else best.unionByName(pick.join(best.select(*qi), qi, "left_anti"))
+    for m in range(len(qi), 0, -1):
+        level, names = pending, []
+        for i, subset in enumerate(itertools.combinations(qi, m)):
+            level = level.join(rt.groupBy(*subset).agg(F.min(first).alias(f"_b{i}")), list(subset), "left")
+            names.append(f"_b{i}")
+        level = materialise(level.select(*qi, F.array_min(F.array(*names)).alias("_best")), "qi-level")
+        found = level.filter(F.col("_best").isNotNull())
+        best = found if best is None else best.unionByName(found)
+        pending = level.filter(F.col("_best").isNull()).select(*qi)
+    # no equal QI at all: the first REAL row overall (two numbers)
+    anyone = rt.agg(F.min(first).alias("f")).first()["f"]
+    rest = pending.select(*qi, F.struct(F.lit(anyone and anyone["_rid"]).alias("_rid"), F.lit(anyone and anyone["_sens_r"]).alias("_sens_r")).alias("_best"))
+    best = best.select(*qi, "_best._rid", "_best._sens_r").unionByName(rest.select(*qi, "_best._rid", "_best._sens_r"))
     counts = s.groupBy(*by, *qi, sensitive).agg(F.count(F.lit(1)).alias("_n"))
     j = counts.join(best, qi, "left")
     return j.groupBy(*by).agg((F.sum(F.when(F.col(sensitive) == F.col("_sens_r"), F.col("_n")).otherwise(0))
@@ -142,15 +145,10 @@ def dcr_standardized(panel: DataFrame, features: Sequence[str], real: str = REAL
 
 
 def _replicate(rows: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Attach every dataset key to every row: one equi-join per dataset on a constant tag.
+    """Attach every dataset key to every row by one explode over the dataset list.
 
-    The dataset list is collected (its size is the number of replicates); the REAL
-    side is unioned once per dataset, so work grows as rows x datasets, which the
+    The list is one row per replicate; work grows as rows x datasets, which the
     comparison needs anyway."""
-    keys = datasets.collect()
     cols = datasets.columns
-    out = None
-    for k in keys:
-        part = rows.select(*[F.lit(k[c]).alias(c) for c in cols], *rows.columns)
-        out = part if out is None else out.unionByName(part)
-    return out
+    listed = F.array(*[F.struct(*[F.lit(k[c]).alias(c) for c in cols]) for k in datasets.collect()])
+    return rows.select(F.explode(listed).alias("_d"), *rows.columns).select("_d.*", *rows.columns)

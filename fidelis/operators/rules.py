@@ -14,12 +14,29 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fidelis.operators.order import cumulative_counts
 
 DATASET = ["technique", "replicate"]
 
 
+def number(column: str) -> Column:
+    """The column as a number; text that is none and NaN (which Spark ranks above every number) are null."""
+    v = F.col(column).try_cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+# fixed values: the action names of the correction log
+ACTIONS = {
+    "likert": "drop_rows_invalid_likert",
+    "proportion": "drop_rows_invalid_prop",
+    "category": "drop_rows_invalid_category",
+    "ordinal": "drop_rows_invalid_ordinal",
+    "continuous": "drop_rows_invalid_continuous_codebook_real_1sd",
+}
+
+
 @dataclass(frozen=True)
 class Rule:
     """One check: ``kind`` in {likert, proportion, category, ordinal, continuous}."""
@@ -32,12 +49,10 @@ class Rule:
 
     @property
     def action(self) -> str:
-        return {"likert": "drop_rows_invalid_likert", "proportion": "drop_rows_invalid_prop",
-                "category": "drop_rows_invalid_category", "ordinal": "drop_rows_invalid_ordinal",
-                "continuous": "drop_rows_invalid_continuous_codebook_real_1sd"}[self.kind]
+        return ACTIONS[self.kind]
 
     def fails(self, bounds: dict[str, tuple[float, float]] | None = None, null_fails: bool = False) -> Column:
-        v = F.col(self.column).cast("double")
+        v = number(self.column)
         if self.kind in ("likert", "category", "ordinal"):
             v = F.bround(v, 0)  # half-even, as pandas
         if self.kind == "category":
@@ -47,7 +62,7 @@ class Rule:
         bad = (v < F.lit(float(lo))) | (v > F.lit(float(hi)))
         if null_fails:
             return F.coalesce(bad, F.lit(True))
-        return F.coalesce(bad, F.lit(False))  # NaN/null compare false: kept
+        return F.coalesce(bad, F.lit(False))  # missing: kept
 
 
 def continuous_bounds(real: DataFrame, codebook: dict[str, tuple[float, float]]) -> DataFrame:
@@ -74,6 +89,8 @@ def flag_rules(df: DataFrame, rules: Sequence[Rule], bounds: dict[str, tuple[flo
         anynull = F.lit(False)
         for c in cols:
             anynull = anynull | F.col(c).isNull()
+            if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+                anynull = anynull | F.isnan(c)
         checks.append(F.when(anynull, F.lit(0)))
     for i, r in enumerate(rules, start=1):
         checks.append(F.when(r.fails(bounds, null_fails), F.lit(i)))
