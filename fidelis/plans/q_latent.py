@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from fidelis.operators import measurement as MS
 from fidelis.operators import multivariate as MV
 from fidelis.operators import synth as SY
-from fidelis.plans.registry import register
-from fidelis.sources.panel import MEASUREMENT, STRUCTURE, load_panel
+from fidelis.plans.registry import rd, register
+from fidelis.sources.panel import MEASUREMENT, STRUCTURE, load_panel, with_panel
 from fidelis.sources.panel import VARIABLES as V
 
 DS = ["technique", "replicate"]
@@ -29,10 +29,30 @@ def _boot(spark, d, structure=STRUCTURE):
 register("mediation_summary")(lambda spark, d: MS.mediation_summary(
     MS.pls_fit(load_panel(spark, d), MEASUREMENT, STRUCTURE_MED), MEDIATIONS))
 
-register("mahalanobis_outliers")(lambda spark, d: MV.mahalanobis_outliers(load_panel(spark, d), V).groupBy(*DS).agg(
+# closed form of three items, so that SQL can check the algebra: correlations p, q, r of (a1,a2), (a1,a3), (a2,a3)
+_THREE = ["a1", "a2", "a3"]
+_C3 = ("c3", "SELECT technique, replicate, corr(a1, a2) AS p, corr(a1, a3) AS q, corr(a2, a3) AS r, avg(a1) AS m1, avg(a2) AS m2, avg(a3) AS m3, "
+             "stddev_samp(a1) AS s1, stddev_samp(a2) AS s2, stddev_samp(a3) AS s3 FROM panel GROUP BY technique, replicate")
+_DET = "(1 + 2 * p * q * r - p * p - q * q - r * r)"
+_Z = "(panel.a{0} - m{0}) / s{0}"
+_MAHA = ("md", "SELECT panel.technique, panel.replicate, sqrt(((1 - r * r) * z1 * z1 + (1 - q * q) * z2 * z2 + (1 - p * p) * z3 * z3 "
+               f"+ 2 * (q * r - p) * z1 * z2 + 2 * (p * r - q) * z1 * z3 + 2 * (p * q - r) * z2 * z3) / {_DET}) AS dist FROM "
+               "(SELECT panel.technique, panel.replicate, p, q, r, " + ", ".join(f"{_Z.format(i)} AS z{i}" for i in (1, 2, 3))
+               + " FROM panel JOIN c3 USING (technique, replicate)) panel")
+
+register("mahalanobis_outliers", with_panel(
+    "SELECT technique, replicate, count(*) AS n_rows, " + rd("avg(dist)", "mean_distance") + ", " + rd("max(dist)", "max_distance")
+    + " FROM md GROUP BY technique, replicate", [_C3, _MAHA]))(
+    lambda spark, d: MV.mahalanobis_outliers(load_panel(spark, d), _THREE).groupBy(*DS).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.avg("mahalanobis").alias("mean_distance"), F.max("mahalanobis").alias("max_distance")))
+register("vif", with_panel(
+    " UNION ALL ".join(f"SELECT technique, replicate, '{v}' AS variable, " + rd(f"(1 - {x} * {x}) / {_DET}", "vif") + " FROM c3"
+                       for v, x in zip(_THREE, "rqp", strict=True)), [_C3]))(
+    lambda spark, d: MV.vif(load_panel(spark, d), _THREE))
+register("mahalanobis_nine")(lambda spark, d: MV.mahalanobis_outliers(load_panel(spark, d), V).groupBy(*DS).agg(
     F.count(F.lit(1)).alias("n_before"), F.count(F.when(F.col("keep"), 1)).alias("n_kept")))
-register("vif")(lambda spark, d: MV.vif(load_panel(spark, d), V))
 register("pca_first_component")(lambda spark, d: MV.pca_first_component(load_panel(spark, d), V))
+register("pca_scores")(lambda spark, d: MV.pca_scores(load_panel(spark, d, with_row_id=True), V).select(*DS, "row_id", "pc1"))
 
 
 def _real(spark, d):
@@ -46,7 +66,8 @@ def _copula(spark, d):
 
 
 # copula_synthesize (synth.py) is not registered this round: a quantile-grid point came back empty.
-register("discretize_clip")(lambda spark, d: _real(spark, d).select(
+register("discretize_clip", with_panel(
+    "SELECT row_id, " + rd("least(greatest(round_even(a1 + 3, 0), 1), 5)", "a1_ordinal") + " FROM panel WHERE technique = 'REAL'", with_row_id=True))(lambda spark, d: _real(spark, d).select(
     "row_id", SY.discretize_clip(F.col("a1") + 3, 1, 5).alias("a1_ordinal")))
 register("latent_simulate")(lambda spark, d: SY.latent_simulate(
     _real(spark, d).select("row_id", "a1", "b1"), {"a1": 0.4, "b1": 0.3}, 0.25, "lv_c").select("row_id", "lv_c"))

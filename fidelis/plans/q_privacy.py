@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from fidelis.operators import privacy as PV
 from fidelis.plans.registry import rd, register
+from fidelis.session import materialise
 from fidelis.sources.panel import QI_COLUMNS, SENSITIVE, load_panel, with_panel
 from fidelis.sources.panel import VARIABLES as V
 
 DS = ["technique", "replicate"]
-NN_FEATURES = [v for v in V if v != "a2"]  # a2 has missing values in the extended panel
+NN_FEATURES = list(V)  # a row with a missing value has no distance
 QI = list(QI_COLUMNS)
 
 
@@ -125,12 +126,12 @@ register("dcr_standardized", _dcr_std_sql())(
 # ------------------------------------------------------------------ privacy_by_technique
 def _privacy_by_technique(spark, d):
     px = _px(spark, d)
-    nn = PV.nn_distances(px, NN_FEATURES, 5)
+    nn = materialise(PV.nn_distances(px, NN_FEATURES, 5), "nn")
     parts = [PV.exact_match_rate(px, V), PV.nn_distance_mean(nn), PV.dcr(nn), PV.k_distance(nn, 5),
              PV.attribute_disclosure(px, QI, SENSITIVE), PV.qi_linkability(px, QI)]
     per_run = parts[0]
     for p in parts[1:]:
-        per_run = per_run.join(p, DS, "full_outer")
+        per_run = per_run.join(materialise(p, "privacy-part"), DS, "full_outer")
     metrics = [c for c in per_run.columns if c not in DS]
     return per_run.groupBy("technique").agg(F.countDistinct("replicate").alias("runs_used"),
                                             *[F.avg(c).alias(c) for c in metrics])
@@ -155,6 +156,4 @@ def _pbt_sql():
                       ctes, extended=True, with_row_id=True)
 
 
-# privacy_by_technique is not registered this round: combining every privacy pass in one
-# plan ran out of execution memory locally at sf0.01; its parts are registered separately.
-PRIVACY_BY_TECHNIQUE_SQL = _pbt_sql()
+register("privacy_by_technique", _pbt_sql())(_privacy_by_technique)

@@ -36,16 +36,29 @@ def stream_moments(spark: SparkSession, source_dir: str, pattern: str = "events.
                    watermark: str = "2 hours", technique: str = "event_type", value: str = "value", ts: str = "ts",
                    files_per_trigger: int = 1) -> DataFrame:
     """Replay the files under ``source_dir`` matching ``pattern`` as a stream (available-now
-    trigger) and return the per-window moments.  Output mode is ``complete``: the state is
-    one row per (window, technique), so the result table stays small."""
+    trigger) and return the per-window moments, which it appends to Parquet.
+
+    Append mode: a window is written once, when the watermark has passed its end, and its
+    state is dropped then.  Windows still open at the end of the replay are closed by a
+    last file with one row far in the future, whose own window is not returned."""
     schema = spark.read.parquet(os.path.join(source_dir, pattern)).schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-              .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
-    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))  # watermarks need TIMESTAMP, not TIMESTAMP_NTZ
-    agg = _aggregate(stream.withWatermark(ts, watermark), window, technique, value, ts)
-    name = f"stream_moments_{uuid.uuid4().hex[:8]}"
-    ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
-    q = (agg.writeStream.outputMode("complete").format("memory").queryName(name)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return _shape(spark.table(name))
+    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/moments-{uuid.uuid4().hex}"
+    last = spark.read.schema(schema).parquet(os.path.join(source_dir, pattern)).agg(F.max(ts).alias("t"))
+    end = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name != ts]
+    closing = last.filter("t IS NOT NULL").select(*end, (F.col("t") + F.expr("INTERVAL 3650 DAYS")).cast(schema[ts].dataType).alias(ts))
+    closing.select(*schema.fieldNames()).write.parquet(f"{base}/closing")
+
+    def source(path: str, glob: str) -> DataFrame:
+        read = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+        return read.withColumn(ts, F.col(ts).cast("timestamp"))  # watermarks need TIMESTAMP, not TIMESTAMP_NTZ
+
+    # one query over both folders, so the closing row moves the same watermark; a first run reads
+    # the data, a second run over the same checkpoint the closing file
+    os_dirs = [(source_dir, pattern), (f"{base}/closing", "*.parquet")]
+    for k in range(2):
+        stream = source(*os_dirs[0]).unionByName(source(os_dirs[1][0], "*.parquet" if k else "no-file-yet"))
+        agg = _shape(_aggregate(stream.withWatermark(ts, watermark), window, technique, value, ts))
+        q = (agg.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.schema(agg.schema).parquet(f"{base}/out")
