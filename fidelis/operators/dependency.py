@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from fidelis.operators.order import cumulative_counts
 from fidelis.operators.reshape import melt
+from fidelis.session import materialise
 
 DATASET = ("technique", "replicate")
 
@@ -35,25 +36,26 @@ def _pair_partials(by: list[str], variables: list[str]):
     """mapInPandas body: per partition and dataset, pairwise-complete centred co-moments."""
 
     def run(batches):
+        # per dataset: sums about the means of its first batch, added up batch by batch
         acc: dict = {}
+        p = len(variables)
         for batch in batches:
             for key, g in batch.groupby(by, sort=False, dropna=False):
                 key = key if isinstance(key, tuple) else (key,)
-                acc.setdefault(key, []).append(g[variables].to_numpy(dtype=np.float64))
+                x = g[variables].to_numpy(dtype=np.float64)
+                m = ~np.isnan(x)
+                if key not in acc:
+                    some = m.any(axis=0)
+                    acc[key] = [np.where(some, np.where(m, x, 0.0).sum(axis=0) / np.maximum(m.sum(axis=0), 1), 0.0),
+                                *[np.zeros((p, p)) for _ in range(4)], 0]
+                a = acc[key]
+                mf = m.astype(np.float64)
+                x0 = np.where(m, x - a[0], 0.0)
+                for k, part in enumerate((mf.T @ mf, x0.T @ mf, (x0 * x0).T @ mf, x0.T @ x0), start=1):
+                    a[k] += part
+                a[5] += len(x)
         out = []
-        p = len(variables)
-        for key, blocks in acc.items():
-            x = np.vstack(blocks)
-            m = ~np.isnan(x)
-            mf = m.astype(np.float64)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                shift = np.where(m.any(axis=0), np.nanmean(np.where(m, x, np.nan), axis=0), 0.0)
-            x0 = np.where(m, x - shift, 0.0)
-            n = mf.T @ mf
-            s1 = x0.T @ mf
-            s2 = (x0 * x0).T @ mf
-            sx = x0.T @ x0
-            nrow = x.shape[0]
+        for key, (shift, n, s1, s2, sx, nrow) in acc.items():
             with np.errstate(invalid="ignore", divide="ignore"):
                 for i in range(p):
                     for j in range(i + 1, p):
@@ -86,7 +88,8 @@ def moments(df: DataFrame, variables: Sequence[str], by: Sequence[str] = DATASET
         T.StructField("m2_j", T.DoubleType()), T.StructField("c", T.DoubleType()),
         T.StructField("nrow", T.LongType())])
     src = df.select(*by, *[F.col(v).cast("double").alias(v) for v in variables])
-    part = src.mapInPandas(_pair_partials(by, variables), schema).filter(F.col("n") > 0)
+    # read twice below: written, so the rows are scanned once
+    part = materialise(src.mapInPandas(_pair_partials(by, variables), schema).filter(F.col("n") > 0), "partials")
     nrows = src.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
     keys = [*by, "var_i", "var_j"]
     cent = part.groupBy(*keys).agg(

@@ -107,8 +107,8 @@ register("sort_real_first", with_panel(
 
 # ------------------------------------------------------------------ overall ranking of the panel's techniques
 def _rank_overall(spark, d):
-    """Component inputs measured on the panel.  CB-SEM fit and membership inference are
-    not computed here: their inputs are constant, so they add nothing to the order."""
+    """Component inputs measured on the panel.  CB-SEM fit and membership inference are not
+    measured; their parts are left out and the other weights scaled (see ``parts_used``)."""
     p = load_panel(spark, d, extended=True, with_row_id=True)
     dist = M.dist_summary(p, V, ["o1", "sens"])
     cont = dist.filter("variable_type = 'continuous'").select("technique", F.col("mean_abs_dmu").alias("e_mu"),
@@ -131,13 +131,12 @@ def _rank_overall(spark, d):
         "technique", F.col("rmse").alias("htmt_rmse"))
     from fidelis.operators import privacy as PV
 
-    nn = PV.nn_distances(p, [v for v in V if v != "a2"], 1)
+    nn = PV.nn_distances(p, V, 1)
     priv = PV.exact_match_rate(p, V).join(PV.nn_distance_mean(nn), DS).join(PV.dcr(nn).select(*DS, "dcr_p05"), DS) \
         .groupBy("technique").agg(*[F.avg(c).alias(c) for c in ["exact_match_rate", "nn_distance_mean", "dcr_p05"]])
     t = cont.join(cat, "technique").join(paths, "technique").join(lat, "technique").join(cov, "technique") \
         .join(load, "technique").join(rel, "technique").join(ht, "technique").join(priv, "technique")
-    t = t.filter("technique <> 'REAL'").select("technique", *[
-        (F.col(c) if c in t.columns else F.lit(0.0)).alias(c) for c in RK.INPUTS])
+    t = t.filter("technique <> 'REAL'").select("technique", *[c for c in RK.INPUTS if c in t.columns])
     return RK.rank_overall(t, compat=True)
 
 
