@@ -2,14 +2,14 @@
 
 Reference rows are bucketed into a grid over their leading principal-component
 scores (quantile cell edges, so cells hold about the same number of rows).  A
-query row first meets the reference rows of its own cell, then of the ring of
-cells around it, and so on: each ring is an equi-join on the cell coordinates.
-Projection onto orthonormal directions never increases a distance, so once the
-k-th candidate distance of a row is below the distance from the row to the
-outside of the cells already visited, no unvisited row can enter its top k and
-the row is final.  Rings grow until the visited box spans the whole grid, where
-the bound is infinite: the result is exact in all cases, and only rows still
-open take part in the next ring.
+query row first meets the reference rows of its own cell and the cells beside it;
+in every further round cells are twice as wide, so there are at most log2(cells per
+axis) + 1 rounds of the same 3**dims neighbours, each an equi-join on the cell
+coordinates.  Projection onto orthonormal directions never increases a distance, so
+once the k-th candidate distance of a row is below the distance from the row to the
+outside of its box, no unvisited row can enter its top k and the row is final.  The
+last box spans the whole grid, where the bound is infinite: the result is exact in
+all cases, and only rows still open take part in the next round.
 
 Distances are computed in blocks: query and reference rows of one cell meet in a
 cogroup keyed by (cell, query salt, reference salt), where the salts split a cell
@@ -31,10 +31,6 @@ from pyspark.sql import types as T
 
 from fidelis.session import cut_lineage
 
-_DEBUG = False
-_LAST: dict = {}
-
-
 def euclid(features: Sequence[str], left: str = "q_", right: str = "r_") -> Column:
     total = None
     for f in features:
@@ -131,13 +127,6 @@ def _block_kernel(ident: list[str], features: list[str], k: int):
     return run
 
 
-def _ring_offsets(dims: int, w: int) -> list[tuple[int, ...]]:
-    """Cell offsets at Chebyshev distance exactly w; the first step (w = 1) also takes the own cell."""
-    rng = range(-w, w + 1)
-    lo = 0 if w == 1 else w
-    return [o for o in itertools.product(rng, repeat=dims) if lo <= max((abs(x) for x in o), default=0) <= w]
-
-
 def knn(query: DataFrame, ref: DataFrame, features: Sequence[str], k: int = 1, *, query_id: str, ref_id: str,
         keys: Sequence[str] = (), carry: Sequence[str] = (), grid_dims: int = 3, cell_rows: int = 512) -> DataFrame:
     """For every query row: its k nearest reference rows with equal ``keys``.
@@ -174,43 +163,38 @@ def knn(query: DataFrame, ref: DataFrame, features: Sequence[str], k: int = 1, *
     else:
         edges = [[] for _ in range(dims)]
     ncell = [len(e) + 1 for e in edges]
-    if _DEBUG:
-        _LAST.update(edges=edges, dirs=dirs)
     rz = cut_lineage(_cells(rz, edges))
     qz = _cells(_project(q, features, dirs, "q_"), edges)
     qz = cut_lineage(qz)
 
     def lower(d: int, c: Column) -> Column:
+        """Left edge of fine cell ``c`` (minus infinity at the grid's border)."""
         arr = F.array(F.lit(float("-inf")), *[F.lit(x) for x in edges[d]])
-        return F.element_at(arr, (F.greatest(c, F.lit(0)) + 1).cast("int"))
-
-    def upper(d: int, c: Column) -> Column:
-        arr = F.array(*[F.lit(x) for x in edges[d]], F.lit(float("inf")))
-        return F.element_at(arr, (F.least(c, F.lit(ncell[d] - 1)) + 1).cast("int"))
+        return F.get(arr, F.greatest(c, F.lit(0)).cast("int"))
 
     cell_cols = [f"_c{d}" for d in range(dims)]
     rside = rz.select(*keys, "_rid", *cell_cols, *[f"r_{f}" for f in features])
-    r_sizes = rside.groupBy(*keys, *cell_cols).agg(F.count(F.lit(1)).alias("_nr"))  # <= groups x cells rows
     pend = qz
-    best = None  # (ident, dist, _rid): at most k candidates per open row
     done = []
     wq = Window.partitionBy(*ident).orderBy("dist", "_rid")
     kernel = _block_kernel(ident, features, k)
     out_schema = T.StructType([qz.schema[c] for c in ident] + [
         T.StructField("dist", T.DoubleType()), T.StructField("_rid", rside.schema["_rid"].dataType)])
-    for w in range(1, max(2, max(ncell))):
-        offs = _ring_offsets(dims, w)
-        arr = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offs])
-        ex = pend.select("*", F.explode(arr).alias("_off"))
+    neighbours = F.array(*[F.array(*[F.lit(x) for x in o]) for o in itertools.product((-1, 0, 1), repeat=dims)])
+    level = 0
+    while True:
+        width = 1 << level
+        wide = [F.shiftright(f"_c{d}", level) for d in range(dims)]
+        ex = pend.select("*", *[c.alias(f"_w{d}") for d, c in enumerate(wide)], F.explode(neighbours).alias("_off"))
         inside = F.lit(True)
         for d in range(dims):
-            ex = ex.withColumn(f"_t{d}", F.col(f"_c{d}") + F.col("_off")[d])
-            inside = inside & F.col(f"_t{d}").between(0, ncell[d] - 1)
-        tcols = [f"_t{d}" for d in range(dims)]
-        ex = ex.filter(inside).select(*ident, *[F.col(t).alias(c) for t, c in zip(tcols, cell_cols)],
-                                      *[f"q_{f}" for f in features])
+            ex = ex.withColumn(f"_t{d}", F.col(f"_w{d}") + F.col("_off")[d])
+            inside = inside & F.col(f"_t{d}").between(0, (ncell[d] - 1) >> level)
+        ex = ex.filter(inside).select(*ident, *[F.col(f"_t{d}").alias(f"_c{d}") for d in range(dims)], *[f"q_{f}" for f in features])
+        rw = rside.withColumns({f"_c{d}": wide[d] for d in range(dims)})
         # block sizes per target cell: salts keep every (cell, q-salt, r-salt) block bounded
         q_sizes = ex.groupBy(*keys, *cell_cols).agg(F.count(F.lit(1)).alias("_nq"))
+        r_sizes = rw.groupBy(*keys, *cell_cols).agg(F.count(F.lit(1)).alias("_nr"))
         blocks = q_sizes.join(r_sizes, [*keys, *cell_cols]).select(
             *keys, *cell_cols, F.ceil(F.col("_nq") / Q_BLOCK).cast("int").alias("_sq"),
             F.ceil(F.col("_nr") / R_BLOCK).cast("int").alias("_sr"))
@@ -218,20 +202,18 @@ def knn(query: DataFrame, ref: DataFrame, features: Sequence[str], k: int = 1, *
         qb = ex.join(blocks, [*keys, *cell_cols]).select(
             "*", F.pmod(F.xxhash64(*[F.col(c) for c in ident]), F.col("_sq")).cast("int").alias("_qs"),
             F.explode(F.sequence(F.lit(0), F.col("_sr") - 1)).alias("_rs")).drop("_sq", "_sr")
-        rb = rside.join(blocks, [*keys, *cell_cols]).select(
+        rb = rw.join(blocks, [*keys, *cell_cols]).select(
             "*", F.pmod(F.xxhash64("_rid"), F.col("_sr")).cast("int").alias("_rs"),
             F.explode(F.sequence(F.lit(0), F.col("_sq") - 1)).alias("_qs")).drop("_sq", "_sr")
         gkeys = [*keys, *cell_cols, "_qs", "_rs"]
         cand = qb.groupBy(*gkeys).cogroup(rb.groupBy(*gkeys)).applyInPandas(kernel, out_schema)
-        if best is not None:
-            cand = cand.unionByName(best)
         top = cut_lineage(cand.withColumn("_k", F.row_number().over(wq)).filter(F.col("_k") <= k).drop("_k"))
-        # bound: distance from the row to the outside of the visited box (per grid axis)
+        # bound: distance from the row to the outside of its box of three wide cells (per grid axis)
         lb = None
         for d in range(dims):
-            lo = F.when(F.col(f"_c{d}") - w <= 0, F.lit(float("inf"))).otherwise(F.col(f"_z{d}") - lower(d, F.col(f"_c{d}") - w))
-            hi = F.when(F.col(f"_c{d}") + w >= ncell[d] - 1, F.lit(float("inf"))).otherwise(
-                upper(d, F.col(f"_c{d}") + w) - F.col(f"_z{d}"))
+            first, after = (wide[d] - 1) * width, (wide[d] + 2) * width
+            lo = F.when(first <= 0, F.lit(float("inf"))).otherwise(F.col(f"_z{d}") - lower(d, first))
+            hi = F.when(after >= ncell[d], F.lit(float("inf"))).otherwise(lower(d, after) - F.col(f"_z{d}"))
             m = F.least(lo, hi)
             lb = m if lb is None else F.least(lb, m)
         stat = top.groupBy(*ident).agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_kth"))
@@ -239,16 +221,12 @@ def knn(query: DataFrame, ref: DataFrame, features: Sequence[str], k: int = 1, *
         unbounded = F.col("_lb") == F.lit(float("inf"))
         final = ((F.col("_n") == k) & (F.col("_kth") < F.col("_lb"))) | unbounded
         status = cut_lineage(status.withColumn("_final", F.coalesce(final, unbounded)))
-        fin_ids = status.filter("_final").select(*ident)
-        done.append(top.join(fin_ids, ident, "left_semi"))
-        open_ids = status.filter(~F.col("_final")).select(*ident)
-        pend = cut_lineage(pend.join(open_ids, ident, "left_semi"))
-        best = top.join(open_ids, ident, "left_semi")
-        if _DEBUG:
-            print(f"ring {w}: ncell={ncell} open={pend.count()}", flush=True)
+        done.append(top.join(status.filter("_final").select(*ident), ident, "left_semi"))
+        pend = cut_lineage(pend.join(status.filter(~F.col("_final")).select(*ident), ident, "left_semi"))
         if pend.isEmpty():
             break
-    # the last ring spans the whole grid (bound = inf), so every row is final here
+        level += 1
+    # the last box spans the whole grid (bound = inf), so every row is final here
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
