@@ -37,19 +37,26 @@ def kolmogorov_sf_np(lam: float) -> float:
     return min(max(2.0 * s, 0.0), 1.0)
 
 
-# Abramowitz-Stegun 7.1.26 style rational approximation is too coarse; use the
-# complementary error function via a Chebyshev fit (Numerical Recipes erfc, |rel err| < 1.2e-7).
-_ERFC_COEF = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-              0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+ERFC_SPLIT = 3.0
+ERFC_TERMS = 60
 
 
 def erfc(x: Column) -> Column:
+    """Complementary error function to double precision: Kummer's series of erf up to
+    ``ERFC_SPLIT``, Laplace's continued fraction beyond it."""
     z = F.abs(x)
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * z)
-    poly = F.lit(_ERFC_COEF[-1])
-    for c in reversed(_ERFC_COEF[:-1]):
-        poly = F.lit(c) + t * poly
-    ans = t * F.exp(-z * z + poly)
+    near = F.least(z, F.lit(ERFC_SPLIT))
+    y = F.lit(2.0) * near * near
+    series = F.lit(1.0)
+    for n in range(ERFC_TERMS, 0, -1):
+        series = F.lit(1.0) + y / F.lit(2.0 * n + 1) * series
+    small = F.lit(1.0) - F.lit(2.0 / math.sqrt(math.pi)) * near * F.exp(-near * near) * series
+    far = F.greatest(z, F.lit(ERFC_SPLIT))
+    tail = far
+    for n in range(ERFC_TERMS, 0, -1):
+        tail = far + F.lit(n / 2.0) / tail
+    large = F.exp(-far * far) / (F.lit(math.sqrt(math.pi)) * tail)
+    ans = F.when(z <= ERFC_SPLIT, small).otherwise(large)
     return F.when(x >= 0, ans).otherwise(F.lit(2.0) - ans)
 
 
@@ -59,8 +66,8 @@ def normal_cdf(x: Column) -> Column:
 
 
 def two_sided_p(t: Column) -> Column:
-    """p = 2 (1 - Phi(|t|))."""
-    return F.lit(2.0) * (F.lit(1.0) - normal_cdf(F.abs(t)))
+    """p = 2 (1 - Phi(|t|)) = erfc(|t| / sqrt 2), which keeps its digits in the tail."""
+    return erfc(F.abs(t) / F.lit(math.sqrt(2.0)))
 
 
 def erfc_np(x: float) -> float:

@@ -152,8 +152,9 @@ def _corr_matrix(pdf: pd.DataFrame, items: list[str]) -> np.ndarray:
     idx = {v: i for i, v in enumerate(items)}
     r = np.eye(len(items))
     for a, b, v in zip(pdf["var_i"], pdf["var_j"], pdf["corr"]):
-        if a in idx and b in idx and v is not None and not np.isnan(v):
-            r[idx[a], idx[b]] = r[idx[b], idx[a]] = v
+        if a in idx and b in idx:
+            # a constant item has no correlation: NaN, and the model does not converge
+            r[idx[a], idx[b]] = r[idx[b], idx[a]] = np.nan if v is None else v
     return r
 
 
@@ -165,7 +166,14 @@ def pls_results(tech: str, rep: int, r: np.ndarray, n: int, model: dict[str, Seq
     blocks = [[pos[i] for i in model[c]] for c in names]
     cid = {c: k for k, c in enumerate(names)}
     paths = [(cid[a], cid[b]) for a, b in structure]
-    fit = pls_solve(r, blocks, paths, n)
+    try:
+        if np.isnan(r).any():
+            raise np.linalg.LinAlgError("an item has no correlations")
+        fit = pls_solve(r, blocks, paths, n)
+    except np.linalg.LinAlgError:
+        p, c = len(items), len(names)
+        fit = {"weights": np.full(p, np.nan), "loadings": np.full(p, np.nan), "C": np.full((c, c), np.nan), "B": np.full((c, c), np.nan),
+               "r2": np.full(c, np.nan), "adj_r2": np.full(c, np.nan), "rho_a": np.full(c, np.nan), "iterations": np.nan}
     rows = []
 
     def add(sheet, k1, k2, metric, value):
@@ -192,12 +200,13 @@ def pls_results(tech: str, rep: int, r: np.ndarray, n: int, model: dict[str, Seq
             add("rsquared", c, None, "Adj_R2", fit["adj_r2"][j])
     for a, b in structure:
         add("paths", a, b, "beta", fit["B"][cid[a], cid[b]])
-    total = np.linalg.inv(np.eye(len(names)) - fit["B"]) - np.eye(len(names))
+    total = np.linalg.inv(np.eye(len(names)) - np.nan_to_num(fit["B"])) - np.eye(len(names))
     for i, a in enumerate(names):
         for j, b in enumerate(names):
             if i != j and abs(total[i, j]) > 0:
                 add("total_effects", a, b, "total", total[i, j])
     add("fit", None, None, "iterations", fit["iterations"])
+    add("fit", None, None, "converged", float(not np.isnan(fit["iterations"])))
     return rows
 
 
@@ -263,11 +272,15 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def poisson_weights(row_ids: np.ndarray, draws: int, seed: int) -> np.ndarray:
+ROW_BLOCK, DRAW_BLOCK = 1024, 250
+OPEN_DATASETS = 64  # datasets whose sums a task holds at a time
+
+
+def poisson_weights(row_ids: np.ndarray, draws: int, seed: int, first: int = 0) -> np.ndarray:
     """Poisson(1) weight of every (row, draw), a pure function of (row id, draw, seed)."""
     with np.errstate(over="ignore"):
         key = row_ids.astype(np.uint64)[:, None] * np.uint64(0x100000001B3) \
-            + np.arange(draws, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B1) + np.uint64(seed)
+            + np.arange(first, first + draws, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B1) + np.uint64(seed)
         u = (_splitmix(key) >> np.uint64(11)).astype(np.float64) / float(2 ** 53)
     return np.searchsorted(_POISSON1_CDF, u, side="right").astype(np.float64)
 
@@ -276,42 +289,47 @@ def bootstrap_fit(df: DataFrame, model: dict[str, Sequence[str]], structure: Seq
                   seed: int = 123, by=DATASET, row_id: str = "row_id") -> DataFrame:
     """Path coefficients of ``draws`` Poisson-bootstrap resamples per dataset.
 
-    One pass over rows: every partition emits, per dataset and draw, weighted sums
-    (sum w, sum w x, sum w x x') of the centred items (a BLAS product of the weight
-    matrix with the row-wise outer products); a (dataset, draw) group then merges at
-    most one partial per partition and solves the PLS model."""
+    One pass over rows: every partition adds up, per dataset and draw, the weighted sums
+    (sum w, sum w x, upper triangle of sum w x x') of the centred items, in blocks of
+    ``ROW_BLOCK`` rows by ``DRAW_BLOCK`` draws, so memory is draws x p^2 for the datasets of a
+    partition and does not grow with its rows.  Partials are plain double columns that Spark
+    sums per (dataset, draw) with map-side combine; each sum row is then solved on its own."""
     by = list(by)
     items = [i for c in model for i in model[c]]
     p = len(items)
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = ["s0", *[f"s_{i}" for i in range(p)], *[f"s_{i}_{j}" for i, j in upper]]
     means = df.groupBy(*by).agg(*[F.avg(i).alias(f"_m_{i}") for i in items])
     cen = df.join(F.broadcast(means), by).select(*by, row_id, *[(F.col(i) - F.col(f"_m_{i}")).alias(i) for i in items])
     cen = cen.dropna(subset=items)
-    part_schema = T.StructType([df.schema[b] for b in by] + [
-        T.StructField("draw", T.IntegerType()), T.StructField("s0", T.DoubleType()),
-        T.StructField("s1", T.ArrayType(T.DoubleType())), T.StructField("s2", T.ArrayType(T.DoubleType()))])
+    part_schema = T.StructType([df.schema[b] for b in by] + [T.StructField("draw", T.IntegerType())]
+                               + [T.StructField(c, T.DoubleType()) for c in sums])
+    left, right = [i for i, _ in upper], [j for _, j in upper]
+
+    def emit(acc):
+        for key, s in acc.items():
+            out = {b: [k] * draws for b, k in zip(by, key)} | {"draw": np.arange(draws, dtype=np.int32)}
+            yield pd.DataFrame(out | {c: s[:, k] for k, c in enumerate(sums)})
 
     def partials(batches):
         acc: dict = {}
         for pdf in batches:
             for key, g in pdf.groupby(by, sort=False):
                 key = key if isinstance(key, tuple) else (key,)
-                x = g[items].to_numpy(dtype=np.float64)
-                w = poisson_weights(g[row_id].to_numpy(), draws, seed)
-                z = (x[:, :, None] * x[:, None, :]).reshape(len(x), p * p)
-                s = (w.sum(0), w.T @ x, w.T @ z)
-                if key in acc:
-                    acc[key] = tuple(a + b for a, b in zip(acc[key], s))
-                else:
-                    acc[key] = s
-        for key, (s0, s1, s2) in acc.items():
-            out = {b: [k] * draws for b, k in zip(by, key)}
-            out["draw"] = np.arange(draws, dtype=np.int32)
-            out["s0"] = s0
-            out["s1"] = list(s1)
-            out["s2"] = list(s2)
-            yield pd.DataFrame(out)
-
-    part = cen.mapInPandas(partials, part_schema)
+                if key not in acc and len(acc) >= OPEN_DATASETS:
+                    yield from emit(acc)
+                    acc = {}
+                total = acc.setdefault(key, np.zeros((draws, len(sums))))
+                x, ids = g[items].to_numpy(dtype=np.float64), g[row_id].to_numpy()
+                for a in range(0, len(x), ROW_BLOCK):
+                    xa = x[a:a + ROW_BLOCK]
+                    z = np.hstack([np.ones((len(xa), 1)), xa, xa[:, left] * xa[:, right]])
+                    for d in range(0, draws, DRAW_BLOCK):
+                        n = min(DRAW_BLOCK, draws - d)
+                        total[d:d + n] += poisson_weights(ids[a:a + ROW_BLOCK], n, seed, d).T @ z
+        yield from emit(acc)
+
+    merged = cen.mapInPandas(partials, part_schema).groupBy(*by, "draw").agg(*[F.sum(c).alias(c) for c in sums])
     names = list(model)
     pos = {v: k for k, v in enumerate(items)}
     blocks = [[pos[i] for i in model[c]] for c in names]
@@ -321,27 +339,23 @@ def bootstrap_fit(df: DataFrame, model: dict[str, Sequence[str]], structure: Seq
         T.StructField("draw", T.IntegerType()), T.StructField("iv", T.StringType()), T.StructField("dv", T.StringType()),
         T.StructField("effect", T.StringType()), T.StructField("value", T.DoubleType())])
 
-    def merge_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        s0 = pdf["s0"].sum()
-        s1 = np.sum(np.stack(pdf["s1"].to_numpy()), axis=0)
-        s2 = np.sum(np.stack(pdf["s2"].to_numpy()), axis=0).reshape(p, p)
-        mu = s1 / s0
-        cov = s2 / s0 - np.outer(mu, mu)
-        sd = np.sqrt(np.diag(cov))
-        r = cov / np.outer(sd, sd)
-        fit = pls_solve(r, blocks, paths, int(s0))
-        total = np.linalg.inv(np.eye(len(names)) - fit["B"]) - np.eye(len(names))
-        rows = []
-        head = [pdf[b].iloc[0] for b in by] + [int(pdf["draw"].iloc[0])]
-        for a, b in structure:
-            rows.append((*head, a, b, "direct", float(fit["B"][cid[a], cid[b]])))
-        for i, a in enumerate(names):
-            for j, b in enumerate(names):
-                if i != j and abs(total[i, j]) > 0:
-                    rows.append((*head, a, b, "total", float(total[i, j])))
-        return pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])
-
-    return part.groupBy(*by, "draw").applyInPandas(merge_fit, out_schema)
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for head, s in zip(pdf[[*by, "draw"]].itertuples(index=False, name=None), pdf[sums].to_numpy()):
+                mu = s[1:p + 1] / s[0]
+                second = np.zeros((p, p))
+                second[left, right] = second[right, left] = s[p + 1:]
+                cov = second / s[0] - np.outer(mu, mu)
+                sd = np.sqrt(np.diag(cov))
+                fit = pls_solve(cov / np.outer(sd, sd), blocks, paths, int(s[0]))
+                total = np.linalg.inv(np.eye(len(names)) - fit["B"]) - np.eye(len(names))
+                rows += [(*head, a, b, "direct", float(fit["B"][cid[a], cid[b]])) for a, b in structure]
+                rows += [(*head, a, b, "total", float(total[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)
+                         if i != j and abs(total[i, j]) > 0]
+            yield pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])
+
+    return merged.mapInPandas(solve, out_schema)
 
 
 def bootstrap_summary(boot: DataFrame, estimates: DataFrame, by=DATASET) -> DataFrame:
@@ -407,3 +421,39 @@ def mediation_summary(results: DataFrame, mediations: Sequence[tuple[str, str, s
     for x in parts[1:]:
         out = out.unionByName(x)
     return out
+
+
+def plsc_adjust(results: DataFrame, structure: Sequence[tuple[str, str]], by=DATASET) -> DataFrame:
+    """Construct correlations r / sqrt(rhoA_i rhoA_j) and the paths solved from them; a path that
+    cannot be solved is 0."""
+    by = list(by)
+    names = list(dict.fromkeys(c for pair in structure for c in pair))
+    cid = {c: k for k, c in enumerate(names)}
+    long = sheet(results, "construct_corr", "r").select(*by, "key1", "key2", "metric", "value").unionByName(
+        sheet(results, "reliability", "rhoA").select(*by, "key1", "key2", "metric", "value"))
+    schema = T.StructType([results.schema[b] for b in by] + [
+        T.StructField("iv", T.StringType()), T.StructField("dv", T.StringType()), T.StructField("metric", T.StringType()), T.StructField("value", T.DoubleType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, rho = np.eye(len(names)), np.ones(len(names))
+        for x in pdf.itertuples():
+            if x.metric == "rhoA":
+                rho[cid[x.key1]] = x.value
+            elif x.key1 != x.key2:
+                r[cid[x.key1], cid[x.key2]] = x.value
+        with np.errstate(invalid="ignore", divide="ignore"):
+            adjusted = r / np.sqrt(np.outer(rho, rho))
+        np.fill_diagonal(adjusted, 1.0)
+        head = [pdf[b].iloc[0] for b in by]
+        rows = [(*head, a, b, "r", float(adjusted[cid[a], cid[b]])) for a in names for b in names if cid[a] < cid[b]]
+        for dv in dict.fromkeys(b for _, b in structure):
+            pred = [a for a, b in structure if b == dv]
+            at = [cid[a] for a in pred]
+            try:
+                beta = np.linalg.solve(adjusted[np.ix_(at, at)], adjusted[at, cid[dv]])
+            except np.linalg.LinAlgError:
+                beta = np.full(len(pred), np.nan)
+            rows += [(*head, a, dv, "beta", 0.0 if np.isnan(v) else float(v)) for a, v in zip(pred, beta)]
+        return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+
+    return long.groupBy(*by).applyInPandas(run, schema)

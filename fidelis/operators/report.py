@@ -121,3 +121,29 @@ def rank_average(df: DataFrame, value: str, out: str, ascending: bool = False, p
     w = Window.partitionBy(*partition).orderBy(o) if partition else Window.orderBy(o)
     t = Window.partitionBy(*partition, value) if partition else Window.partitionBy(value)
     return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(t) - 1) / 2.0)
+
+
+def path_range_overlap(summary: DataFrame, keys: Sequence[str], real: str = REAL) -> DataFrame:
+    """Does REAL's estimate, rounded to 2 decimals, lie within the technique's mean estimate plus or
+    minus its largest bootstrap SD?"""
+    keys = list(keys)
+    tm = summary.groupBy("technique", *keys).agg(F.avg("estimate").alias("mean"), F.max("boot_sd").alias("max_sd"))
+    r = tm.filter(F.col("technique") == real).select(*keys, F.round("mean", 2).alias("real"))
+    return tm.filter(F.col("technique") != real).join(r, keys).withColumn(
+        "overlap", F.col("real").between(F.col("mean") - F.col("max_sd"), F.col("mean") + F.col("max_sd")))
+
+
+def path_hybrid_score(est: DataFrame, keys: Sequence[str], value: str, candidate: Sequence[str] = ("technique", "replicate"), real: str = REAL,
+                      min_paths: int = 3) -> DataFrame:
+    """Half the share of equal signs plus half the Spearman rho of signed estimates against REAL, per
+    candidate with at least ``min_paths`` paths; ``best`` marks each technique's best candidate."""
+    keys, candidate = list(keys), list(candidate)
+    r = est.filter(F.col("technique") == real).groupBy(*keys).agg(F.avg(value).alias("real"))
+    d = est.filter(F.col("technique") != real).join(r, keys)
+    d = rank_average(rank_average(d, value, "rk_s", True, candidate), "real", "rk_r", True, candidate)
+    g = d.groupBy(*candidate).agg(
+        F.count(F.lit(1)).alias("n_paths"), F.avg((F.signum(value) == F.signum("real")).cast("double")).alias("direction"),
+        F.coalesce(F.corr("rk_s", "rk_r"), F.lit(0.0)).alias("rho")).filter(F.col("n_paths") >= min_paths)
+    g = g.withColumn("hybrid", (F.col("direction") + F.col("rho")) / 2)
+    best = Window.partitionBy("technique").orderBy(F.col("hybrid").desc(), *candidate)
+    return g.withColumn("best", F.row_number().over(best) == 1)

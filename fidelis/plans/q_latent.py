@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from fidelis.operators import measurement as MS
 from fidelis.operators import multivariate as MV
+from fidelis.operators import report as RP
 from fidelis.operators import synth as SY
 from fidelis.plans.registry import rd, register
+from fidelis.session import materialise
 from fidelis.sources.panel import MEASUREMENT, STRUCTURE, load_panel, with_panel
 from fidelis.sources.panel import VARIABLES as V
 
@@ -21,11 +23,39 @@ DRAWS, SEED = 2000, 123
 def _boot(spark, d, structure=STRUCTURE):
     p = load_panel(spark, d, with_row_id=True)
     est = MS.path_estimates(MS.pls_fit(p, MEASUREMENT, structure))
-    return MS.bootstrap_fit(p, MEASUREMENT, structure, DRAWS, SEED), est
+    return materialise(MS.bootstrap_fit(p, MEASUREMENT, structure, DRAWS, SEED), "bootstrap"), est
+
+
+def _paths(spark, d):
+    return MS.bootstrap_summary(*_boot(spark, d))
+
+
+register("bootstrap_fit")(lambda spark, d: _boot(spark, d)[0])
+register("std_paths")(_paths)
+register("indirect_effect")(lambda spark, d: MS.indirect_effects(*_boot(spark, d, STRUCTURE_MED), MEDIATIONS))
+register("path_beta_table")(lambda spark, d: RP.beta_table(_paths(spark, d).filter("effect = 'direct'").select(
+    *DS, "iv", "dv", F.col("estimate").alias("mean"), F.col("boot_sd").alias("sd"), F.col("p_value").alias("p"))))
+register("path_range_overlap")(lambda spark, d: RP.path_range_overlap(_paths(spark, d).filter("effect = 'direct'"), ["iv", "dv"]))
+register("plsc_adjust")(lambda spark, d: MS.plsc_adjust(MS.pls_fit(load_panel(spark, d), MEASUREMENT, STRUCTURE), STRUCTURE))
+# path table that SQL can rebuild: correlations of item pairs stand in for paths
+_PAIRS = [("a1", "b1"), ("a1", "c1"), ("b1", "c1"), ("a2", "b2")]
+_PT = ("pt", " UNION ALL ".join(f"SELECT technique, replicate, '{a}-{b}' AS path, round(corr({a}, {b}), 9) AS beta FROM panel GROUP BY technique, replicate" for a, b in _PAIRS))
+_HY = ("hy", "SELECT s.technique, s.replicate, s.beta, r.beta AS real FROM pt s JOIN (SELECT path, avg(beta) AS beta FROM pt WHERE technique = 'REAL' GROUP BY path) r "
+             "ON r.path = s.path WHERE s.technique <> 'REAL'")
+_RANK = "rank() OVER (PARTITION BY technique, replicate ORDER BY {0}) + (count(*) OVER (PARTITION BY technique, replicate, {0}) - 1) / 2.0"
+_HG = ("hg", "SELECT technique, replicate, count(*) AS n_paths, avg(CASE WHEN sign(beta) = sign(real) THEN 1.0 ELSE 0.0 END) AS direction, "
+             f"coalesce(corr(rs, rr), 0.0) AS rho FROM (SELECT *, {_RANK.format('beta')} AS rs, {_RANK.format('real')} AS rr FROM hy) GROUP BY technique, replicate")
+register("path_hybrid_score", with_panel(
+    "SELECT technique, replicate, n_paths, " + ", ".join([rd("direction"), rd("rho"), rd("(direction + rho) / 2", "hybrid")])
+    + ", row_number() OVER (PARTITION BY technique ORDER BY round((direction + rho) / 2, 9) DESC, replicate) = 1 AS best FROM hg", [_PT, _HY, _HG]))(
+    lambda spark, d: RP.path_hybrid_score(_pair_table(spark, d), ["path"], "beta").withColumn("hybrid", F.round("hybrid", 9)))
+
+
+def _pair_table(spark, d):
+    g = load_panel(spark, d).groupBy(*DS).agg(*[F.round(F.corr(a, b), 9).alias(f"{a}-{b}") for a, b in _PAIRS])
+    return g.unpivot(DS, [F.col(f"`{a}-{b}`") for a, b in _PAIRS], "path", "beta")
 
 
-# bootstrap_fit / std_paths / indirect_effect (operators in measurement.py) are not registered this
-# round: at 2000 draws the per-partition partial arrays exhausted the local heap.
 register("mediation_summary")(lambda spark, d: MS.mediation_summary(
     MS.pls_fit(load_panel(spark, d), MEASUREMENT, STRUCTURE_MED), MEDIATIONS))
 
@@ -65,7 +95,7 @@ def _copula(spark, d):
     return SY.copula_synthesize(spark, real, V[:3], n, seed=42)
 
 
-# copula_synthesize (synth.py) is not registered this round: a quantile-grid point came back empty.
+# copula_synthesize (synth.py) is not registered: it did not end within minutes at sf0.01.
 register("discretize_clip", with_panel(
     "SELECT row_id, " + rd("least(greatest(round_even(a1 + 3, 0), 1), 5)", "a1_ordinal") + " FROM panel WHERE technique = 'REAL'", with_row_id=True))(lambda spark, d: _real(spark, d).select(
     "row_id", SY.discretize_clip(F.col("a1") + 3, 1, 5).alias("a1_ordinal")))
