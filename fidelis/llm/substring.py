@@ -13,8 +13,10 @@ text around the anchor that its windows reach.  Documents meet on anchors:
 
 So copies are compared by class, never in pairs, and work stays in proportion to the text
 however many documents share a passage.  The windows that are found are merged to maximal
-repeats and their words removed; all windows are judged on the input.  Spans and windows
-are compared by 128-bit hashes.
+repeats and their words removed; all windows are judged on the input.  Spans are compared
+by anchor and span hash (160 bits together), windows by 128 bits.  Anchors of one document
+only, which are most, leave before spans are compared, and texts are packed (zstd) for the
+two shuffles that bring them to their spans.
 
 Defined cases: null and empty texts have no words; documents of one doc_id never remove
 words of each other; a null doc_id neither loses words nor makes others lose any; rows
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,14 +148,26 @@ def _emit_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = w.doc[first]
             row = pa.array(doc + a)
             yield pa.RecordBatch.from_arrays(
-                [_signed(anchor), _signed(s1), _signed(s2), batch.column("doc_id").take(row), batch.column("_th").take(row),
-                 pa.array((first - w.first[doc]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))],
+                [_signed(anchor), _signed(s1), pa.array((s2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column("doc_id").take(row),
+                 batch.column("_th").take(row), pa.array((first - w.first[doc]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))],
                 ["anchor", "s1", "s2", "doc_id", "_th", "at", "n"])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        packed = pa.array([press.compress(t.as_py() or b"") for t in batch.column("_text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_th"), packed], ["doc_id", "_th", "_zip"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    press = zstandard.ZstdDecompressor()
+    return [press.decompress(z.as_py()) for z in batch.column("_zip")]
+
+
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t.as_py() or b"" for t in batch.column("_text")]
+        texts = _unpacked(batch)
         asked = batch.column("_spans").to_pylist()
         for a, b in _chunks(texts):
             with np.errstate(over="ignore"):
@@ -170,10 +185,9 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        count, removed, digests, kept_texts = [], [], [], []
-        with_text = "kept_text" in batch.schema.names
-        for text, repeats in zip(batch.column("_text"), batch.column("_repeats"), strict=True):
-            tokens = (text.as_py() or b"").split()
+        count, removed, digests = [], [], []
+        for text, repeats in zip(_unpacked(batch), batch.column("_repeats"), strict=True):
+            tokens = text.split()
             count.append(len(tokens))
             found = repeats.as_py()
             if found:
@@ -190,40 +204,43 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    # a row is told from others of its doc_id by 31 bits of its text's hash
+    th = F.xxhash64("text").bitwiseAND((1 << 31) - 1).cast("int").alias("_th")
+    return docs.select("doc_id", th, F.col("text").cast("binary").alias("_text"))
+
+
+def _packed(texts: DataFrame) -> DataFrame:
+    return texts.mapInArrow(_pack, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, _th int, _zip binary")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """Repeated windows: doc_id, _th (hash of the text), at (word), n (windows from there on)."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_text"))
-    found = materialise(
-        texts.mapInArrow(_emit_spans, f"anchor long, s1 long, s2 long, doc_id {id_type}, _th long, at int, n int"), "spans")
-    classes = found.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("anchor").alias("anchor"))
-    classes = materialise(classes, "span-classes")
-    shared = classes.filter("most > least").select("s1", "s2", "least")
-    whole = found.join(shared, ["s1", "s2"]).filter("doc_id > least").select("doc_id", "_th", "at", "n")
-    # anchors with several classes, of which not all are in one document
-    several = (
-        classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"), F.min("least").alias("_a"), F.max("least").alias("_b"))
-        .filter("_n > 1 AND _b > _a").select("anchor")
-    )
-    chosen = classes.join(several, "anchor", "left_semi").select("s1", "s2", F.col("least").alias("doc_id"))
-    spans_of = (
-        found.join(chosen, ["s1", "s2", "doc_id"], "left_semi").groupBy("doc_id", "_th")
-        .agg(F.collect_list(F.struct("at", "n")).alias("_spans"))
-    )
+    place = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _th int, at int"
+    texts = _texts(docs).filter("doc_id IS NOT NULL")
+    found = materialise(texts.mapInArrow(_emit_spans, f"anchor long, s1 long, s2 int, {place}, n int"), "spans")
+    # anchors of two documents at least; several: their spans differ
+    shared = materialise(
+        found.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), F.min("s1").alias("_p"), F.max("s1").alias("_q"))
+        .filter("_b > _a").select("anchor", (F.col("_p") != F.col("_q")).alias("several")), "anchors")
+    near = materialise(found.join(shared, "anchor"), "shared-spans")
+    classes = materialise(near.groupBy("anchor", "s1", "s2").agg(F.min("doc_id").alias("least")), "span-classes")
+    judged = materialise(
+        near.join(classes, ["anchor", "s1", "s2"]).select("doc_id", "_th", "at", "n", "several", (F.col("doc_id") > F.col("least")).alias("repeat"))
+        .filter("repeat OR several"), "judged-spans")
+    spans_of = judged.filter("NOT repeat").groupBy("doc_id", "_th").agg(F.collect_list(F.struct("at", "n")).alias("_spans"))
     windows = materialise(
-        texts.join(spans_of, ["doc_id", "_th"])
-        .mapInArrow(_emit_windows, f"w1 long, w2 long, doc_id {id_type}, _th long, at int"), "windows")
+        _packed(texts).join(spans_of, ["doc_id", "_th"]).mapInArrow(_emit_windows, f"w1 long, w2 long, {place}"), "windows")
     first = materialise(
         windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
         .filter("most > least").select("w1", "w2", "least"), "window-classes")
     single = windows.join(first, ["w1", "w2"]).filter("doc_id > least").select("doc_id", "_th", "at", F.lit(1).alias("n"))
-    return whole.unionByName(single)
+    return judged.filter("repeat").select("doc_id", "_th", "at", "n").unionByName(single)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256."""
     by_doc = repeats(docs).groupBy("doc_id", "_th").agg(F.collect_list(F.struct("at", "n")).alias("_repeats"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return texts.join(by_doc, ["doc_id", "_th"], "left").select("doc_id", "_text", "_repeats").mapInArrow(
+    return _packed(_texts(docs)).join(by_doc, ["doc_id", "_th"], "left").select("doc_id", "_zip", "_repeats").mapInArrow(
         _cut, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string")
