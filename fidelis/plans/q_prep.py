@@ -68,9 +68,13 @@ register("distinct_first_column",
         _t(spark, d, "part").select("p_type")]))
 
 # ------------------------------------------------------------------ table_metadata
-_META = {"lineitem": ["l_orderkey", "l_quantity", "l_returnflag", "l_shipdate"],
-         "orders": ["o_orderkey", "o_totalprice", "o_orderpriority"],
-         "customer": ["c_custkey", "c_acctbal", "c_mktsegment"]}
+_META = {
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+}
 
 
 def _meta_sql():

@@ -202,4 +202,4 @@ def with_panel(sql: str, ctes: list[tuple[str, str]] = (), *, extended: bool = F
                with_row_id: bool = False, name: str = "panel") -> str:
     """Oracle query text: the panel and further named CTEs, then ``sql``."""
     parts = [(name, panel_sql(extended=extended, with_row_id=with_row_id)), *ctes]
-    return "WITH " + ",\n".join(f"{n} AS (\n{q}\n)" for n, q in parts) + "\n" + sql
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED (\n{q}\n)" for n, q in parts) + "\n" + sql
