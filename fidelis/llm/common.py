@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.session import checkpoint_dir
+from fidelis.session import materialise, shared_path
+
+__all__ = ["lookup_join", "materialise", "open_store", "read_table", "shared_path", "words"]
 
 # A word is a maximal run of characters other than space and \t \n \v \f \r.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -23,19 +24,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/fidelis-{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, and a
-    lost executor costs its running tasks only."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lookup_join(left: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of many rows with a materialised table of one row per ``keys`` (null equals null).
 
