@@ -240,9 +240,7 @@ def wasserstein_1d(panel: DataFrame, variables: Sequence[str], real: str = REAL,
     """W1 = sum |F_r - F_s| * (x_next - x) over the merged distinct values."""
     by = list(by)
     cdf = two_sample_cdf(panel, variables, real, by)
-    nxt = cdf.select(*by, "variable", (F.col("pos") - 1).alias("pos"), F.col("x").alias("x_next"))
-    j = cdf.join(nxt, [*by, "variable", "pos"], "left")
-    return j.groupBy(*by, "variable").agg(
+    return cdf.groupBy(*by, "variable").agg(
         F.coalesce(F.sum(F.abs(F.col("f_r") - F.col("f_s")) * (F.col("x_next") - F.col("x"))), F.lit(0.0))
         .alias("wasserstein"))
 

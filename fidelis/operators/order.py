@@ -53,7 +53,7 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], x: str, weights: Seque
                       num_partitions: int | None = None) -> DataFrame:
     """For distinct (keys, x) rows with integer weight columns, append per weight ``w``:
     ``cum_w`` = sum of w over values <= x in the key, ``tot_w`` = key total, and
-    ``pos`` = dense 1-based position of x within its key.
+    ``pos`` = dense 1-based position of x within its key; ``x_next`` = the key's next x.
 
     The range slice of a row is stored with the row, in a written table, and both the
     running sums and the offsets read that table: nothing depends on two evaluations of
@@ -64,18 +64,20 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], x: str, weights: Seque
         df.select(*keys, x, *weights).repartitionByRange(n, *keys, x).withColumn("_slice", F.spark_partition_id()), "slices")
     # one row per slice and key in it: at most slices + keys rows
     sums = sliced.groupBy("_slice", *keys).agg(
-        *[F.sum(w).alias(f"_t_{w}") for w in weights], F.count(F.lit(1)).alias("_t_pos"))
+        *[F.sum(w).alias(f"_t_{w}") for w in weights], F.count(F.lit(1)).alias("_t_pos"), F.min(x).alias("_low"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = sums.select(
         F.col("_slice").alias("_at"), *[F.col(k).alias(f"_k_{k}") for k in keys],
         *[F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0)).alias(f"_o_{w}") for w in weights],
         *[F.sum(f"_t_{w}").over(whole).alias(f"tot_{w}") for w in weights],
-        F.coalesce(F.sum("_t_pos").over(before), F.lit(0)).alias("_o_pos"))
-    local = Window.partitionBy("_slice", *keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+        F.coalesce(F.sum("_t_pos").over(before), F.lit(0)).alias("_o_pos"),
+        F.lead("_low").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_next_low"))
+    ordered = Window.partitionBy("_slice", *keys).orderBy(x)
+    local = ordered.rowsBetween(Window.unboundedPreceding, 0)
     running = sliced.select(
         *keys, x, *weights, "_slice", *[F.sum(w).over(local).alias(f"_c_{w}") for w in weights],
-        F.count(F.lit(1)).over(local).alias("_c_pos"))
+        F.count(F.lit(1)).over(local).alias("_c_pos"), F.lead(x).over(ordered).alias("_next"))
     same = F.col("_slice") == F.col("_at")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
@@ -83,4 +85,4 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], x: str, weights: Seque
     sel = [*keys, x]
     for w in weights:
         sel += [F.col(w), (F.col(f"_c_{w}") + F.col(f"_o_{w}")).alias(f"cum_{w}"), F.col(f"tot_{w}")]
-    return out.select(*sel, (F.col("_c_pos") + F.col("_o_pos")).alias("pos"))
+    return out.select(*sel, (F.col("_c_pos") + F.col("_o_pos")).alias("pos"), F.coalesce("_next", "_next_low").alias("x_next"))

@@ -26,6 +26,7 @@ def test_cumulative_counts_is_whole(spark, parts):
         for r in got:
             own = by_key[r.k]
             assert r.tot_w == sum(w for _, w in own)
+            assert r.x_next == min((x for x, _ in own if x > r.x), default=None)
             assert r.cum_w == sum(w for x, w in own if x <= r.x) and r.pos == sum(x <= r.x for x, _ in own)
 
 
