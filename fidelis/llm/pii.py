@@ -60,7 +60,7 @@ SMOOTH = 1.0
 CALIBRATED = 0.9
 
 
-def _hits(text: Column, gate: Column, source: int, kind: int, pieces: str, matches: str) -> Column:
+def _hits(source: int, kind: int, pieces: str, matches: str) -> Column:
     return F.transform(F.col(matches), lambda m, i: F.struct(
         F.lit(source).alias("source"), F.lit(kind).alias("kind"), i.alias("nth"),
         F.length(F.get(F.col(pieces), i)).alias("gap"), m.alias("found"),
@@ -83,8 +83,8 @@ def proposals(docs: DataFrame) -> DataFrame:
             m, p = f"_m{source}{kind}", f"_p{source}{kind}"
             df = df.withColumn(m, F.when(gate, F.regexp_extract_all(text, F.lit(patterns[name]), F.lit(0))))
             df = df.withColumn(p, F.when(F.size(m) > 0, F.split(text, patterns[name], -1)))
-            hits.append(F.coalesce(_hits(text, gate, source, kind, p, m), F.array()))
-    # at least one pair of columns is used twice each, so the optimiser keeps them apart
+            hits.append(F.coalesce(_hits(source, kind, p, m), F.array()))
+    # pieces are used several times below, so the optimiser keeps them as columns of their own
     return df.select("row", "doc_id", F.explode_outer(F.concat(*hits)).alias("h")).select("row", "doc_id", "h.*")
 
 

@@ -103,7 +103,7 @@ def _vector(df: DataFrame) -> DataFrame:
     })
 
 
-def _distance(params: str = "") -> Column:
+def _distance() -> Column:
     """Squared Mahalanobis distance of the row's vector from columns _m*, _l** (Cholesky factor)."""
     z: list[Column] = []
     for i, x in enumerate(FEATURES):
