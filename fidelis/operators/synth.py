@@ -11,7 +11,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.operators.dependency import moments
 from fidelis.operators.marginal import exact_quantiles
 from fidelis.operators.reshape import melt
 
@@ -64,23 +63,21 @@ def copula_synthesize(spark, real: DataFrame, items: Sequence[str], n: int, seed
     table, corr, bounds = copula_fit(real, items, grid)
     lchol = np.linalg.cholesky(corr + 1e-10 * np.eye(len(items)))
     base = spark.range(n).withColumnRenamed("id", "row_id")
-    z = [normal(F.col("row_id"), k, seed) for k in range(len(items))]
+    # step by step, so that no long expression is repeated inside another
+    normals = base.select("row_id", *[normal(F.col("row_id"), k, seed).alias(f"_z{k}") for k in range(len(items))])
+    mixed = normals.select("row_id", *[sum((F.lit(float(lchol[i, j])) * F.col(f"_z{j}") for j in range(1, i + 1)),
+                                           F.lit(float(lchol[i, 0])) * F.col("_z0")).alias(f"_n{i}") for i in range(len(items))])
+    ranks = mixed.select("row_id", *[(normal_cdf(F.col(f"_n{i}")) * (grid - 1)).alias(f"_u{i}") for i in range(len(items))])
     out = [F.col("row_id")]
     for i, it in enumerate(items):
-        lin = None
-        for j in range(i + 1):
-            t = F.lit(float(lchol[i, j])) * z[j]
-            lin = t if lin is None else lin + t
-        u = normal_cdf(lin)
-        # piecewise-linear inverse quantile on the grid
-        pts = table[it]
-        expr = F.lit(pts[-1][1])
-        for (p0, x0), (p1, x1) in reversed(list(zip(pts[:-1], pts[1:]))):
-            slope = 0.0 if p1 == p0 else (x1 - x0) / (p1 - p0)
-            expr = F.when(u <= F.lit(p1), F.lit(x0) + (u - F.lit(p0)) * F.lit(slope)).otherwise(expr)
+        # the grid of probabilities is even: a position in the quantile table, then linear between two entries
+        points = F.array(*[F.lit(float(x)) for _, x in table[it]])
+        at = F.least(F.floor(f"_u{i}"), F.lit(grid - 2)).cast("int")
+        low, high = F.get(points, at), F.get(points, at + 1)
         lo, hi = bounds[it]
-        out.append(F.least(F.greatest(expr, F.lit(lo)), F.lit(hi)).alias(it))
-    return base.select(*out)
+        value = low + (F.col(f"_u{i}") - at) * (high - low)
+        out.append(F.least(F.greatest(value, F.lit(lo)), F.lit(hi)).alias(it))
+    return ranks.select(*out)
 
 
 def latent_simulate(df: DataFrame, betas: dict[str, float], r2: float, out: str, key: str = "row_id",

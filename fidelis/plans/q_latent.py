@@ -95,7 +95,7 @@ def _copula(spark, d):
     return SY.copula_synthesize(spark, real, V[:3], n, seed=42)
 
 
-# copula_synthesize (synth.py) is not registered: it did not end within minutes at sf0.01.
+register("copula_synthesize")(_copula)
 register("discretize_clip", with_panel(
     "SELECT row_id, " + rd("least(greatest(round_even(a1 + 3, 0), 1), 5)", "a1_ordinal") + " FROM panel WHERE technique = 'REAL'", with_row_id=True))(lambda spark, d: _real(spark, d).select(
     "row_id", SY.discretize_clip(F.col("a1") + 3, 1, 5).alias("a1_ordinal")))

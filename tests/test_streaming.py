@@ -1,7 +1,5 @@
 """Streamed moments equal the batch moments on the same rows."""
 
-from pyspark.sql import functions as F
-
 from fidelis.streaming.moments import batch_moments, stream_moments
 
 from .conftest import SF_SMALL
