@@ -9,7 +9,8 @@ only.  From the classes, the longest prefix that a suffix shares with another (t
 its LCP interval) is found by adding powers of two downwards.
 
 A line is deleted when it lies in a run of at least ``MIN_LINES`` lines that also begins at
-an earlier position; runs are judged on the input.
+an earlier position; runs are judged on the input.  From one line on, every later copy of a
+line goes, whatever its length: one-line copies of documents and boilerplate lines too.
 
 Only DataFrame functions are used.  A position is one long: document number and line.
 Defined cases: null and empty texts have no lines; rows repeated in full are one document
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from fidelis.llm.common import materialise
 from fidelis.operators.order import with_row_index
 
-MIN_LINES = 2
+MIN_LINES = 1
 LINE_BITS = 28  # lines of a document; 2**35 documents
 
 

@@ -199,6 +199,20 @@ def test_line_dedup(documents, least):
         assert (r.n_lines, r.n_deleted, r.n_runs, r.longest_shared, r.kept_text) == want[r.doc_id]
 
 
+def test_line_dedup_from_one_line_on(documents):
+    rnd = random.Random(1)
+    rows = [(k, "\n".join(rnd.choice(["a", "b", "c c", " ", f"own {k}", f"x{rnd.randrange(99)}"]) for _ in range(rnd.randrange(0, 12)))) for k in range(40)]
+    long = sentence(rnd, 80)
+    rows += [(50, long), (51, long), (52, f"first of its own\n{long}\nlast of its own"), (53, None), (54, "only here")]
+    want = line_truth(rows, 1)
+    got = {r.doc_id: r for r in lines.deduplicate(documents(rows)).collect()}  # the registered rule, no threshold given
+    for i, r in got.items():
+        assert (r.n_lines, r.n_deleted, r.n_runs, r.longest_shared, r.kept_text) == want[i]
+    assert (got[50].n_deleted, got[51].n_deleted, got[51].kept_text, got[52].kept_text) == (0, 1, "", "first of its own\nlast of its own")
+    report = {r.doc_id: r.n_deleted for r in lines.line_report(documents(rows)).collect()}
+    assert report == {i: r.n_deleted for i, r in got.items()}
+
+
 def test_tiles_cover_reordered_passages():
     rnd = random.Random(3)
     item = sentence(rnd, 40, 5000)
