@@ -9,8 +9,12 @@ re-estimate, repeat.  A document is rejected when its squared Mahalanobis distan
 the chi-square quantile at 1 - ``TAIL``.
 
 All steps are DataFrame aggregations of the narrow statistics table; the Cholesky factor
-and the distances are column expressions.  Variances have floors (``FLOORS``) so that a
-statistic that hardly varies cannot reject a clean document.  Groups of fewer than
+and the distances are column expressions.  Standard deviations have a floor (``FLOORS``) that
+only guards against a zero variance: most documents have no symbol, equal line or repeated
+window at all.  With ``TAIL`` each statistic can reject alone, within the range that the base
+rules leave it: from about 4.9 floors, that is 6 % equal lines, 6 % repeated words, one symbol
+in 36 words or words longer or shorter by a quarter, where a group varies less than its floor.
+Groups of fewer than
 ``SMALL`` rows share the estimate of the small groups of their language.
 
 Defined cases: null text has no words and fails the base rules; null language or source
@@ -32,10 +36,10 @@ REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
 
 FEATURES = ("_x0", "_x1", "_x2", "_x3")
-FLOORS = (0.12, 0.15, 0.2, 0.15)
+FLOORS = (0.05, 0.05, 0.05, 0.05)
 SUPPORT = 0.75
 STEPS = 3
-TAIL = 1e-6
+TAIL = 1e-4
 SMALL = 30
 ACCURACY = 10_000
 

@@ -68,6 +68,24 @@ def test_quality_statistics_and_verdict(documents):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in rows if got[r[0]].kept)
 
 
+def test_each_statistic_rejects_alone(documents):
+    rnd = random.Random(6)
+    rows = [(i, "\n".join(sentence(rnd, 12, 10_000) for _ in range(rnd.randrange(5, 12)))) for i in range(200)]
+    body = [sentence(rnd, 12, 10_000) for _ in range(8)]
+    phrase = sentence(rnd, 14, 10_000)
+    rows += [
+        (1000, "\n".join(f"{x}\nread more" for x in body)),  # only equal lines
+        (1001, "\n".join([" ".join([phrase, *body]), *(sentence(rnd, 12, 10_000) for _ in range(6)), f"then {phrase}"])),  # only repeated words
+        (1002, "\n".join(" ".join(rnd.choice("abcdefg") * rnd.choice([8, 9]) + str(rnd.randrange(10_000)) for _ in range(12)) for _ in range(8))),  # only long words
+        (1003, "\n".join(body[:4] + [" ".join(f"#{w}" for w in x.split()) for x in body[4:]])),  # only symbols
+    ]
+    got = {r.doc_id: r for r in quality.judge(documents(rows)).collect()}
+    assert all(got[i].kept for i in range(200))
+    assert not any(got[i].base_failed or got[i].kept for i in (1000, 1001, 1002, 1003))
+    assert {i: (r.n_dup_lines > 0, r.n_repeat_words > 0, r.n_symbols > 0) for i, r in got.items() if i >= 1000} == {
+        1000: (True, False, False), 1001: (False, True, False), 1002: (False, False, False), 1003: (False, False, True)}
+
+
 def test_mcd_is_near_the_clean_part(spark):
     rng = np.random.default_rng(2)
     clean = rng.multivariate_normal([1, 2, 3, 4], np.diag([1, 2, 1, 3]) + 0.5, 900)
