@@ -3,13 +3,19 @@
 Strict patterns find the base spans (email, ip, card, phone) and always stay.  Looser
 generators propose further, overlapping spans.  Every proposal has format features (digits,
 separators, check digit, value range, plus sign, brackets, top-level domain) and context
-features (the characters beside it, a cue word before it); its weak label is whether the
-strict pattern found the same span.  Trees of depth two are boosted with Newton steps on
-the table of distinct feature vectors with their counts, taken over all proposals of the
-corpus; the table has at most ``CELLS`` rows, whatever the corpus.  Scores are calibrated
-by isotonic regression, and a proposal whose calibrated probability is at least
-``CALIBRATED`` is added unless it overlaps a base span or an earlier added one.  So a
-phone number that the strict pattern lost to the digits behind it is found again.
+features (the characters beside it, a cue word of its kind before it).  Trees of depth two
+are boosted with Newton steps on a table of distinct feature vectors with their counts; the
+table has at most ``CELLS`` rows, whatever the corpus.  Scores are calibrated by isotonic
+regression, and a proposal whose calibrated probability is at least ``CALIBRATED`` is added
+unless it overlaps a base span or an earlier added one.
+
+Labels come from two sides.  Of the corpus, proposals equal to a strict base span are
+positive; others are negative only where something other than the strict form speaks against
+them (``_against``: touching letters or digits, a failed check digit without a cue, an
+address out of range or without a domain), and left out where nothing does.  The labelled
+``sample`` (a few hundred short texts built from the lists below) holds the forms that the
+strict patterns cannot match: local phones and mistyped cards behind a cue, and the same
+forms without one.  It weighs as much as the corpus, so that no corpus outvotes it.
 
 Only DataFrame functions touch the texts.  Offsets are running sums over the pieces
 between matches (code points, end exclusive).  Patterns are possessive and start at the
@@ -24,7 +30,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fidelis.llm.common import materialise
@@ -49,7 +55,34 @@ GENERATORS = {
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP_RANGE = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
-CUES = r"(?i)(?:mail|tel|phone|call|fax|card|visa|contact|address|host|ip)[^A-Za-z0-9]{0,3}$"
+_CUE_WORDS = ("e-?mail|mail|contact|address", "ip|host|address", "card|visa|mastercard|amex", "tel|telephone|phone|mobile|cell|call|fax|contact")
+CUES = [rf"(?i)(?<![A-Za-z])(?:{w})s?(?:[^A-Za-z0-9]{{1,3}}(?:number|no|nr|at|is|us|me|on)){{0,2}}[^A-Za-z0-9]{{0,3}}$" for w in _CUE_WORDS]
+
+# The labelled sample: (texts before, proposals, texts behind) per kind, first the personal ones.
+_LOCAL_PHONES = ("(212) 555-0199", "212-555-0142", "212 555 0142", "030 1234 5678", "0171.555.0123", "2125550142", "44 555 0199")
+_PHONE_CUES = ("Tel. ", "phone: ", "Call ", "fax ", "mobile ", "contact us at ", "phone number ")
+_WRONG_CARDS = ("4111 1111 1111 1112", "4111111111111112", "4111-1111-1111-1112", "378282246310006")
+_PLAIN = ("", "order ", "see page ", "sum of ", "the id ")
+_BEHIND = ("", " today", ".", ", then")
+SAMPLE = {
+    "email": [
+        (("", "mail to "), ("jörg@bücher-müller.de", "анна@почта.com"), _BEHIND[:2]),
+        (("", "by "), ("x@y", "me@home", "при@мер"), _BEHIND[:2]),
+    ],
+    "card": [
+        (("card ", "Visa: ", "card number "), (*_WRONG_CARDS, "4111 1111 1111 1111"), _BEHIND),
+        ((*_PLAIN, "tel "), _WRONG_CARDS, (*_BEHIND, "ab3f")),
+    ],
+    "phone": [
+        (_PHONE_CUES, _LOCAL_PHONES, _BEHIND),
+        ((*_PLAIN, "ip ", "card "), (*_LOCAL_PHONES, "20240115"), _BEHIND),
+    ],
+}
+# cued all the same, and still no phone: the beginning of a hex run or of an address
+SAMPLE["phone"].append((_PHONE_CUES, ("2125550142", "192.168.100"), ("ab3f", ".300")))
+# the strict form, so that the plus sign counts for what it is in the sample too
+SAMPLE["phone"][0:0] = [((*_PHONE_CUES, *_PLAIN), ("+1 (212) 555-0199", "+49 30 1234567"), (*_BEHIND, " 4795326016703902"))]
+PERSONAL = {"email": 1, "card": 1, "phone": 2}  # so many entries of SAMPLE are personal data
 
 #: features and their number of values
 FEATURES = {"plus": 2, "digits": 5, "luhn": 2, "range": 2, "paren": 2, "seps": 4, "left": 4, "right": 4, "tld": 2, "cue": 2}
@@ -65,7 +98,7 @@ def _hits(source: int, kind: int, pieces: str, matches: str) -> Column:
         F.lit(source).alias("source"), F.lit(kind).alias("kind"), i.alias("nth"),
         F.length(F.get(F.col(pieces), i)).alias("gap"), m.alias("found"),
         F.right(F.get(F.col(pieces), i), F.lit(16)).alias("before"),
-        F.left(F.get(F.col(pieces), i + 1), F.lit(1)).alias("after")))
+        F.left(F.get(F.col(pieces), i + 1), F.lit(2)).alias("after")))
 
 
 def proposals(docs: DataFrame) -> DataFrame:
@@ -119,9 +152,10 @@ def spans(docs: DataFrame) -> DataFrame:
         "paren": F.contains("found", F.lit("(")).cast("int"),
         "seps": F.least(size - n, F.lit(3)),
         "left": _side(F.right(F.col("before"), F.lit(1))),
-        "right": _side(F.col("after")),
+        # a point before a further digit goes on with the number
+        "right": F.when(F.col("after").rlike("^[.][0-9]"), 2).otherwise(_side(F.left("after", F.lit(1)))),
         "tld": F.col("found").rlike(r"\.[A-Za-z]{2,}$").cast("int"),
-        "cue": F.col("before").rlike(CUES).cast("int"),
+        "cue": F.coalesce(*[F.when(F.col("kind") == i, F.col("before").rlike(c).cast("int")) for i, c in enumerate(CUES)]),
     })
     df = df.withColumn("base", F.coalesce((F.col("source") == 0) & valid, F.lit(False)))
     df = df.withColumns({
@@ -208,14 +242,54 @@ class Boosted:
         return sum((column(t) for t in self.trees), F.lit(self.base))
 
 
+def _against() -> Column:
+    """What speaks against a proposal of the corpus, whether or not the strict pattern can match its form."""
+    touching = F.col("left").isin(1, 2) | F.col("right").isin(1, 2)
+    return (
+        F.when(F.col("kind") == 0, F.col("tld") == 0).when(F.col("kind") == 1, True)  # the strict pattern has every IP form
+        .when(F.col("kind") == 2, touching | ((F.col("luhn") == 0) & (F.col("cue") == 0))).otherwise(touching)
+    )
+
+
+def sample(spark: SparkSession) -> DataFrame:
+    """Feature vectors of the labelled sample: kind, features, _yes."""
+    rows = [
+        (before + found + behind, KINDS.index(kind), len(before), len(before + found), i < PERSONAL[kind])
+        for kind, entries in SAMPLE.items() for i, (befores, founds, behinds) in enumerate(entries)
+        for before in befores for found in founds for behind in behinds
+    ]
+    names = ("text", "_kind", "_start", "_end", "_yes")
+    texts = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows]))
+    marked = spark.range(1).select(texts.alias("r")).select("r.*")
+    id_ = F.concat_ws(":", "_kind", "_start", "_end", "_yes", "text")
+    found = spans(marked.select(id_.alias("doc_id"), "text")).filter("source = 1")
+    part = F.split("doc_id", ":")
+    here = (part[0] == F.col("kind")) & (part[1] == F.col("start")) & (part[2] == F.col("end"))
+    return found.filter(here).select("kind", *FEATURES, (part[3] == "true").alias("_yes"))
+
+
+def _table(labelled: DataFrame) -> dict[int, dict[tuple[int, ...], tuple[int, int]]]:
+    by_kind: dict[int, dict] = defaultdict(dict)
+    for r in labelled.groupBy("kind", *FEATURES).agg(
+            F.count(F.when(F.col("_yes"), 1)).alias("_p"), F.count(F.when(~F.col("_yes"), 1)).alias("_n")).collect():
+        by_kind[r["kind"]][tuple(r[f] for f in FEATURES)] = (r["_p"], r["_n"])
+    return by_kind
+
+
 def train(found: DataFrame) -> dict[int, Boosted]:
-    """A model per kind from the feature table of all proposals (at most ``CELLS`` rows)."""
-    table = found.filter("source = 1").groupBy("kind", *FEATURES).agg(
-        F.count(F.when(F.col("same"), 1)).alias("_p"), F.count(F.when(~F.col("same"), 1)).alias("_n")).collect()
-    by_kind = defaultdict(list)
-    for r in sorted(table, key=lambda r: tuple(r[f] for f in FEATURES)):
-        by_kind[r["kind"]].append((tuple(r[f] for f in FEATURES), r["_p"], r["_n"]))
-    return {kind: Boosted(cells) for kind, cells in by_kind.items()}
+    """A model per kind from the feature tables (at most ``CELLS`` rows) of the corpus and the sample."""
+    label = F.when(F.col("same"), True).when(~F.col("clash") & _against(), False)
+    corpus = _table(found.filter("source = 1").withColumn("_yes", label).filter("_yes IS NOT NULL"))
+    known = _table(sample(found.sparkSession))
+    models = {}
+    for kind in sorted(corpus.keys() | known.keys()):
+        a, b = corpus.get(kind, {}), known.get(kind, {})
+        size = [sum(p + n for p, n in t.values()) for t in (a, b)]
+        weight = max(1, -(-size[0] // max(1, size[1])))
+        models[kind] = Boosted([
+            (x, a.get(x, (0, 0))[0] + weight * b.get(x, (0, 0))[0], a.get(x, (0, 0))[1] + weight * b.get(x, (0, 0))[1])
+            for x in sorted(a.keys() | b.keys())])
+    return models
 
 
 def find(docs: DataFrame) -> DataFrame:
