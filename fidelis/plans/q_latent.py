@@ -70,15 +70,20 @@ _MAHA = ("md", "SELECT panel.technique, panel.replicate, sqrt(((1 - r * r) * z1
                "(SELECT panel.technique, panel.replicate, p, q, r, " + ", ".join(f"{_Z.format(i)} AS z{i}" for i in (1, 2, 3))
                + " FROM panel JOIN c3 USING (technique, replicate)) panel")
 
-register("mahalanobis_outliers", with_panel(
+register("mahalanobis_three", with_panel(
     "SELECT technique, replicate, count(*) AS n_rows, " + rd("avg(dist)", "mean_distance") + ", " + rd("max(dist)", "max_distance")
     + " FROM md GROUP BY technique, replicate", [_C3, _MAHA]))(
     lambda spark, d: MV.mahalanobis_outliers(load_panel(spark, d), _THREE).groupBy(*DS).agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg("mahalanobis").alias("mean_distance"), F.max("mahalanobis").alias("max_distance")))
-register("vif", with_panel(
+register("vif_three", with_panel(
     " UNION ALL ".join(f"SELECT technique, replicate, '{v}' AS variable, " + rd(f"(1 - {x} * {x}) / {_DET}", "vif") + " FROM c3"
                        for v, x in zip(_THREE, "rqp", strict=True)), [_C3]))(
     lambda spark, d: MV.vif(load_panel(spark, d), _THREE))
+# the operators themselves: all nine indicators, tested against numpy
+register("mahalanobis_outliers")(lambda spark, d: MV.mahalanobis_outliers(load_panel(spark, d), V).groupBy(*DS).agg(
+    F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("keep"), 1)).alias("n_kept"),
+    F.avg("mahalanobis").alias("mean_distance"), F.max("mahalanobis").alias("max_distance")))
+register("vif")(lambda spark, d: MV.vif(load_panel(spark, d), V))
 register("mahalanobis_nine")(lambda spark, d: MV.mahalanobis_outliers(load_panel(spark, d), V).groupBy(*DS).agg(
     F.count(F.lit(1)).alias("n_before"), F.count(F.when(F.col("keep"), 1)).alias("n_kept")))
 register("pca_first_component")(lambda spark, d: MV.pca_first_component(load_panel(spark, d), V))

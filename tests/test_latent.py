@@ -83,3 +83,25 @@ def test_screens_over_many_datasets(spark, panel):
     w, vec = np.linalg.eigh(np.corrcoef(x.T))
     first = vec[:, -1] * (1 if vec[:, -1].sum() >= 0 else -1)
     np.testing.assert_allclose(s, z @ first, rtol=1e-6, atol=1e-9)
+
+
+def test_registered_screens_take_all_indicators(spark):
+    from fidelis.functions.stats import chi2_quantile_wh
+    from fidelis.plans import ORACLES, QUERIES
+    from fidelis.sources.panel import VARIABLES, load_panel
+    from tests.conftest import SF_SMALL
+
+    rows = load_panel(spark, SF_SMALL).toPandas()
+    vif = {(r.technique, r.replicate, r.variable): r.vif for r in QUERIES["vif"](spark, SF_SMALL).collect()}
+    maha = {(r.technique, r.replicate): r for r in QUERIES["mahalanobis_outliers"](spark, SF_SMALL).collect()}
+    groups = list(rows.groupby(["technique", "replicate"]))
+    assert len(vif) == len(groups) * len(VARIABLES) and len(maha) == len(groups)
+    for key, g in groups:
+        x = g[VARIABLES].to_numpy(float)
+        want = np.diag(np.linalg.inv(np.corrcoef(x.T)))
+        np.testing.assert_allclose([vif[(*key, v)] for v in VARIABLES], want, rtol=1e-4)
+        d = np.sqrt(np.einsum("ij,jk,ik->i", x - x.mean(0), np.linalg.inv(np.cov(x.T)), x - x.mean(0)))
+        r = maha[key]
+        assert (r.n_rows, r.n_kept) == (len(x), (d < np.sqrt(chi2_quantile_wh(0.999, len(VARIABLES)))).sum())
+        np.testing.assert_allclose([r.mean_distance, r.max_distance], [d.mean(), d.max()], rtol=1e-4)
+    assert {"vif_three", "mahalanobis_three"} <= ORACLES.keys()
