@@ -100,12 +100,22 @@ def agg_replicates(est: DataFrame, keys: Sequence[str], value: str, min_replicat
     return tm.filter(F.col("n_replicates") >= min_replicates)
 
 
-def compare_sheets(est: DataFrame, keys: Sequence[str], value: str, real: str = REAL) -> DataFrame:
-    """REAL point estimate aligned with every technique's mean and range (long form)."""
-    keys = list(keys)
+def compare_sheets(est: DataFrame, keys: Sequence[str], value: str, real: str = REAL, sheet: Sequence[str] = ()) -> DataFrame:
+    """REAL point estimate aligned with every technique's mean and range (long form); null keys match.
+
+    A sheet (the columns ``sheet``, a part of ``keys``; none: all rows are one) for which fewer than
+    two sources, REAL or a technique that ``agg_replicates`` keeps, have a value is dropped.
+    """
+    keys, sheet = list(keys), list(sheet)
     r = est.filter(F.col("technique") == real).groupBy(*keys).agg(F.first(value).alias("real"))
     tm = agg_replicates(est.filter(F.col("technique") != real), keys, value)
-    return r.join(tm, keys, "left").select(*keys, "technique", "real", "mean", "min", "max")
+    have = r.filter("real IS NOT NULL").select(*keys, F.lit(real).alias("_t")).unionByName(
+        tm.filter("mean IS NOT NULL").select(*keys, F.col("technique").alias("_t")))
+    two = have.groupBy(*sheet).agg(F.countDistinct("_t").alias("_sources")).filter("_sources >= 2").drop("_sources")
+    r = r.join(F.broadcast(two), sheet or F.lit(True), "left_semi")
+    t = tm.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "technique", "mean", "min", "max")
+    on = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]
+    return r.join(t, on, "left").select(*keys, "technique", "real", "mean", "min", "max")
 
 
 def rank_min(df: DataFrame, value: str, out: str, ascending: bool = False, partition: Sequence[str] = ()) -> DataFrame:

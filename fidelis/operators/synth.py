@@ -107,20 +107,28 @@ def impute_zero_variance(syn: DataFrame, real: DataFrame, items: Sequence[str],
     """A synthetic column that is constant gets values drawn from REAL's values; one with
     sd < 0.1 gets +-0.3 uniform jitter, clipped to REAL's range."""
     from fidelis.operators.order import with_row_index
+    from fidelis.session import materialise
 
     by = list(by)
-    st = syn.groupBy(*by).agg(*[F.stddev_samp(i).alias(f"_s_{i}") for i in items],
-                              *[F.countDistinct(i).alias(f"_d_{i}") for i in items])
+    st = materialise(syn.groupBy(*by).agg(
+        *[F.stddev_samp(i).alias(f"_s_{i}") for i in items],
+        *[(F.coalesce(F.min(i) == F.max(i), F.lit(True))).alias(f"_c_{i}") for i in items]), "variance")
+    constant = st.agg(*[F.max(f"_c_{i}").alias(i) for i in items]).first()
     rng = real.agg(*[F.min(i).alias(f"_lo_{i}") for i in items], *[F.max(i).alias(f"_hi_{i}") for i in items]).first()
     m = real.count()
     j = syn.join(F.broadcast(st), by)
     out = j
+    drawn = [it for it in items if constant[it]]
+    # REAL is ordered once, and only if a column is constant somewhere
+    ranks = with_row_index(real.select(key, *drawn), [key], "_p") if drawn else None
     for k, it in enumerate(items):
         pos = (F.floor(uniform(F.col(key), 100 + k, seed) * m) + 1).cast("long")
-        ranked = with_row_index(real.select(key, it), [key], f"_p{k}").select(f"_p{k}", F.col(it).alias(f"_draw_{it}"))
-        out = out.withColumn(f"_p{k}", pos).join(ranked, f"_p{k}", "left")
+        if it in drawn:
+            ranked = ranks.select(F.col("_p").alias(f"_p{k}"), F.col(it).alias(f"_draw_{it}"))
+            out = out.withColumn(f"_p{k}", pos).join(ranked, f"_p{k}", "left")
+        draw = F.col(f"_draw_{it}") if it in drawn else F.lit(None)
         jit = (uniform(F.col(key), 200 + k, seed) * 2 - 1) * jitter
         clipped = F.least(F.greatest(F.col(it) + jit, F.lit(rng[f"_lo_{it}"])), F.lit(rng[f"_hi_{it}"]))
-        out = out.withColumn(it, F.when(F.col(f"_d_{it}") <= 1, F.col(f"_draw_{it}"))
+        out = out.withColumn(it, F.when(F.col(f"_c_{it}"), draw)
                              .when(F.col(f"_s_{it}") < min_sd, clipped).otherwise(F.col(it)))
     return out.select(*syn.columns)

@@ -107,6 +107,7 @@ register("discretize_clip", with_panel(
 register("latent_simulate")(lambda spark, d: SY.latent_simulate(
     _real(spark, d).select("row_id", "a1", "b1"), {"a1": 0.4, "b1": 0.3}, 0.25, "lv_c").select("row_id", "lv_c"))
 register("condition_seed")(lambda spark, d: SY.condition_seed(spark, _real(spark, d), "a1", _real(spark, d).count()))
+# nothing is constant in the derived panel, so b1 is made so; all nine columns are examined and the rows returned
 register("impute_zero_variance")(lambda spark, d: SY.impute_zero_variance(
     load_panel(spark, d, with_row_id=True).filter("technique <> 'REAL'").withColumn("b1", F.lit(0.5)),
-    _real(spark, d), ["b1"]).groupBy(*DS).agg(F.stddev_samp("b1").alias("sd_b1"), F.count(F.lit(1)).alias("n")))
+    _real(spark, d), V).select(*DS, "row_id", *V))

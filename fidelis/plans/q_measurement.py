@@ -9,6 +9,7 @@ from fidelis.operators import report as RP
 from fidelis.operators.dependency import moments
 from fidelis.operators.reshape import melt
 from fidelis.plans.registry import rd, register
+from fidelis.session import materialise
 from fidelis.sources.panel import MEASUREMENT, STRUCTURE, load_panel, with_panel
 from fidelis.sources.panel import VARIABLES as V
 
@@ -180,10 +181,10 @@ register("path_direction_rank")(lambda spark, d: RP.direction_rank(
 register("path_errors")(lambda spark, d: RP.pairwise_error(RP.vs_real(_est(spark, d, "paths", "beta"), ["key1", "key2"], "value")))
 register("r2_summary")(lambda spark, d: RP.technique_mean(_est(spark, d, "rsquared", "R2", ("key1",)), ["key1"], "value")
                        .select("technique", F.col("key1").alias("construct"), F.col("mean").alias("mean_r2")))
-register("multi_run_summary")(lambda spark, d: RP.agg_replicates(
-    MS.sheet(_pls(spark, d), "reliability").select(*DS, "key1", "metric", "value"), ["key1", "metric"], "value"))
+_SHEET = ["sheet", "metric", "key1", "key2"]
+register("multi_run_summary")(lambda spark, d: RP.agg_replicates(_pls(spark, d), _SHEET, "value"))
 register("compare_sheets")(lambda spark, d: RP.compare_sheets(
-    MS.sheet(_pls(spark, d), "paths", "beta").select(*DS, "key1", "key2", "value"), ["key1", "key2"], "value"))
+    materialise(_pls(spark, d), "sheets"), _SHEET, "value", sheet=["sheet"]))
 
 
 def _seed_pass(spark, d):

@@ -105,3 +105,34 @@ def test_registered_screens_take_all_indicators(spark):
         assert (r.n_rows, r.n_kept) == (len(x), (d < np.sqrt(chi2_quantile_wh(0.999, len(VARIABLES)))).sum())
         np.testing.assert_allclose([r.mean_distance, r.max_distance], [d.mean(), d.max()], rtol=1e-4)
     assert {"vif_three", "mahalanobis_three"} <= ORACLES.keys()
+
+
+def test_imputation_of_all_columns_returns_rows(spark):
+    from fidelis.plans import QUERIES
+    from fidelis.sources.panel import VARIABLES, load_panel
+    from tests.conftest import SF_SMALL
+
+    rows = load_panel(spark, SF_SMALL, with_row_id=True).toPandas()
+    syn = rows[rows.technique != "REAL"].set_index("row_id")[VARIABLES].sort_index()
+    got = QUERIES["impute_zero_variance"](spark, SF_SMALL).toPandas().set_index("row_id").sort_index()
+    assert len(got) == len(syn) and (got.index == syn.index).all()
+    rest = [v for v in VARIABLES if v != "b1"]
+    np.testing.assert_allclose(got[rest], syn[rest], atol=1e-6)
+    real = rows[rows.technique == "REAL"].b1.to_numpy()
+    assert all(np.abs(real - x).min() < 1e-6 for x in got.b1) and got.b1.std() > 0.1
+
+
+def test_sheets_with_one_source_are_dropped(spark):
+    from fidelis.operators import report as RP
+    from fidelis.plans import QUERIES
+    from tests.conftest import SF_SMALL
+
+    est = spark.createDataFrame([
+        ("REAL", 0, "x", "a", None, 1.0), ("S", 1, "x", "a", None, 2.0), ("S", 2, "x", "a", None, 4.0),
+        ("REAL", 0, "y", "a", "b", 1.0), ("S", 1, "y", "a", "b", 2.0)], "technique string, replicate int, sheet string, key1 string, key2 string, value double")
+    got = RP.compare_sheets(est, ["sheet", "key1", "key2"], "value", sheet=["sheet"]).collect()
+    assert list(map(tuple, got)) == [("x", "a", None, "S", 1.0, 3.0, 2.0, 4.0)]
+    assert RP.compare_sheets(est.filter("sheet = 'y'"), ["key1", "key2"], "value").collect() == []
+    seen = {r[0] for r in QUERIES["compare_sheets"](spark, SF_SMALL).select("sheet").distinct().collect()}
+    assert {"paths", "loadings", "reliability", "rsquared", "construct_corr"} <= seen
+    assert {r[0] for r in QUERIES["multi_run_summary"](spark, SF_SMALL).select("sheet").distinct().collect()} >= seen
