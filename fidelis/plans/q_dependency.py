@@ -115,21 +115,28 @@ register("eigen_spectrum")(
     lambda spark, d: D.eigen_spectrum(D.corr_pearson(load_panel(spark, d), V), V))
 
 
-def _dependency_metrics(spark, d):
+def _dependency_metrics(spark, d, eigen=True):
     pear, spear = _pearson_spearman(spark, d)
     per_run = D.corr_error(pear, spear).join(D.topk_interactions(pear), DS, "full_outer")
     cols = ["pearson_mae", "pearson_fro", "spearman_mae", "spearman_fro", "mantel_flat_corr",
             "topk_overlap_rate", "topk_sign_agreement"]
+    if eigen:
+        dist = D.eigen_spectrum(pear, V).filter("technique <> 'REAL'")
+        per_run = per_run.join(dist.select(*DS, "eig_l2", "eig_cosine"), DS, "full_outer")
+        cols += ["eig_l2", "eig_cosine"]
     return per_run.groupBy("technique").agg(F.countDistinct("replicate").alias("runs_used"),
                                             *[F.avg(c).alias(c) for c in cols])
 
 
-register("dependency_metrics", with_panel(
+register("dependency_metrics_matrix", with_panel(
     "SELECT technique, count(DISTINCT replicate) AS runs_used, " + ", ".join(rd(f"avg({c})", c) for c in [
         "pearson_mae", "pearson_fro", "spearman_mae", "spearman_fro", "mantel_flat_corr",
         "topk_overlap_rate", "topk_sign_agreement"])
     + " FROM err FULL OUTER JOIN tk USING (technique, replicate) GROUP BY technique",
-    _ERR_CTES + [(n, q) for n, q in _TOPK_CTES if n not in ("pm", "pr")], with_row_id=True))(_dependency_metrics)
+    _ERR_CTES + [(n, q) for n, q in _TOPK_CTES if n not in ("pm", "pr")], with_row_id=True))(
+    lambda spark, d: _dependency_metrics(spark, d, eigen=False))
+# with the eigen distances, which SQL cannot rebuild
+register("dependency_metrics")(_dependency_metrics)
 
 # ------------------------------------------------------------------ covariate family (composites)
 _CONS = list(MEASUREMENT)

@@ -38,20 +38,20 @@ def _alpha(spark, d):
 
 register("cronbach_alpha", with_panel("SELECT technique, replicate, construct, " + rd("alpha") + " FROM al", [_ALPHA]))(_alpha)
 
-register("reliability_thresholds", with_panel(
+register("reliability_thresholds_alpha", with_panel(
     "SELECT technique, replicate, construct, " + rd("alpha")
     + ", CASE WHEN alpha IS NULL THEN 'NA' WHEN alpha >= 0.7 THEN 'pass' ELSE 'fail' END AS status FROM al", [_ALPHA]))(
     lambda spark, d: RP.thresholds(_alpha(spark, d), "alpha", metric="alpha"))
 
 _TM = ("tm", "SELECT technique, construct, avg(alpha) AS mean, stddev_samp(alpha) AS sd, min(alpha) AS mn, max(alpha) AS mx, "
              "count(DISTINCT replicate) AS n_replicates FROM al GROUP BY technique, construct")
-register("reliability_mad", with_panel(
+register("reliability_mad_alpha", with_panel(
     "SELECT s.technique, s.construct, " + ", ".join([rd("s.mean", "mean"), rd("s.sd", "sd"), rd("s.mn", "min"), rd("s.mx", "max")])
     + ", s.n_replicates, " + ", ".join([rd("r.mean", "real"), rd("s.mean - r.mean", "delta"), rd("abs(s.mean - r.mean)", "abs_delta")])
     + " FROM tm s LEFT JOIN tm r ON r.technique = 'REAL' AND r.construct = s.construct WHERE s.technique <> 'REAL'",
     [_ALPHA, _TM]))(lambda spark, d: RP.vs_real(_alpha(spark, d), ["construct"], "alpha"))
 
-register("reliability_stability", with_panel(
+register("reliability_stability_alpha", with_panel(
     "SELECT technique, construct, " + ", ".join([rd("mean"), rd("sd"), rd("mn", "min"), rd("mx", "max")])
     + ", n_replicates, " + rd("mx - mn", "range") + ", mx - mn > 0.3 AS unstable FROM tm", [_ALPHA, _TM]))(
     lambda spark, d: RP.stability(_alpha(spark, d), ["construct"], "alpha", RP.STABILITY_MAX["alpha"]))
@@ -93,7 +93,7 @@ register("htmt_stability", with_panel(
     lambda spark, d: RP.technique_mean(_htmt(spark, d), ["construct_a", "construct_b"], "htmt").groupBy("technique").agg(
         (F.max("mean") - F.min("mean")).alias("htmt_range"), F.stddev_samp("mean").alias("htmt_sd")))
 
-register("grid_rmse", with_panel(
+register("grid_rmse_htmt", with_panel(
     "SELECT s.technique, " + rd("sqrt(avg((s.m - r.m) * (s.m - r.m)))", "rmse") + ", count(*) AS cells FROM htm s JOIN htm r "
     "ON r.technique = 'REAL' AND r.construct_a = s.construct_a AND r.construct_b = s.construct_b "
     "WHERE s.technique <> 'REAL' AND s.m - r.m IS NOT NULL GROUP BY s.technique", _htmt_sql() + [_HT_TM]))(
@@ -159,6 +159,35 @@ def _tucker(spark, d):
     return phi.withColumn("band", F.when(F.col("phi") >= 0.95, "equal").when(F.col("phi") >= 0.85, "fair").otherwise("different"))
 
 
+def _reliability(spark, d):
+    """alpha, rhoC, rhoA and AVE per construct: technique, replicate, construct, metric, value."""
+    p = load_panel(spark, d)
+    alpha = MS.cronbach_alpha(p, MEASUREMENT).select(*DS, "construct", F.lit("alpha").alias("metric"), F.col("alpha").alias("value"))
+    pls = MS.sheet(MS.pls_fit(p, MEASUREMENT, STRUCTURE), "reliability").filter(F.col("metric").isin("rhoC", "rhoA", "AVE"))
+    return alpha.unionByName(pls.select(*DS, F.col("key1").alias("construct"), "metric", "value"))
+
+
+def _reliability_stability(spark, d):
+    limit = F.create_map(*[x for k, v in RP.STABILITY_MAX.items() for x in (F.lit(k), F.lit(v))])[F.col("metric")]
+    return RP.stability(_reliability(spark, d), ["construct", "metric"], "value").withColumn("unstable", F.col("range") > limit)
+
+
+# all four metrics and both grids; the parts that SQL can rebuild are the queries *_alpha and grid_rmse_htmt
+register("reliability_thresholds")(lambda spark, d: RP.thresholds(_reliability(spark, d), "value", metric_col="metric"))
+register("reliability_mad")(lambda spark, d: RP.vs_real(_reliability(spark, d), ["construct", "metric"], "value"))
+register("reliability_stability")(_reliability_stability)
+
+
+def _grids(spark, d):
+    keys = ["construct_a", "construct_b"]
+    ht = _htmt(spark, d).select(*DS, *keys, F.lit("htmt").alias("grid"), F.col("htmt").alias("value"))
+    fl = MS.fornell_larcker(_pls(spark, d)).select(*DS, *keys, F.lit("fornell_larcker").alias("grid"), "value")
+    return RP.grid_rmse(RP.vs_real(ht.unionByName(fl), ["grid", *keys], "value"), ("technique", "grid"))
+
+
+register("grid_rmse")(_grids)
+
+
 def _fl_diag(spark, d):
     return MS.sheet(_pls(spark, d), "reliability", "AVE").select(*DS, F.col("key1").alias("construct"),
                                                                 F.sqrt("value").alias("sqrt_ave"))

@@ -136,3 +136,24 @@ def test_sheets_with_one_source_are_dropped(spark):
     seen = {r[0] for r in QUERIES["compare_sheets"](spark, SF_SMALL).select("sheet").distinct().collect()}
     assert {"paths", "loadings", "reliability", "rsquared", "construct_corr"} <= seen
     assert {r[0] for r in QUERIES["multi_run_summary"](spark, SF_SMALL).select("sheet").distinct().collect()} >= seen
+
+
+def test_reports_hold_all_their_metrics(spark):
+    from fidelis.plans import QUERIES
+    from tests.conftest import SF_SMALL
+
+    def rows(name):
+        return QUERIES[name](spark, SF_SMALL).toPandas()
+
+    four = {"alpha", "rhoC", "rhoA", "AVE"}
+    for name in ("reliability_thresholds", "reliability_mad", "reliability_stability"):
+        got, alpha = rows(name), rows(f"{name}_alpha")
+        assert set(got.metric) == four and len(got) == 4 * len(alpha)
+    grid, ht = rows("grid_rmse"), rows("grid_rmse_htmt")
+    assert set(grid.grid) == {"htmt", "fornell_larcker"} and set(grid[grid.grid == "fornell_larcker"].cells) == {6}
+    assert sorted(grid[grid.grid == "htmt"].rmse) == sorted(ht.rmse)
+    dep, matrix = rows("dependency_metrics").set_index("technique"), rows("dependency_metrics_matrix").set_index("technique")
+    spec = rows("eigen_spectrum")
+    want = spec[spec.technique != "REAL"].groupby("technique")[["eig_l2", "eig_cosine"]].mean()
+    np.testing.assert_allclose(dep.loc[want.index, ["eig_l2", "eig_cosine"]], want, atol=2e-6)
+    np.testing.assert_allclose(dep.loc[matrix.index, matrix.columns], matrix, atol=2e-6)
