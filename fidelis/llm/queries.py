@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fidelis.llm import decontam, lines, mixing, pii, quality, sharding, simhash, substring, tokens, warc
+from fidelis.llm import conversations, decontam, licenses, lines, mixing, periodic, pii, quality, sharding, simhash, substring, tokens, warc
 from fidelis.llm.common import read_table
 
 
@@ -48,5 +48,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents")).drop("distance2")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_warc, op4_shard, op5_substring_dedup, op6_token_counts, op7_line_dedup, op8_simhash, op9_pii, op10_quality_rules)}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(read_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(read_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_warc, op4_shard, op5_substring_dedup, op6_token_counts, op7_line_dedup, op8_simhash, op9_pii, op10_quality_rules, op11_license_scan, op12_periodic_runs, op13_conversation_repair)}
 ORACLES = {"op1_mix_sources": mixing.MIX_SQL}
