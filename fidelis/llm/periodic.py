@@ -185,22 +185,36 @@ def crossing_runs(words: np.ndarray, start: np.ndarray, middle: np.ndarray, end:
         q = np.arange(len(x)) - np.repeat(np.cumsum(most[part]) - most[part], most[part]) + 1
         b, s, e = middle[x], start[x], end[x]
         # the stretch of words equal at distance q holds b - q or b - 1, and 16 words: eight to one side of it
-        near = np.zeros(len(x), bool)
+        points = []
         for i in (b - q, b - 1):
+            near = np.zeros(len(x), bool)
             for j in (i, i - GRAM + 1):
                 inside = (j >= s) & (j + q + GRAM <= e)
                 j = np.where(inside, j, 0)
                 near |= inside & (gram[j] == gram[np.where(inside, j + q, 0)])
-        x, q, b, s, e = x[near], q[near], b[near], s[near], e[near]
-        for i in (b - q, b - 1):
-            ok = (i >= s) & (i + q < e)
-            ok[ok] = words[i[ok]] == words[i[ok] + q[ok]]
-            xi, qi, ii, si, ei = x[ok], q[ok], i[ok], s[ok], e[ok]
-            back = _extend(words, ii, qi, ii - si + 1, -1)
-            ahead = _extend(words, ii, qi, ei - qi - ii, 1)
-            low, high = ii - back + 1, ii + ahead + qi
+            near[near] = words[i[near]] == words[i[near] + q[near]]
+            points.append((x[near], q[near], i[near]))
+        x, q, i = (np.concatenate(c) for c in zip(*points))
+        order = np.lexsort((i, q, x))
+        x, q, i = x[order], q[order], i[order]
+        # the smallest periods first; a multiple of a period found gives the same stretch again and is left out
+        turn = 2
+        while len(x):
+            first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+            group = np.cumsum(np.r_[True, x[1:] != x[:-1]]) - 1
+            now = np.arange(len(x)) - first[group] < turn
+            xi, qi, ii = x[now], q[now], i[now]
+            low = ii - _extend(words, ii, qi, ii - start[xi] + 1, -1) + 1
+            high = ii + _extend(words, ii, qi, end[xi] - qi - ii, 1) + qi
             good = high - low >= np.maximum(LEAST, REPEATS * qi)
             found.append((xi[good], low[good], high[good], qi[good]))
+            order = np.lexsort((qi, low - high, xi))
+            best = order[np.r_[True, xi[order][1:] != xi[order][:-1]]]  # the longest stretch of each node
+            to = best[group[~now]]
+            x, q, i = x[~now], q[~now], i[~now]
+            again = (q % qi[to] == 0) & (low[to] <= i) & (i < high[to] - q)
+            x, q, i = x[~again], q[~again], i[~again]
+            turn *= 2
     if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(c) for c in zip(*found))
