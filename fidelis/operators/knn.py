@@ -1,26 +1,24 @@
-"""Exact k-nearest-neighbour search with equi-joins only (no cross join, no all-pairs emission).
-
-Reference rows are bucketed into a grid over their leading principal-component
-scores (quantile cell edges, so cells hold about the same number of rows).  A
-query row first meets the reference rows of its own cell and the cells beside it;
-in every further round cells are twice as wide, so there are at most log2(cells per
-axis) + 1 rounds of the same 3**dims neighbours, each an equi-join on the cell
-coordinates.  Projection onto orthonormal directions never increases a distance, so
-once the k-th candidate distance of a row is below the distance from the row to the
-outside of its box, no unvisited row can enter its top k and the row is final.  The
-last box spans the whole grid, where the bound is infinite: the result is exact in
-all cases, and only rows still open take part in the next round.
-
-Distances are computed in blocks: query and reference rows of one cell meet in a
-cogroup keyed by (cell, query salt, reference salt), where the salts split a cell
-into blocks of at most 2048 x 2048 rows (a cell holding a third of all rows is
-spread over many tasks).  Each block returns only the k best candidates per query
-row.  Distances are direct differences, so exact copies give 0.
+"""Exact k-nearest-neighbour search over kd-tree cells with boxes in all dimensions.
+
+Reference rows lie in the leaves of a kd-tree (``kdtree.py``); a cell is a node with
+``CELL_LEAVES`` leaves.  A query row first meets the reference rows of its own cell, which
+gives it a bound: the k-th distance found.  Then the tree is walked downwards once, per
+cell of query rows against nodes of reference rows, by joins on the parent node; a node
+further away than the cell's greatest bound is left out with all below it.  Of the cells
+that are left, a query row goes to those whose box is no further than its own bound.  A row
+whose k-th distance is below the next box is thereby final, and the result is exact: a
+reference row in a box beyond the bound cannot enter the top k.
+
+Inside a cell the leaves are met in the same way, nearest first, by numpy on blocks:
+query and reference rows of one cell meet in a cogroup keyed by (cell, query salt, reference
+salt), where the salts split a cell into blocks of at most 2048 x 2048 rows (a cell
+holding a third of all rows, say of equal rows, is spread over many tasks).  A block
+returns only candidates within the bound, at most k per query row.  Distances are direct
+differences, so exact copies give 0.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -29,7 +27,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fidelis.session import cut_lineage
+from fidelis.operators import kdtree
+from fidelis.session import materialise
+
+LEAF_ROWS = 144
+CELL_LEVELS = 3  # a cell is a node three levels above the leaves
+STEP = 3  # levels walked down by one join
+Q_BLOCK = 2048  # query rows per distance block
+R_BLOCK = 2048  # reference rows per distance block
+
 
 def euclid(features: Sequence[str], left: str = "q_", right: str = "r_") -> Column:
     total = None
@@ -39,196 +45,217 @@ def euclid(features: Sequence[str], left: str = "q_", right: str = "r_") -> Colu
     return F.sqrt(total)
 
 
-def _directions(ref: DataFrame, features: list[str], dims: int) -> np.ndarray:
-    """Top principal directions of the reference rows (p x p covariance, solved on the driver)."""
-    from fidelis.operators.dependency import moments
-
-    m = moments(ref.withColumn("_g", F.lit(0)), features, ["_g"]).select("var_i", "var_j", "cov", "sd_i", "sd_j").collect()
-    p = len(features)
-    idx = {f: i for i, f in enumerate(features)}
-    cov = np.zeros((p, p))
-    for r in m:
-        i, j = idx[r["var_i"]], idx[r["var_j"]]
-        cov[i, j] = cov[j, i] = r["cov"] or 0.0
-        cov[i, i] = (r["sd_i"] or 0.0) ** 2
-        cov[j, j] = (r["sd_j"] or 0.0) ** 2
-    if p == 1:
-        cov[0, 0] = 1.0
-    w, v = np.linalg.eigh(cov)
-    order = np.argsort(w)[::-1][:dims]
-    return v[:, order].T  # dims x p, orthonormal rows
-
-
-def _project(df: DataFrame, features: list[str], dirs: np.ndarray, prefix: str) -> DataFrame:
-    cols = []
-    for d, u in enumerate(dirs):
-        e = None
-        for f, c in zip(features, u):
-            t = F.col(f"{prefix}{f}") * float(c)
-            e = t if e is None else e + t
-        cols.append(e.alias(f"_z{d}"))
-    return df.select("*", *cols)
-
-
-def _cells(df: DataFrame, edges: list[list[float]]) -> DataFrame:
-    out = df
-    for d, b in enumerate(edges):
-        c = F.lit(0)
-        for x in b:
-            c = c + (F.col(f"_z{d}") >= F.lit(float(x))).cast("int")
-        out = out.withColumn(f"_c{d}", c)
-    return out
+def _leaf_boxes(leaf: np.ndarray, x: np.ndarray):
+    """Rows sorted by leaf: first row of each leaf, and the boxes."""
+    first = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
+    return first, np.minimum.reduceat(x, first), np.maximum.reduceat(x, first)
 
 
-Q_BLOCK = 2048  # query rows per distance block
-R_BLOCK = 2048  # reference rows per distance block
+class _Best:
+    """The k best candidates of each query row of a block, and its bound."""
+
+    def __init__(self, bound: np.ndarray, k: int):
+        self.k, self.bound = k, bound
+        self.dist = np.full((len(bound), k), np.inf)
+        self.rows: list[tuple] = []
+
+    def add(self, rows: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+        """Candidates (query row, distance, reference id), any order."""
+        self.rows.append((rows, d, ids))
+        order = np.lexsort((d, rows))
+        r, dd = rows[order], d[order]
+        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        rank = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
+        top = rank < self.k
+        touched = r[first]
+        fresh = np.full((len(touched), self.k), np.inf)
+        fresh[np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(r)]))[top], rank[top]] = dd[top]
+        merged = np.sort(np.concatenate([self.dist[touched], fresh], axis=1), axis=1)[:, :self.k]
+        self.dist[touched] = merged
+        self.bound[touched] = np.minimum(self.bound[touched], merged[:, -1])
+
+    def result(self):
+        if not self.rows:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        rows, d, ids = (np.concatenate(c) for c in zip(*self.rows))
+        near = d <= self.bound[rows]
+        rows, d, ids = rows[near], d[near], ids[near]
+        order = np.lexsort((ids, d, rows))
+        rows, d, ids = rows[order], d[order], ids[order]
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
+        rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+        keep = rank < self.k
+        return rows[keep], d[keep], ids[keep]
+
 
+def _meet(best: _Best, q: np.ndarray, at: np.ndarray, r: np.ndarray, ids: np.ndarray) -> None:
+    """Distances of query rows ``at`` to the rows of one leaf, candidates within the bound kept."""
+    qa = q[at]
+    qn, rn = np.einsum("ij,ij->i", qa, qa), np.einsum("ij,ij->i", r, r)
+    # screen with one matrix product; exact distances below
+    d2 = qn[:, None] + rn[None, :] - 2.0 * (qa @ r.T)
+    tol = 1e-9 * (qn + rn.max()) + 1e-12
+    limit = best.bound[at] ** 2
+    open_ = np.isinf(limit)
+    if open_.any() and d2.shape[1] > best.k:
+        limit[open_] = np.partition(d2[open_], best.k - 1, axis=1)[:, best.k - 1]
+    rows, cols = np.nonzero(d2 <= (limit + tol)[:, None])
+    if not len(rows):
+        return
+    diff = qa[rows] - r[cols]
+    d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    rows = at[rows]
+    near = d <= best.bound[rows]
+    if near.any():
+        best.add(rows[near], d[near], ids[cols[near]])
 
-def _block_kernel(ident: list[str], features: list[str], k: int):
-    """cogroup body: all distances of one (query block, reference block); k best per query row."""
-    qf = [f"q_{f}" for f in features]
-    rf = [f"r_{f}" for f in features]
+
+def _block_kernel(ident: list[str], features: list[str], k: int, count: bool):
+    """cogroup body: one query block against one reference block, leaf by leaf, nearest leaf first."""
+    qf, rf = [f"q_{f}" for f in features], [f"r_{f}" for f in features]
 
     def run(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
-        if qdf.empty or rdf.empty:
-            empty = {c: qdf[c].to_numpy()[:0] for c in ident}
-            empty["dist"] = np.zeros(0)
-            empty["_rid"] = np.zeros(0, dtype=np.int64)
-            return pd.DataFrame(empty)
-        rx = rdf[rf].to_numpy(dtype=np.float64)
-        rid = rdf["_rid"].to_numpy()
-        qx = qdf[qf].to_numpy(dtype=np.float64)
-        kk = min(k, len(rid))
-        outs = []
-        rn = np.einsum("ij,ij->i", rx, rx)
-        step = max(1, 8_000_000 // max(1, rx.shape[0]))
-        for a in range(0, qx.shape[0], step):
-            qa = qx[a:a + step]
-            qn = np.einsum("ij,ij->i", qa, qa)
-            # candidate screen with one BLAS product; exact distances recomputed below
-            d2 = qn[:, None] + rn[None, :] - 2.0 * (qa @ rx.T)
-            kth2 = np.partition(d2, kk - 1, axis=1)[:, kk - 1] if kk < d2.shape[1] else d2.max(axis=1)
-            tol = 1e-9 * (qn + rn.max()) + 1e-12
-            rows, cols = np.nonzero(d2 <= (kth2 + tol)[:, None])
-            diff = qa[rows] - rx[cols]
-            d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-            order = np.lexsort((rid[cols], d, rows))
-            rows, cols, d = rows[order], cols[order], d[order]
-            first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
-            rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
-            keep = rank < kk
-            pos = a + rows[keep]
-            sel = {c: qdf[c].to_numpy()[pos] for c in ident}
-            sel["dist"] = d[keep]
-            sel["_rid"] = rid[cols[keep]]
-            outs.append(sel)
-        return pd.DataFrame({c: np.concatenate([o[c] for o in outs]) for c in [*ident, "dist", "_rid"]})
+        q = qdf[qf].to_numpy(dtype=np.float64)
+        if not len(q) or rdf.empty:
+            none = {c: qdf[c].to_numpy()[:0] for c in ident}
+            return pd.DataFrame(none | ({"compared": np.zeros(0, np.int64)} if count else {"dist": np.zeros(0), "_rid": np.zeros(0, np.int64)}))
+        rdf = rdf.sort_values("_leaf", kind="stable")
+        r, ids = rdf[rf].to_numpy(dtype=np.float64), rdf["_rid"].to_numpy()
+        first, lo, hi = _leaf_boxes(rdf["_leaf"].to_numpy(), r)
+        last = np.r_[first[1:], len(r)]
+        best = _Best(qdf["_bound"].to_numpy(dtype=np.float64).copy(), k)
+        gap = np.zeros((len(q), len(first)))
+        for i in range(q.shape[1]):
+            g = np.maximum(np.maximum(lo[None, :, i] - q[:, i, None], q[:, i, None] - hi[None, :, i]), 0.0)
+            gap += g * g
+        gap = np.sqrt(gap)
+        compared = np.zeros(len(q), np.int64)
+        nearest = gap.argmin(axis=1)
+        slack = 1 + 1e-12
+        for turn in (0, 1):  # every row's nearest leaf, then the others that its bound lets in
+            for j in range(len(first)):
+                mine = (nearest == j) if turn == 0 else (nearest != j)
+                at = np.flatnonzero(mine & (gap[:, j] <= best.bound * slack))
+                if len(at):
+                    compared[at] += last[j] - first[j]
+                    _meet(best, q, at, r[first[j]:last[j]], ids[first[j]:last[j]])
+        if count:
+            return pd.DataFrame({c: qdf[c].to_numpy() for c in ident} | {"compared": compared})
+        rows, d, rid = best.result()
+        return pd.DataFrame({c: qdf[c].to_numpy()[rows] for c in ident} | {"dist": d, "_rid": rid})
 
     return run
 
 
+class _Search:
+    """One search: rows in their cells, and the meeting of queries with cells."""
+
+    def __init__(self, query, ref, features, k, query_id, ref_id, keys, carry, leaf_rows):
+        self.features, self.k, self.keys = features, k, keys
+        self.p = len(features)
+        self.ident = [*keys, *carry, "_qid"]
+        r = ref.select(*keys, F.col(ref_id).alias("_rid"), *[F.col(f).cast("double").alias(f) for f in features]).dropna(subset=features)
+        q = query.select(*keys, *carry, F.col(query_id).alias("_qid"), *[F.col(f).cast("double").alias(f) for f in features]).dropna(subset=features)
+        r = r if not keys else r.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))
+        sizes = r.groupBy(*keys).count().agg(F.avg("count")).first()[0] if keys else r.count()
+        self.tree = kdtree.build(r, features, "_rid", kdtree.depth_for(sizes or 1, leaf_rows))
+        self.up = min(CELL_LEVELS, self.tree.depth)
+        self.depth = self.tree.depth - self.up  # of cells
+        self.refs = materialise(self._named(self.tree.place(r), "r_", "_rid"), "knn-ref")
+        self.queries = materialise(self._named(self.tree.place(q), "q_", "_qid"), "knn-query")
+        self.q_schema, self.r_schema = self.queries.schema, self.refs.schema
+
+    def _named(self, df: DataFrame, prefix: str, row: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in (*self.features, "_leaf")]
+        return df.select(*rest, *[F.col(f).alias(f"{prefix}{f}") for f in self.features], "_leaf", F.shiftright("_leaf", self.up).alias("_cell"))
+
+    def meet(self, asked: DataFrame, count: bool = False) -> DataFrame:
+        """Candidates of ``asked`` (query rows with _bound, _cell) among the reference rows of that cell."""
+        keys, cell = self.keys, [*self.keys, "_cell"]
+        # block sizes per cell: salts keep every (cell, query salt, reference salt) block bounded
+        q_sizes = asked.groupBy(*cell).agg(F.count(F.lit(1)).alias("_nq"))
+        r_sizes = self.refs.groupBy(*cell).agg(F.count(F.lit(1)).alias("_nr"))
+        blocks = materialise(q_sizes.join(r_sizes, cell).select(
+            *cell, F.ceil(F.col("_nq") / Q_BLOCK).cast("int").alias("_sq"), F.ceil(F.col("_nr") / R_BLOCK).cast("int").alias("_sr")), "knn-blocks")
+        qb = asked.join(blocks, cell).select(
+            *self.ident, "_bound", "_cell", *[f"q_{f}" for f in self.features],
+            F.pmod(F.xxhash64(*self.ident), F.col("_sq")).cast("int").alias("_qs"),
+            F.explode(F.sequence(F.lit(0), F.col("_sr") - 1)).alias("_rs"))
+        rb = self.refs.join(blocks, cell).select(
+            *keys, "_rid", "_cell", "_leaf", *[f"r_{f}" for f in self.features],
+            F.when(F.col("_sr") == 1, 0).otherwise(F.pmod(F.xxhash64("_rid"), F.col("_sr"))).cast("int").alias("_rs"),
+            F.explode(F.sequence(F.lit(0), F.col("_sq") - 1)).alias("_qs"))
+        by = [*cell, "_qs", "_rs"]
+        out = [self.q_schema[c] for c in self.ident]
+        out += [T.StructField("compared", T.LongType())] if count else [T.StructField("dist", T.DoubleType()), T.StructField("_rid", self.r_schema["_rid"].dataType)]
+        kernel = _block_kernel(self.ident, self.features, self.k, count)
+        return qb.groupBy(*by).cogroup(rb.groupBy(*by)).applyInPandas(kernel, T.StructType(out))
+
+    def best(self, candidates: DataFrame) -> DataFrame:
+        """The k best candidates of each query row, ranked."""
+        w = Window.partitionBy(*self.ident).orderBy("dist", "_rid")
+        return candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= self.k)
+
+    def others(self, bounded: DataFrame) -> DataFrame:
+        """Query rows (with _bound) once per further cell that may hold a nearer row: _cell is that cell."""
+        keys, p = self.keys, self.p
+        cells = materialise(kdtree.boxes(self.refs, self.features, F.col("_cell"), keys, "r_"), "knn-cells")
+        asked = kdtree.boxes(bounded, self.features, F.col("_cell"), keys, "q_").join(
+            bounded.groupBy(*keys, F.col("_cell").alias("_node")).agg(F.max("_bound").alias("_far")), [*keys, "_node"])
+        # walk down: (cell of queries, reference node) while the boxes are within the cell's greatest bound
+        front = asked.select(*keys, F.col("_node").alias("_qcell"), F.col("_lo").alias("_qlo"), F.col("_hi").alias("_qhi"), "_far", F.lit(0).cast("long").alias("_up"))
+        level = 0
+        while level < self.depth:
+            step = min(STEP, self.depth - level)
+            level += step
+            below = kdtree.parents(cells, p, self.depth - level, keys) if level < self.depth else cells
+            below = below.withColumn("_up", F.shiftright("_node", step))
+            gap = kdtree.box_distance2(p, "_qlo", "_qhi", "_lo", "_hi")
+            front = front.join(below, [*keys, "_up"]).filter(gap <= F.col("_far") * F.col("_far") * (1 + 1e-9)).select(
+                *keys, "_qcell", "_qlo", "_qhi", "_far", F.col("_node").alias("_up"), "_lo", "_hi")
+            if level < self.depth:
+                front = front.drop("_lo", "_hi")
+        if not self.depth:
+            return bounded.limit(0)
+        pairs = materialise(front.filter("_qcell != _up").select(*keys, F.col("_qcell").alias("_cell"), F.col("_up").alias("_to"), "_lo", "_hi"), "knn-pairs")
+        gap = None
+        for i, f in enumerate(self.features):
+            g = F.greatest(F.lit(0.0), F.get("_lo", F.lit(i)) - F.col(f"q_{f}"), F.col(f"q_{f}") - F.get("_hi", F.lit(i)))
+            gap = g * g if gap is None else gap + g * g
+        met = bounded.join(pairs, [*keys, "_cell"]).filter(gap <= F.col("_bound") * F.col("_bound") * (1 + 1e-9))
+        return met.drop("_cell", "_lo", "_hi").withColumnRenamed("_to", "_cell")
+
+    def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(first candidates, query rows with bounds, query rows of further cells)."""
+        own = self.queries.withColumn("_bound", F.lit(float("inf")))
+        first = materialise(self.best(self.meet(own)).drop("rank"), "knn-first")
+        kth = first.groupBy(*self.ident).agg(F.when(F.count(F.lit(1)) == self.k, F.max("dist")).alias("_kth"))
+        bounded = materialise(
+            self.queries.join(kth, self.ident, "left").withColumn("_bound", F.coalesce("_kth", F.lit(float("inf")))).drop("_kth"), "knn-bounds")
+        return first, own, materialise(self.others(bounded), "knn-asked")
+
+
 def knn(query: DataFrame, ref: DataFrame, features: Sequence[str], k: int = 1, *, query_id: str, ref_id: str,
-        keys: Sequence[str] = (), carry: Sequence[str] = (), grid_dims: int = 3, cell_rows: int = 512) -> DataFrame:
+        keys: Sequence[str] = (), carry: Sequence[str] = (), leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """For every query row: its k nearest reference rows with equal ``keys``.
 
     ``carry`` are further query columns that identify a query row (e.g. its dataset
     when all datasets share one reference).  Returns (keys, carry, query_id, rank,
     dist, ref_id) where ``ref_id`` holds the reference row's ``ref_id`` column; ties are
-    broken by it.  Rows with a null feature are skipped.
+    broken by it.  Rows with a null feature or key are skipped.
     """
-    features, keys, carry = list(features), list(keys), list(carry)
-    ident = [*keys, *carry, "_qid"]
-    dims = max(1, min(grid_dims, len(features)))
-
-    def complete(prefix):
-        c = F.lit(True)
-        for f in features:
-            c = c & F.col(f"{prefix}{f}").isNotNull()
-        return c
-
-    q = query.select(*keys, *carry, F.col(query_id).alias("_qid"),
-                     *[F.col(f).cast("double").alias(f"q_{f}") for f in features]).filter(complete("q_"))
-    r = ref.select(*keys, F.col(ref_id).alias("_rid"),
-                   *[F.col(f).cast("double").alias(f"r_{f}") for f in features]).filter(complete("r_"))
-    dirs = _directions(ref.select(*features).dropna(), features, dims)
-    sizes = r.groupBy(*keys).count().agg(F.avg("count")).first()[0] if keys else r.count()
-    n_ref = float(sizes or 1)
-    g = max(1, int(round((max(n_ref, 1.0) / cell_rows) ** (1.0 / dims))))
-    rz = _project(r, features, dirs, "r_")
-    probs = [i / g for i in range(1, g)]
-    edges = []
-    if probs:
-        qs = rz.select(*[F.percentile_approx(f"_z{d}", probs, 10000).alias(f"e{d}") for d in range(dims)]).first()
-        edges = [sorted(set(float(x) for x in qs[f"e{d}"])) for d in range(dims)]
-    else:
-        edges = [[] for _ in range(dims)]
-    ncell = [len(e) + 1 for e in edges]
-    rz = cut_lineage(_cells(rz, edges))
-    qz = _cells(_project(q, features, dirs, "q_"), edges)
-    qz = cut_lineage(qz)
-
-    def lower(d: int, c: Column) -> Column:
-        """Left edge of fine cell ``c`` (minus infinity at the grid's border)."""
-        arr = F.array(F.lit(float("-inf")), *[F.lit(x) for x in edges[d]])
-        return F.get(arr, F.greatest(c, F.lit(0)).cast("int"))
-
-    cell_cols = [f"_c{d}" for d in range(dims)]
-    rside = rz.select(*keys, "_rid", *cell_cols, *[f"r_{f}" for f in features])
-    pend = qz
-    done = []
-    wq = Window.partitionBy(*ident).orderBy("dist", "_rid")
-    kernel = _block_kernel(ident, features, k)
-    out_schema = T.StructType([qz.schema[c] for c in ident] + [
-        T.StructField("dist", T.DoubleType()), T.StructField("_rid", rside.schema["_rid"].dataType)])
-    neighbours = F.array(*[F.array(*[F.lit(x) for x in o]) for o in itertools.product((-1, 0, 1), repeat=dims)])
-    level = 0
-    while True:
-        width = 1 << level
-        wide = [F.shiftright(f"_c{d}", level) for d in range(dims)]
-        ex = pend.select("*", *[c.alias(f"_w{d}") for d, c in enumerate(wide)], F.explode(neighbours).alias("_off"))
-        inside = F.lit(True)
-        for d in range(dims):
-            ex = ex.withColumn(f"_t{d}", F.col(f"_w{d}") + F.col("_off")[d])
-            inside = inside & F.col(f"_t{d}").between(0, (ncell[d] - 1) >> level)
-        ex = ex.filter(inside).select(*ident, *[F.col(f"_t{d}").alias(f"_c{d}") for d in range(dims)], *[f"q_{f}" for f in features])
-        rw = rside.withColumns({f"_c{d}": wide[d] for d in range(dims)})
-        # block sizes per target cell: salts keep every (cell, q-salt, r-salt) block bounded
-        q_sizes = ex.groupBy(*keys, *cell_cols).agg(F.count(F.lit(1)).alias("_nq"))
-        r_sizes = rw.groupBy(*keys, *cell_cols).agg(F.count(F.lit(1)).alias("_nr"))
-        blocks = q_sizes.join(r_sizes, [*keys, *cell_cols]).select(
-            *keys, *cell_cols, F.ceil(F.col("_nq") / Q_BLOCK).cast("int").alias("_sq"),
-            F.ceil(F.col("_nr") / R_BLOCK).cast("int").alias("_sr"))
-        blocks = cut_lineage(blocks)  # one row per non-empty cell; joined by shuffle, it grows with REAL
-        qb = ex.join(blocks, [*keys, *cell_cols]).select(
-            "*", F.pmod(F.xxhash64(*[F.col(c) for c in ident]), F.col("_sq")).cast("int").alias("_qs"),
-            F.explode(F.sequence(F.lit(0), F.col("_sr") - 1)).alias("_rs")).drop("_sq", "_sr")
-        rb = rw.join(blocks, [*keys, *cell_cols]).select(
-            "*", F.pmod(F.xxhash64("_rid"), F.col("_sr")).cast("int").alias("_rs"),
-            F.explode(F.sequence(F.lit(0), F.col("_sq") - 1)).alias("_qs")).drop("_sq", "_sr")
-        gkeys = [*keys, *cell_cols, "_qs", "_rs"]
-        cand = qb.groupBy(*gkeys).cogroup(rb.groupBy(*gkeys)).applyInPandas(kernel, out_schema)
-        top = cut_lineage(cand.withColumn("_k", F.row_number().over(wq)).filter(F.col("_k") <= k).drop("_k"))
-        # bound: distance from the row to the outside of its box of three wide cells (per grid axis)
-        lb = None
-        for d in range(dims):
-            first, after = (wide[d] - 1) * width, (wide[d] + 2) * width
-            lo = F.when(first <= 0, F.lit(float("inf"))).otherwise(F.col(f"_z{d}") - lower(d, first))
-            hi = F.when(after >= ncell[d], F.lit(float("inf"))).otherwise(lower(d, after) - F.col(f"_z{d}"))
-            m = F.least(lo, hi)
-            lb = m if lb is None else F.least(lb, m)
-        stat = top.groupBy(*ident).agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_kth"))
-        status = pend.select(*ident, lb.alias("_lb")).join(stat, ident, "left")
-        unbounded = F.col("_lb") == F.lit(float("inf"))
-        final = ((F.col("_n") == k) & (F.col("_kth") < F.col("_lb"))) | unbounded
-        status = cut_lineage(status.withColumn("_final", F.coalesce(final, unbounded)))
-        done.append(top.join(status.filter("_final").select(*ident), ident, "left_semi"))
-        pend = cut_lineage(pend.join(status.filter(~F.col("_final")).select(*ident), ident, "left_semi"))
-        if pend.isEmpty():
-            break
-        level += 1
-    # the last box spans the whole grid (bound = inf), so every row is final here
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out.select(*keys, *carry, F.col("_qid").alias(query_id), F.row_number().over(wq).alias("rank"), "dist",
-                      F.col("_rid").alias("ref_id"))
+    s = _Search(query, ref, list(features), k, query_id, ref_id, list(keys), list(carry), leaf_rows)
+    first, _, asked = s.run()
+    out = s.best(first.unionByName(s.meet(asked)))
+    return out.select(*keys, *carry, F.col("_qid").alias(query_id), "rank", "dist", F.col("_rid").alias("ref_id"))
+
+
+def knn_compared(query: DataFrame, ref: DataFrame, features: Sequence[str], k: int = 1, *, query_id: str, ref_id: str,
+                 keys: Sequence[str] = (), carry: Sequence[str] = (), leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """The work of ``knn``: per query row the reference rows it was compared with, and their number in all."""
+    s = _Search(query, ref, list(features), k, query_id, ref_id, list(keys), list(carry), leaf_rows)
+    _, own, asked = s.run()
+    done = s.meet(own, count=True).unionByName(s.meet(asked, count=True)).groupBy(*s.ident).agg(F.sum("compared").alias("compared"))
+    total = s.refs.groupBy(*keys).agg(F.count(F.lit(1)).alias("ref_rows"))
+    done = done.join(total, list(keys)) if keys else done.withColumn("ref_rows", F.lit(total.first()["ref_rows"]))
+    return done.withColumnRenamed("_qid", query_id)

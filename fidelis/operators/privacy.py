@@ -11,9 +11,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fidelis.operators.knn import knn
 from fidelis.operators.marginal import exact_quantiles
+from fidelis.operators.pairs import PairDistances
 from fidelis.session import materialise
 
 REAL = "REAL"
@@ -59,6 +61,26 @@ def k_distance(nn: DataFrame, k: int = 5, by=DATASET) -> DataFrame:
     return kth.groupBy(*by).agg(F.avg("dist").alias("mean_k_distance"), F.min("dist").alias("min_k_distance"))
 
 
+MEMBERSHIP_SHARE = 0.01  # fixed value: the radius is the first percentile of all distances
+
+
+def membership_proxy(panel: DataFrame, nn: DataFrame, features: Sequence[str], real: str = REAL, by=DATASET,
+                     row_id: str = "row_id", share: float = MEMBERSHIP_SHARE) -> DataFrame:
+    """Share of synthetic rows nearer to a REAL row than the first percentile of all distances to REAL (strictly).
+
+    ``nn`` are the dataset's ``nn_distances``.  The percentile is exact (``pairs.py``): it comes from counts of
+    node pairs, no pair of rows is emitted.  Also: the radius, the pairs and how many of them were expanded."""
+    r, s = _split(panel, real)
+    found = PairDistances(s, r, features, by, row_id).quantile(share)
+    schema = T.StructType([panel.schema[c] for c in by] + [
+        T.StructField("radius", T.DoubleType()), T.StructField("pairs", T.LongType()), T.StructField("expanded", T.LongType())])
+    radius = panel.sparkSession.createDataFrame([(*[x[c] for c in by], x["value"], x["pairs"], x["expanded"]) for x in found], schema)
+    first = nn.filter(F.col("rank") == 1).join(radius, list(by))
+    return first.groupBy(*by).agg(
+        F.avg((F.col("dist") < F.col("radius")).cast("double")).alias("membership_inference"),
+        *[F.first(c).alias(c) for c in ("radius", "pairs", "expanded")])
+
+
 def attribute_disclosure(panel: DataFrame, qi: Sequence[str], sensitive: str, real: str = REAL, by=DATASET,
                          row_id: str = "row_id") -> DataFrame:
     """Nearest REAL row by one-hot QIs (= most equal QIs, first row on ties); share of synthetic

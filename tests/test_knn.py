@@ -17,13 +17,13 @@ def _brute(q, r, k):
     return np.sort(d, axis=1)[:, :k]
 
 
-@pytest.mark.parametrize("cell_rows,k", [(16, 1), (8, 5), (100000, 3)])
-def test_knn_matches_brute_force(spark, cell_rows, k):
+@pytest.mark.parametrize("leaf_rows,k", [(4, 1), (2, 5), (100000, 3)])
+def test_knn_matches_brute_force(spark, leaf_rows, k):
     p = load_panel(spark, SF_SMALL, extended=True, with_row_id=True)
     real = p.filter("technique = 'REAL'")
     syn = p.filter("technique = 'SYN_NOISY'")
     res = knn(syn, real, FEATS, k, query_id="row_id", ref_id="row_id", carry=["technique", "replicate"],
-              cell_rows=cell_rows).toPandas()
+              leaf_rows=leaf_rows).toPandas()
     rp = real.select("row_id", *FEATS).toPandas().sort_values("row_id")
     sp = syn.select("row_id", *FEATS).toPandas().sort_values("row_id")
     want = _brute(sp[FEATS].to_numpy(), rp[FEATS].to_numpy(), k)
@@ -36,7 +36,7 @@ def test_exact_copies_have_zero_distance(spark):
     p = load_panel(spark, SF_SMALL, extended=True, with_row_id=True)
     real = p.filter("technique = 'REAL'")
     copies = p.filter("technique = 'SYN_COPY'")
-    res = knn(copies, real, FEATS, 1, query_id="row_id", ref_id="row_id", cell_rows=16)
+    res = knn(copies, real, FEATS, 1, query_id="row_id", ref_id="row_id", leaf_rows=4)
     assert res.agg(F.max("dist")).first()[0] == 0.0
     # the nearest REAL row of a copy is its source row
     assert res.filter(F.col("row_id") != F.col("ref_id")).count() == 0
