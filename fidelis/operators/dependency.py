@@ -17,9 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fidelis.operators.order import cumulative_counts
-from fidelis.operators.reshape import melt
-from fidelis.session import materialise
+from fidelis.operators.order import ranked_rows
 
 DATASET = ("technique", "replicate")
 
@@ -72,49 +70,67 @@ def _pair_partials(by: list[str], variables: list[str]):
     return run
 
 
-def moments(df: DataFrame, variables: Sequence[str], by: Sequence[str] = DATASET) -> DataFrame:
-    """Long moment table (by, var_i, var_j, n, mean_i, mean_j, sd_i, sd_j, cov, corr, n_rows) for
-    i < j, pairwise-complete; ``n_rows`` counts all rows of the dataset.
+_PARTIAL = ("n", "mean_i", "mean_j", "m2_i", "m2_j", "c", "nrow")
 
-    One pass over rows: every partition emits centred partial co-moments per dataset
-    and pair (Arrow/numpy); partials are merged with Chan's formula by two small
-    aggregations.  Shuffle volume is partitions x datasets x p^2 rows, independent of
-    the row count, and a dataset holding most rows is still spread over all tasks."""
+
+def _partial_schema(df: DataFrame, by: Sequence[str]) -> T.StructType:
+    return T.StructType([df.schema[b] for b in by] + [T.StructField("var_i", T.StringType()), T.StructField("var_j", T.StringType())] + [
+        T.StructField(f, T.LongType() if f in ("n", "nrow") else T.DoubleType()) for f in _PARTIAL])
+
+
+def moment_partials(df: DataFrame, variables: Sequence[str], by: Sequence[str] = DATASET) -> DataFrame:
+    """Centred partial co-moments: one row per partition, dataset and pair i < j, from one pass over the rows."""
     by, variables = list(by), list(variables)
-    schema = T.StructType([df.schema[b] for b in by] + [
-        T.StructField("var_i", T.StringType()), T.StructField("var_j", T.StringType()),
-        T.StructField("n", T.LongType()), T.StructField("mean_i", T.DoubleType()),
-        T.StructField("mean_j", T.DoubleType()), T.StructField("m2_i", T.DoubleType()),
-        T.StructField("m2_j", T.DoubleType()), T.StructField("c", T.DoubleType()),
-        T.StructField("nrow", T.LongType())])
+    schema = _partial_schema(df, by)
     src = df.select(*by, *[F.col(v).cast("double").alias(v) for v in variables])
-    # read twice below: written, so the rows are scanned once
-    part = materialise(src.mapInPandas(_pair_partials(by, variables), schema).filter(F.col("n") > 0), "partials")
-    nrows = src.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
+    return src.mapInPandas(_pair_partials(by, variables), schema)
+
+
+def combine_partials(partials: DataFrame, by: Sequence[str] = DATASET) -> DataFrame:
+    """Partials merged to one row per dataset and pair with Chan's formula; partials of other runs may be among them."""
     keys = [*by, "var_i", "var_j"]
-    cent = part.groupBy(*keys).agg(
-        F.sum("n").alias("n_tot"), (F.sum(F.col("n") * F.col("mean_i")) / F.sum("n")).alias("mu_i"),
-        (F.sum(F.col("n") * F.col("mean_j")) / F.sum("n")).alias("mu_j"))
-    di, dj = F.col("mean_i") - F.col("mu_i"), F.col("mean_j") - F.col("mu_j")
-    merged = part.join(cent, keys).groupBy(*keys).agg(
-        F.first("n_tot").alias("n_all"), F.first("mu_i").alias("mu_i"), F.first("mu_j").alias("mu_j"),
-        F.sum(F.col("m2_i") + F.col("n") * di * di).alias("m2_tot_i"),
-        F.sum(F.col("m2_j") + F.col("n") * dj * dj).alias("m2_tot_j"),
-        F.sum(F.col("c") + F.col("n") * di * dj).alias("c_tot"))
-    all_pairs = nrows.select(*by, "n_rows", F.explode(F.array(*[
-        F.struct(F.lit(a).alias("var_i"), F.lit(b).alias("var_j")) for a, b in pairs(variables)])).alias("pr")) \
-        .select(*by, "n_rows", "pr.*")
-    den = F.col("n_all") - 1
-    m2i, m2j, c = F.col("m2_tot_i"), F.col("m2_tot_j"), F.col("c_tot")
-    out = all_pairs.join(merged, keys, "left").select(
-        *keys, F.coalesce(F.col("n_all"), F.lit(0)).cast("long").alias("n"),
-        F.col("mu_i").alias("mean_i"), F.col("mu_j").alias("mean_j"),
+
+    def merge(acc, x):
+        n = acc["n"] + x["n"]
+        di, dj = x["mean_i"] - acc["mean_i"], x["mean_j"] - acc["mean_j"]
+        w = acc["n"] * x["n"] / n
+        merged = F.struct(
+            n.alias("n"), (acc["mean_i"] + di * x["n"] / n).alias("mean_i"), (acc["mean_j"] + dj * x["n"] / n).alias("mean_j"),
+            (acc["m2_i"] + x["m2_i"] + di * di * w).alias("m2_i"), (acc["m2_j"] + x["m2_j"] + dj * dj * w).alias("m2_j"),
+            (acc["c"] + x["c"] + di * dj * w).alias("c"), (acc["nrow"] + x["nrow"]).alias("nrow"))
+        # a partial without complete rows has no means: only its rows count
+        none = F.struct(*[(acc[f] + x["nrow"] if f == "nrow" else acc[f]).alias(f) for f in _PARTIAL])
+        return F.when(x["n"] == 0, none).otherwise(merged)
+
+    zero = F.struct(*[F.lit(0 if f in ("n", "nrow") else 0.0).cast("long" if f in ("n", "nrow") else "double").alias(f) for f in _PARTIAL])
+    # one struct per partition and run: bounded by their number, not by rows
+    parts = partials.groupBy(*keys).agg(F.collect_list(F.struct(*_PARTIAL)).alias("_p"))
+    return parts.select(*keys, F.aggregate("_p", zero, merge).alias("_m")).select(*keys, "_m.*")
+
+
+def moments_of(partials: DataFrame, by: Sequence[str] = DATASET) -> DataFrame:
+    """The moment table of combined partials."""
+    den = F.col("n") - 1
+    m2i, m2j, c = F.col("m2_i"), F.col("m2_j"), F.col("c")
+    some = lambda x: F.when(F.col("n") > 0, F.col(x))
+    return partials.select(
+        *by, "var_i", "var_j", "n", some("mean_i").alias("mean_i"), some("mean_j").alias("mean_j"),
         F.when(den > 0, F.sqrt(m2i / den)).alias("sd_i"),
         F.when(den > 0, F.sqrt(m2j / den)).alias("sd_j"),
         F.when(den > 0, c / den).alias("cov"),
         F.when((m2i > 0) & (m2j > 0), c / F.sqrt(m2i * m2j)).alias("corr"),
-        "n_rows")
-    return out
+        F.col("nrow").alias("n_rows"))
+
+
+def moments(df: DataFrame, variables: Sequence[str], by: Sequence[str] = DATASET) -> DataFrame:
+    """Long moment table (by, var_i, var_j, n, mean_i, mean_j, sd_i, sd_j, cov, corr, n_rows) for
+    i < j, pairwise-complete; ``n_rows`` counts all rows of the dataset.
+
+    One pass over rows: every partition emits centred partial co-moments per dataset
+    and pair (Arrow/numpy); one aggregation merges them with Chan's formula.  Shuffle
+    volume is partitions x datasets x p^2 rows, independent of the row count, and a
+    dataset holding most rows is still spread over all tasks."""
+    return moments_of(combine_partials(moment_partials(df, variables, by), by), by)
 
 
 def corr_pearson(df: DataFrame, variables: Sequence[str], by: Sequence[str] = DATASET,
@@ -126,49 +142,68 @@ def corr_pearson(df: DataFrame, variables: Sequence[str], by: Sequence[str] = DA
     return m.select(*by, "var_i", "var_j", "n", r.alias("r"))
 
 
-def average_ranks(df: DataFrame, variables: Sequence[str], by: Sequence[str], row_key: str) -> DataFrame:
-    """Average-tie ranks of each variable within its dataset (wide result keyed by ``row_key``)."""
-    by = list(by)
-    long = melt(df, [*by, row_key], variables, drop_nulls=True)
-    counts = long.groupBy(*by, "variable", "value").agg(F.count(F.lit(1)).alias("w"))
-    cdf = cumulative_counts(counts, [*by, "variable"], "value", ["w"])
-    ranks = cdf.select(*by, "variable", "value", (F.col("cum_w") - (F.col("w") - 1) / 2.0).alias("rank"))
-    ranked = long.join(ranks, [*by, "variable", "value"])
-    return ranked.groupBy(*by, row_key).pivot("variable", list(variables)).agg(F.first("rank"))
+def pair_ranks(df: DataFrame, variables: Sequence[str], by: Sequence[str], row_key: str) -> tuple[DataFrame, list[str]]:
+    """Average-tie ranks of every value among the rows that are complete for a pair.
+
+    Returns (by, row_key, _r) and the variables with nulls, ``dirty``; ``_r`` holds (v, ranks) per variable number v:
+    ranks[0] among all values of the variable, ranks[1 + k] among the rows where dirty[k] is filled
+    too.  The latter is the former less the rows below whose dirty[k] is null, so one order per variable serves all pairs."""
+    by, variables = list(by), list(variables)
+    nulls = df.select(*[F.count(F.when(F.col(v).isNull(), 1)).alias(v) for v in variables]).first().asDict()
+    dirty = [v for v in variables if nulls[v]]
+    absent = [F.col(v).isNull().cast("int").alias(f"_a{k}") for k, v in enumerate(dirty)]
+    listed = F.array(*[F.struct(F.lit(i).alias("_v"), F.col(v).cast("double").alias("_x")) for i, v in enumerate(variables)])
+    weights = ["_one", *[f"_a{k}" for k in range(len(dirty))]]
+    long = df.select(*by, row_key, *absent, F.explode(listed).alias("_p")).select(*by, row_key, F.lit(1).alias("_one"), *weights[1:], "_p.*")
+    ranked = ranked_rows(long.filter("_x IS NOT NULL"), [*by, "_v"], "_x", weights, row_key)
+    rank = lambda less, same: less + (same + 1) / 2
+    ranks = [rank(F.col("below__one"), F.col("at__one"))]
+    ranks += [rank(F.col("below__one") - F.col(f"below_{w}"), F.col("at__one") - F.col(f"at_{w}")) for w in weights[1:]]
+    return ranked.groupBy(*by, row_key).agg(F.collect_list(F.struct("_v", F.array(*ranks).alias("ranks"))).alias("_r")), dirty
+
+
+def _rank_partials(by: list[str], variables: list[str], dirty: list[str]):
+    """mapInPandas body: per partition and dataset, partial co-moments of each pair's own ranks."""
+    slot = {v: dirty.index(v) + 1 if v in dirty else 0 for v in variables}
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, g in batch.groupby(by, sort=False, dropna=False):
+                key = key if isinstance(key, tuple) else (key,)
+                r = np.full((len(g), len(variables), 1 + len(dirty)), np.nan)
+                for row, items in enumerate(g["_r"]):
+                    for item in items:
+                        r[row, item["_v"]] = item["ranks"]
+                for i, a in enumerate(variables):
+                    for j in range(i + 1, len(variables)):
+                        x, y = r[:, i, slot[variables[j]]], r[:, j, slot[a]]
+                        ok = ~(np.isnan(x) | np.isnan(y))
+                        n = int(ok.sum())
+                        if not n:
+                            out.append((*key, a, variables[j], 0, 0.0, 0.0, 0.0, 0.0, 0.0, len(g)))
+                            continue
+                        x, y = x[ok], y[ok]
+                        mx, my = x.mean(), y.mean()
+                        dx, dy = x - mx, y - my
+                        out.append((*key, a, variables[j], n, mx, my, dx @ dx, dy @ dy, dx @ dy, len(g)))
+            yield pd.DataFrame(out, columns=[*by, "var_i", "var_j", *_PARTIAL])
+
+    return run
 
 
 def corr_spearman(df: DataFrame, variables: Sequence[str], by: Sequence[str] = DATASET,
                   row_key: str = "row_id") -> DataFrame:
     """Spearman rho = Pearson of average-tie ranks taken within the pair's complete rows.
 
-    Variables without nulls are ranked once; pairs touching a variable with nulls
-    are re-ranked on their complete rows, all such pairs in one distributed CDF."""
+    Every value is ordered once per variable (``pair_ranks``), whatever the null patterns; rows are brought together
+    once, and the co-moments of each pair's ranks are merged as in ``moments``."""
     by, variables = list(by), list(variables)
-    nulls = df.select(*[F.count(F.when(F.col(v).isNull(), 1)).alias(v) for v in variables]).first().asDict()
-    dirty = {v for v, c in nulls.items() if c > 0}
-    clean = [v for v in variables if v not in dirty]
+    ranks, dirty = pair_ranks(df, variables, by, row_key)
+    partials = ranks.select(*by, "_r").mapInPandas(_rank_partials(by, variables, dirty), _partial_schema(df, by))
+    # rows without any value have no rank: all rows are counted on their own
     n_rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
-    parts = []
-    if len(clean) >= 2:
-        ranks = average_ranks(df, clean, by, row_key)
-        m = moments(ranks, clean, by).drop("n_rows").join(n_rows, by)
-        parts.append(m.select(*by, "var_i", "var_j", "n", "corr", "n_rows"))
-    dirty_pairs = [(a, b) for a, b in pairs(variables) if a in dirty or b in dirty]
-    if dirty_pairs:
-        stacked = None
-        for k, (a, b) in enumerate(dirty_pairs):
-            sub = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
-                *by, row_key, F.lit(k).alias("_pair"), F.col(a).cast("double").alias("x"),
-                F.col(b).cast("double").alias("y"))
-            stacked = sub if stacked is None else stacked.unionByName(sub)
-        ranks = average_ranks(stacked, ["x", "y"], [*by, "_pair"], row_key)
-        m = moments(ranks, ["x", "y"], [*by, "_pair"]).drop("n_rows", "var_i", "var_j")
-        names = F.array(*[F.struct(F.lit(a).alias("var_i"), F.lit(b).alias("var_j")) for a, b in dirty_pairs])
-        m = m.withColumn("_names", names[F.col("_pair")]).join(n_rows, by)
-        parts.append(m.select(*by, "_names.var_i", "_names.var_j", "n", "corr", "n_rows"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = moments_of(combine_partials(partials, by), by).drop("n_rows").join(n_rows, by).select(*by, "var_i", "var_j", "n", "corr", "n_rows")
     need = F.greatest(F.lit(10), F.floor(F.col("n_rows") * 0.2).cast("long"))
     return out.select(*by, "var_i", "var_j", "n", F.when(F.col("n") >= need, F.col("corr")).alias("r"))
 

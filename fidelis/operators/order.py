@@ -7,6 +7,9 @@ prefix offsets over that tiny table, broadcast back.
 ``cumulative_counts`` gives, for every distinct (key, x), the weight of values
 <= x within its key (a CDF) the same way: range slices on (key, x), running sums
 inside each slice and key, per-(slice, key) totals -> offsets.
+
+``ranked_rows`` gives every row the weight below its value and at its value; the row
+travels with its slice, so ranks are not joined back.
 """
 
 from __future__ import annotations
@@ -86,3 +89,36 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], x: str, weights: Seque
     for w in weights:
         sel += [F.col(w), (F.col(f"_c_{w}") + F.col(f"_o_{w}")).alias(f"cum_{w}"), F.col(f"tot_{w}")]
     return out.select(*sel, (F.col("_c_pos") + F.col("_o_pos")).alias("pos"), F.coalesce("_next", "_next_low").alias("x_next"))
+
+
+def ranked_rows(df: DataFrame, keys: Sequence[str], x: str, weights: Sequence[str], spread: str, num_partitions: int | None = None) -> DataFrame:
+    """``df`` with, per weight ``w``: ``below_w`` and ``at_w``, the sums of ``w`` over rows of the key with a smaller
+    and with an equal ``x``.
+
+    Rows are sliced by (keys, x, ``spread``), so a value that many rows share spreads over slices; ``spread``
+    is any column that tells rows apart.  What a slice lacks about its first and last value is
+    a table of at most two rows per slice and key."""
+    keys, weights = list(keys), list(weights)
+    n = _num_partitions(df, num_partitions)
+    sliced = materialise(df.repartitionByRange(n, *keys, x, spread).withColumn("_slice", F.spark_partition_id()), "ranked")
+    place = ["_slice", *keys]
+    ties = Window.partitionBy(*place, x)
+    upto = Window.partitionBy(*place).orderBy(x).rangeBetween(Window.unboundedPreceding, 0)
+    local = sliced.select("*", *[F.sum(w).over(upto).alias(f"_c_{w}") for w in weights], *[F.sum(w).over(ties).alias(f"_e_{w}") for w in weights])
+    totals = sliced.groupBy(*place).agg(*[F.sum(w).alias(f"_t_{w}") for w in weights], F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialise(totals.select(*place, "_lo", "_hi", *[F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0)).alias(f"_o_{w}") for w in weights]), "ranked-offsets")
+    # first and last value of each slice and key: their sums over all slices, and what lies below
+    edge = offsets.select(*place, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias(x), *[f"_o_{w}" for w in weights])
+    mine = sliced.groupBy(*place, x).agg(*[F.sum(w).alias(f"_e_{w}") for w in weights])
+    less = Window.partitionBy(*place).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    mine = mine.select("*", *[F.coalesce(F.sum(f"_e_{w}").over(less), F.lit(0)).alias(f"_l_{w}") for w in weights])
+    whole = edge.join(mine, [*place, x]).groupBy(*keys, x).agg(
+        *[F.sum(f"_e_{w}").alias(f"_we_{w}") for w in weights], *[F.min(F.col(f"_o_{w}") + F.col(f"_l_{w}")).alias(f"_wb_{w}") for w in weights],
+        F.count(F.lit(1)).alias("_over")).filter("_over > 1").drop("_over")
+    out = local.join(offsets.drop("_lo", "_hi"), place).join(whole, [*keys, x], "left")
+    sel = [F.col(c) for c in df.columns]
+    for w in weights:
+        sel.append(F.coalesce(f"_wb_{w}", F.col(f"_o_{w}") + F.col(f"_c_{w}") - F.col(f"_e_{w}")).alias(f"below_{w}"))
+        sel.append(F.coalesce(f"_we_{w}", f"_e_{w}").alias(f"at_{w}"))
+    return out.select(*sel)

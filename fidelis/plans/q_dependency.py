@@ -10,7 +10,7 @@ from fidelis.sources.panel import MEASUREMENT, load_panel, with_panel
 from fidelis.sources.panel import VARIABLES as V
 
 DS = ["technique", "replicate"]
-SP_VARS = ["a1", "a2", "b1", "c1"]
+SP_VARS = list(V)
 
 
 def _pairs_sql(src, by, variables, stats=("corr",)):

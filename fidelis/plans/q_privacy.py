@@ -56,6 +56,37 @@ register("k_distance", with_panel(
     + " FROM d1 GROUP BY technique, replicate", _NN_CTES, extended=True, with_row_id=True))(
     lambda spark, d: PV.k_distance(PV.nn_distances(_px(spark, d), NN_FEATURES, 5), 5))
 
+# ------------------------------------------------------------------ membership_proxy
+def membership(px):
+    nn = materialise(PV.nn_distances(px, NN_FEATURES, 1), "nn")
+    return PV.membership_proxy(px, nn, NN_FEATURES).select(*DS, "radius", "membership_inference")
+
+
+# The twin brackets the percentile by the distances to every 29th REAL row, counts all pairs below the bracket and
+# sorts those within it; a bracket that missed the rank would give no radius, not another one.
+_COMPLETE = " AND ".join(f"{v} IS NOT NULL" for v in V)
+_MP_CTES = [
+    ("mr", f"SELECT * FROM panel WHERE technique = 'REAL' AND {_COMPLETE}"),
+    ("ms", f"SELECT * FROM panel WHERE technique <> 'REAL' AND {_COMPLETE}"),
+    ("mb", f"SELECT s.technique, s.replicate, quantile_cont({_dist_sql(V)}, 0.007) AS lo, quantile_cont({_dist_sql(V)}, 0.014) AS hi "
+           "FROM ms s, (SELECT * FROM mr WHERE row_id % 29 = 0) r GROUP BY s.technique, s.replicate"),
+    ("mn", f"SELECT technique, replicate, row_id, min(d) AS d1, count(*) AS n, count(CASE WHEN d < lo THEN 1 END) AS below, "
+           "list(d) FILTER (WHERE d >= lo AND d < hi) AS inside FROM (SELECT s.technique, s.replicate, s.row_id, b.lo, b.hi, "
+           f"{_dist_sql(V)} AS d FROM ms s JOIN mb b USING (technique, replicate), mr r) GROUP BY technique, replicate, row_id"),
+    ("mt", "SELECT technique, replicate, sum(n) AS n, sum(below) AS below FROM mn GROUP BY technique, replicate"),
+    ("mi", "SELECT technique, replicate, d, row_number() OVER (PARTITION BY technique, replicate ORDER BY d) - 1 AS k "
+           "FROM (SELECT technique, replicate, unnest(inside) AS d FROM mn)"),
+    ("me", "SELECT t.technique, t.replicate, max(CASE WHEN k = floor(0.01 * (n - 1)) - below THEN d END) AS v0, "
+           "max(CASE WHEN k = floor(0.01 * (n - 1)) + 1 - below THEN d END) AS v1, any_value(0.01 * (n - 1) - floor(0.01 * (n - 1))) AS part "
+           "FROM mt t JOIN mi i ON i.technique = t.technique AND i.replicate = t.replicate GROUP BY t.technique, t.replicate"),
+    ("mp", "SELECT technique, replicate, any_value(e.v0 + (e.v1 - e.v0) * e.part) AS radius, "
+           "avg(CASE WHEN d1 < e.v0 + (e.v1 - e.v0) * e.part THEN 1.0 ELSE 0.0 END) AS membership_inference "
+           "FROM mn JOIN me e USING (technique, replicate) GROUP BY technique, replicate"),
+]
+register("membership_proxy", with_panel(
+    "SELECT technique, replicate, " + rd("radius") + ", " + rd("membership_inference") + " FROM mp",
+    _MP_CTES, extended=True, with_row_id=True))(lambda spark, d: membership(_px(spark, d)))
+
 # ------------------------------------------------------------------ attribute_disclosure
 _QI_MATCH = " + ".join(f"CAST(st.{c} = rt.{c} AS INTEGER)" for c in QI)
 _AD_CTES = [

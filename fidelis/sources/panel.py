@@ -11,6 +11,7 @@ both engines produce bit-identical indicator values.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,9 +65,9 @@ def _noise(k: int) -> Column:
     return raw.cast("double") / float(m) * NOISE_SCALE - NOISE_SHIFT
 
 
-def panel_from_lineitem(lineitem: DataFrame, *, extended: bool = False, with_row_id: bool = False) -> DataFrame:
-    """Build the panel (technique, replicate, [row_id], a1..c3 [, o1, qi, sens]) from lineitem."""
-    cols = list(_LINEITEM_COLS)
+def panel_from_lineitem(lineitem: DataFrame, *, extended: bool = False, with_row_id: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """Build the panel (technique, replicate, [row_id], a1..c3 [, o1, qi, sens] [, keep]) from lineitem."""
+    cols = [*_LINEITEM_COLS, *keep]
     if with_row_id:
         cols += [c for c in ROW_KEY if c not in cols]
     if extended:
@@ -95,7 +96,7 @@ def panel_from_lineitem(lineitem: DataFrame, *, extended: bool = False, with_row
         out.append(val.alias(name))
     if extended:
         out += [F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber"), F.col("l_orderkey")]
-    df = src.select(*out)
+    df = src.select(*out, *keep)
     if extended:
         df = df.withColumn("o1", F.floor(F.col("a1") + 3).cast("int"))
         df = df.withColumn(SENSITIVE, F.floor(F.col("b1")).cast("int"))
