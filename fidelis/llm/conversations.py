@@ -194,7 +194,9 @@ def parse(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks = materialise(blocks.select(
         "conv", "blk", "symbols", F.get("_i", F.lit(0)).alias("first"), F.element_at("_i", -1).alias("last"), inside.alias("n_illegal")), "blocks")
     # equal blocks have equal cells: each is parsed once
-    cells = materialise(blocks.select("symbols").distinct().withColumn("cell", _parse_block("symbols")), "cells")
+    different = blocks.select("symbols").distinct()
+    spread = int(different.sparkSession.conf.get("spark.sql.shuffle.partitions") or 200)  # few bytes, much work: not to be coalesced
+    cells = materialise(different.repartition(spread, "symbols").withColumn("cell", _parse_block("symbols")), "cells")
     spans = blocks.join(cells, "symbols").drop("symbols")
     whole = None
     while True:
