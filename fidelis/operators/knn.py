@@ -31,7 +31,7 @@ from fidelis.operators import kdtree
 from fidelis.session import materialise
 
 LEAF_ROWS = 144
-CELL_LEVELS = 3  # a cell is a node three levels above the leaves
+CELL_LEVELS = 4  # a cell is a node so many levels above the leaves
 STEP = 3  # levels walked down by one join
 Q_BLOCK = 2048  # query rows per distance block
 R_BLOCK = 2048  # reference rows per distance block

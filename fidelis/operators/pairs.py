@@ -33,9 +33,10 @@ from fidelis.session import materialise
 
 BLOCK = 16_384  # rows of a block on either side
 BINS = 256
-LISTED = 4_096
-START_ROWS = 1_024  # sampled rows of each side that give the first bracket
-START_SPREAD = 0.2  # the first bracket reaches so far below and above the wanted share
+LISTED = 65_536
+START_ROWS = 4_096  # sampled rows of each side that give the first bracket
+START_SPREAD = 0.08  # the first bracket reaches so far below and above the wanted share
+TILE = 500_000  # pairs measured at once
 STEP = 2  # levels that both sides go down by one join
 MAX_PASSES = 40
 
@@ -64,22 +65,29 @@ def count_block(a: pd.DataFrame, b: pd.DataFrame, af: list[str], bf: list[str],
     sizes = (a_to - a_from)[:, None] * (b_to - b_from)[None, :]
     below, expanded = int(sizes[inside].sum()), int(sizes[straddling].sum())
     counts, values = np.zeros(len(edges) - 1, np.int64), []
-    yn = np.einsum("ij,ij->i", y, y)
+    # screen: all squared distances of a tile by one single-precision product of (-2x, |x|^2, 1) and (y, 1, |y|^2)
+    centre = y.mean(axis=0)
+    xc, yc = x - centre, y - centre
+    xn, yn = np.einsum("ij,ij->i", xc, xc), np.einsum("ij,ij->i", yc, yc)
+    one = lambda v: np.ones((len(v), 1))
+    left = np.hstack([-2.0 * xc, xn[:, None], one(xc)]).astype(np.float32)
+    right = np.hstack([yc, one(yc), yn[:, None]]).astype(np.float32)
     for j in np.flatnonzero(straddling.any(axis=1)):
-        xs = x[a_from[j]:a_to[j]]
         at = np.concatenate([np.arange(b_from[k], b_to[k]) for k in np.flatnonzero(straddling[j])])
-        ys = y[at]
-        xn = np.einsum("ij,ij->i", xs, xs)
-        step = max(1, 4_000_000 // len(ys))
-        for s in range(0, len(xs), step):
-            part = xs[s:s + step]
-            d2 = xn[s:s + step, None] + yn[at][None, :] - 2.0 * (part @ ys.T)
-            # rounding of the product form; what lies within it is measured exactly
-            tol = 1e-9 * (xn[s:s + step].max() + yn[at].max()) + 1e-12
-            near = d2 < low * low - tol
-            below += int(near.sum())
-            rows, cols = np.nonzero(~near & (d2 <= high * high + tol))
-            diff = part[rows] - ys[cols]
+        turned, farthest = np.ascontiguousarray(right[at].T), yn[at].max()
+        step = max(1, TILE // len(at))
+        for s in range(a_from[j], a_to[j], step):
+            e = min(s + step, a_to[j])
+            d2 = left[s:e] @ turned
+            # its rounding error is below tol; what lies within it is measured in double precision
+            tol = 4e-7 * (x.shape[1] + 4) * (xn[s:e].max() + farthest) + 1e-12
+            near = int(np.count_nonzero(d2 < np.float32(low * low - tol)))
+            below += near
+            rows, cols = np.nonzero(d2 <= np.float32(high * high + tol))
+            if near:
+                open_ = d2[rows, cols] >= np.float32(low * low - tol)
+                rows, cols = rows[open_], cols[open_]
+            diff = x[s + rows] - y[at[cols]]
             d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
             below += int((d < low).sum())
             d = d[(d >= low) & (d < high)]
