@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -225,6 +225,57 @@ def pls_fit(df: DataFrame, model: dict[str, Sequence[str]], structure: Sequence[
     return mom.groupBy(*by).applyInPandas(fit, RESULT_SCHEMA)
 
 
+# ------------------------------------------------------------------ the model each dataset can carry
+
+def item_model(df: DataFrame, model: dict[str, Sequence[str]], by=DATASET, min_items: int = 2) -> DataFrame:
+    """The measurement model as data, one row per dataset and item: construct, item, sd, var, constant, n_items (items of the
+    construct that vary), kept.  A constant item is dropped, and a construct of which fewer than ``min_items`` items are left."""
+    by = list(by)
+    listed = F.array(*[F.struct(F.lit(c).alias("construct"), F.lit(i).alias("item"), F.col(i).cast("double").alias("value")) for c, its in model.items() for i in its])
+    long = df.select(*by, F.explode(listed).alias("_i")).select(*by, "_i.*")
+    sd = long.groupBy(*by, "construct", "item").agg(F.stddev_samp("value").alias("sd"), F.var_samp("value").alias("var"))
+    sd = sd.withColumn("constant", F.col("sd").isNull() | (F.col("sd") == 0))
+    vary = Window.partitionBy(*by, "construct")  # the items of one construct
+    n = F.count(F.when(~F.col("constant"), 1)).over(vary)
+    return sd.withColumn("n_items", n).withColumn("kept", ~F.col("constant") & (F.col("n_items") >= min_items))
+
+
+def fit_rebuilt(df: DataFrame, model: dict[str, Sequence[str]], structure: Sequence[tuple[str, str]], by=DATASET) -> DataFrame:
+    """Alpha, HTMT and the PLS path model of every dataset on the model that it can carry (``item_model``), as ``pls_fit``
+    rows; sheets ``alpha`` and ``htmt`` beside those of ``pls_fit``.  Paths from or to a dropped construct are left out."""
+    by = list(by)
+    items = [i for c in model for i in model[c]]
+    mom = moments(df, items, by).select(*by, "var_i", "var_j", "corr", "cov", "n_rows")
+    rows = item_model(df, model, by).select(*by, "construct", "item", "var", "kept")
+
+    def fit(m, parts):
+        if m.empty or parts.empty:
+            return pd.DataFrame(columns=[f.name for f in RESULT_SCHEMA.fields])
+        tech, rep = m["technique"].iloc[0], int(m["replicate"].iloc[0])
+        kept = set(parts.loc[parts["kept"], "item"])
+        mine = {c: [i for i in its if i in kept] for c, its in model.items()}
+        mine = {c: its for c, its in mine.items() if its}
+        out = []
+        if mine:
+            var = dict(zip(parts["item"], parts["var"]))
+            cov = {frozenset((a, b)): v for a, b, v in zip(m["var_i"], m["var_j"], m["cov"])}
+            r = {frozenset((a, b)): abs(v) for a, b, v in zip(m["var_i"], m["var_j"], m["corr"])}
+            mean = lambda left, right: float(np.mean([r[frozenset((a, b))] for a in left for b in right if a != b]))
+            for c, its in mine.items():
+                own = sum(var[i] for i in its)
+                shared = 2 * sum(cov[frozenset((a, b))] for n, a in enumerate(its) for b in its[n + 1:])
+                out.append((tech, rep, "alpha", c, None, "alpha", len(its) / (len(its) - 1) * (1 - own / (own + shared))))
+            names = list(mine)
+            for n, a in enumerate(names):
+                for b in names[n + 1:]:
+                    out.append((tech, rep, "htmt", a, b, "htmt", mean(mine[a], mine[b]) / float(np.sqrt(mean(mine[a], mine[a]) * mean(mine[b], mine[b])))))
+            paths = [(a, b) for a, b in structure if a in mine and b in mine]
+            out += pls_results(tech, rep, _corr_matrix(m, [i for its in mine.values() for i in its]), int(m["n_rows"].iloc[0]), mine, paths)
+        return pd.DataFrame(out, columns=[f.name for f in RESULT_SCHEMA.fields])
+
+    return mom.groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(fit, RESULT_SCHEMA)
+
+
 def sheet(results: DataFrame, name: str, metric: str | None = None) -> DataFrame:
     out = results.filter(F.col("sheet") == name)
     return out.filter(F.col("metric") == metric) if metric else out

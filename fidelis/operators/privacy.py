@@ -6,17 +6,16 @@ equi-joins on distinct tuples with counts, so a frequent tuple is one row.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fidelis.operators.hamming import nearest_tuples
 from fidelis.operators.knn import knn
 from fidelis.operators.marginal import exact_quantiles
 from fidelis.operators.pairs import PairDistances
-from fidelis.session import materialise
 
 REAL = "REAL"
 DATASET = ["technique", "replicate"]
@@ -86,31 +85,15 @@ def attribute_disclosure(panel: DataFrame, qi: Sequence[str], sensitive: str, re
     """Nearest REAL row by one-hot QIs (= most equal QIs, first row on ties); share of synthetic
     rows whose sensitive value equals that row's.
 
-    Works on distinct QI tuples: level m meets every m-subset of the QIs, from all of them
-    down to none, and the first level with a candidate fixes the match count.  REAL is
-    brought to one row per subset tuple before each join, so a join returns one row per
-    synthetic tuple, and only tuples without a candidate go on to the next level."""
+    Works on distinct QI tuples (``hamming.py``), so a frequent tuple is looked up once."""
     qi = list(qi)
     r, s = _split(panel, real)
-    first = F.struct(F.col("_rid"), F.col("_sens_r"))
-    rt = materialise(r.groupBy(*qi).agg(F.min(row_id).alias("_rid"), F.min_by(sensitive, row_id).alias("_sens_r")), "qi-real")
-    pending = materialise(s.select(*qi).distinct(), "qi-open")
-    best = None
-    for m in range(len(qi), 0, -1):
-        level, names = pending, []
-        for i, subset in enumerate(itertools.combinations(qi, m)):
-            level = level.join(rt.groupBy(*subset).agg(F.min(first).alias(f"_b{i}")), list(subset), "left")
-            names.append(f"_b{i}")
-        level = materialise(level.select(*qi, F.array_min(F.array(*names)).alias("_best")), "qi-level")
-        found = level.filter(F.col("_best").isNotNull())
-        best = found if best is None else best.unionByName(found)
-        pending = level.filter(F.col("_best").isNull()).select(*qi)
-    # no equal QI at all: the first REAL row overall (two numbers)
-    anyone = rt.agg(F.min(first).alias("f")).first()["f"]
-    rest = pending.select(*qi, F.struct(F.lit(anyone and anyone["_rid"]).alias("_rid"), F.lit(anyone and anyone["_sens_r"]).alias("_sens_r")).alias("_best"))
-    best = best.select(*qi, "_best._rid", "_best._sens_r").unionByName(rest.select(*qi, "_best._rid", "_best._sens_r"))
+    best = nearest_tuples(s, r, qi, row_id)
+    owner = r.select(F.col(row_id).alias("ref_id"), F.col(sensitive).alias("_sens_r"))
+    best = best.join(owner, "ref_id", "left").select(*[F.col(c).alias(f"_q_{c}") for c in qi], "_sens_r")
     counts = s.groupBy(*by, *qi, sensitive).agg(F.count(F.lit(1)).alias("_n"))
-    j = counts.join(best, qi, "left")
+    on = [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in qi]
+    j = counts.join(best, on, "left")
     return j.groupBy(*by).agg((F.sum(F.when(F.col(sensitive) == F.col("_sens_r"), F.col("_n")).otherwise(0))
                                / F.sum("_n")).alias(f"attribute_disclosure_{sensitive}"))
 
@@ -131,16 +114,37 @@ def qi_linkability(panel: DataFrame, qi: Sequence[str], real: str = REAL, by=DAT
         (F.sum(F.when(F.col("_k") <= k_risk, F.col("_n")).otherwise(0)) / n).alias("qi_high_risk_rate"))
 
 
+def common_columns(panel: DataFrame, features: Sequence[str], real: str = REAL, by=DATASET, min_filled: float = 0.9) -> list[tuple[dict, tuple[str, ...]]]:
+    """Per synthetic dataset (one row each): its features that are at least ``min_filled`` filled there and in REAL."""
+    share = panel.groupBy(*by).agg(*[F.avg(F.col(c).isNotNull().cast("double")).alias(f"_f_{c}") for c in features]).collect()
+    filled = {c for c in features if all(r[f"_f_{c}"] >= min_filled for r in share if r["technique"] == real)}
+    return [({c: r[c] for c in by}, tuple(c for c in features if c in filled and r[f"_f_{c}"] >= min_filled)) for r in share if r["technique"] != real]
+
+
 def dcr_standardized(panel: DataFrame, features: Sequence[str], real: str = REAL, by=DATASET,
                      row_id: str = "row_id", min_filled: float = 0.9) -> DataFrame:
     """Both directions on REAL-standardised columns (ddof 0, sd < 1e-8 -> 1), columns at least
-    90 % filled on both sides, complete rows: mean, min, p01, p05, p50 of the NN distance."""
-    features = list(features)
+    90 % filled on both sides, complete rows: mean, min, p01, p05, p50 of the NN distance.
+
+    The columns are chosen per dataset; datasets with the same columns share one search."""
+    groups: dict[tuple[str, ...], list[dict]] = {}
+    for dataset, keep in common_columns(panel, features, real, by, min_filled):
+        groups.setdefault(keep, []).append(dataset)
+    out = None
+    for keep, datasets in sorted(groups.items()):
+        if not keep:
+            continue  # no common column, no distance
+        chosen = F.array(*[F.struct(*[F.lit(x[c]).alias(c) for c in by]) for x in datasets])
+        mine = panel.filter((F.col("technique") == real) | F.array_contains(chosen, F.struct(*by)))
+        part = _dcr_on(mine, list(keep), real, by, row_id)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no dataset shares a column with REAL")
+    return out
+
+
+def _dcr_on(panel: DataFrame, keep: list[str], real: str, by, row_id: str) -> DataFrame:
     r, s = _split(panel, real)
-    fill_r = r.select(*[F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in features]).first().asDict()
-    fill_s = s.groupBy(*by).agg(*[F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in features]) \
-        .agg(*[F.min(c).alias(c) for c in features]).first().asDict()
-    keep = [c for c in features if fill_r[c] >= min_filled and (fill_s[c] or 0) >= min_filled]
     rc = r.dropna(subset=keep)
     stats = rc.select(*[F.avg(c).alias(f"m_{c}") for c in keep], *[F.stddev_pop(c).alias(f"s_{c}") for c in keep]).first()
     z = []

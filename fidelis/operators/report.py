@@ -63,6 +63,34 @@ def pairwise_error(delta: DataFrame, by: Sequence[str] = ("technique",)) -> Data
         F.avg((F.signum("mean") == F.signum("real")).cast("double")).alias("direction"))
 
 
+def sheet_errors(delta: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``pairwise_error`` with the number of compared estimates and the Spearman rho between ranks of |estimate|, per group."""
+    by = list(by)
+    d = delta.filter("mean IS NOT NULL AND real IS NOT NULL").withColumns({"_s": F.abs("mean"), "_r": F.abs("real")})
+    # the windows run over one technique's estimates of one sheet
+    d = rank_average(rank_average(d, "_s", "_rs", True, by), "_r", "_rr", True, by)
+    return d.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("abs_delta").alias("mae"), F.sqrt(F.avg(F.col("abs_delta") * F.col("abs_delta"))).alias("rmse"),
+        F.avg((F.signum("mean") == F.signum("real")).cast("double")).alias("direction"), F.corr("_rs", "_rr").alias("rank_rho"))
+
+
+def seed_summary(est: DataFrame, keys: Sequence[str], value: str = "value", ok: str = "ok") -> DataFrame:
+    """Over the replicates of each key: seeds, mean, sd, min, max, and the share of seeds that pass (a null ``ok`` is left out)."""
+    return est.groupBy(*keys).agg(
+        F.count(value).alias("seeds"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"),
+        F.max(value).alias("max"), F.avg(F.col(ok).cast("double")).alias("share_ok"))
+
+
+def indirect_compare(indirect: DataFrame, real: str = REAL, alpha: float = 0.05) -> DataFrame:
+    """Technique mean of the indirect effect against REAL's: absolute difference, share of replicates on the same side of p < ``alpha``."""
+    keys = ["iv", "mediator", "dv"]
+    r = indirect.filter(F.col("technique") == real).select(*keys, F.col("indirect_b").alias("real"), (F.col("p_value") < alpha).alias("_real_ok"))
+    s = indirect.filter(F.col("technique") != real).join(r, keys)
+    return s.groupBy("technique", *keys).agg(
+        F.first("real").alias("real"), F.avg("indirect_b").alias("mean"), F.abs(F.avg("indirect_b") - F.first("real")).alias("abs_delta"),
+        F.avg(((F.col("p_value") < alpha) == F.col("_real_ok")).cast("double")).alias("p_agreement"))
+
+
 def direction_rank(delta: DataFrame, key: str) -> DataFrame:
     """Share of equal signs and Spearman rho between ranks of |estimate| (average ties) per technique."""
     w_s = Window.partitionBy("technique").orderBy(F.abs("mean"))

@@ -34,52 +34,151 @@ def discretize_clip(c: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(F.bround(c, 0), F.lit(float(lo))), F.lit(float(hi)))
 
 
-def copula_fit(real: DataFrame, items: Sequence[str], grid: int = 200) -> tuple[dict, np.ndarray, dict]:
-    """Marginal quantile tables (``grid`` exact quantiles per item), the correlation of the
-    normal scores (Spearman-based: 2 sin(pi rho_s / 6)) and the REAL min/max."""
+MAX_LEVELS = 1_000  # categories of a discrete column
+MAX_PATTERNS = 4_096  # different null patterns
+CALIBRATION = 8_192  # normal pairs that carry a rank correlation over to the normal scale
+
+
+def nearest_correlation(a: np.ndarray, floor: float = 1e-6, rounds: int = 500, tol: float = 1e-10) -> np.ndarray:
+    """Nearest correlation matrix: alternating projections onto matrices with eigenvalues of at least ``floor`` and
+    onto those with a unit diagonal, with the correction of the former carried along."""
+    y, fix = (a + a.T) / 2, np.zeros_like(a)
+    for _ in range(rounds):
+        r = y - fix
+        w, v = np.linalg.eigh(r)
+        x = (v * np.maximum(w, floor)) @ v.T
+        fix = x - r
+        last, y = y, x.copy()
+        np.fill_diagonal(y, 1.0)
+        if np.abs(y - last).max() < tol:
+            break
+    # the last projection was onto the unit diagonal: give back the floor
+    w, v = np.linalg.eigh(y)
+    x = (v * np.maximum(w, floor)) @ v.T
+    d = np.sqrt(np.diag(x))
+    return x / d[:, None] / d[None, :]
+
+
+def _scores(z: np.ndarray, cuts: np.ndarray | None) -> np.ndarray:
+    """Mid-ranks of normals whose column is continuous (no cuts) or cut into categories at cumulative shares."""
+    order = (np.argsort(np.argsort(z)) + 0.5) / len(z)
+    if cuts is None:
+        return order
+    edges = np.concatenate([[0.0], cuts])
+    at = np.minimum(np.searchsorted(cuts, order, "left"), len(cuts) - 1)
+    return (edges[at] + edges[at + 1]) / 2
+
+
+def normal_correlation(rho: float, cuts_a: np.ndarray | None, cuts_b: np.ndarray | None) -> float:
+    """Correlation of two normals whose columns then have Spearman's ``rho``: in closed form for two continuous columns,
+    else by bisection over ``CALIBRATION`` fixed pairs of normals (categories weaken a rank correlation)."""
+    if cuts_a is None and cuts_b is None:
+        return 2 * math.sin(math.pi * rho / 6)
+    rng = np.random.default_rng(20)
+    u, v = rng.standard_normal(CALIBRATION), rng.standard_normal(CALIBRATION)
+    low, high = -1.0, 1.0
+    sa = _scores(u, cuts_a)
+    for _ in range(30):
+        mid = (low + high) / 2
+        sb = _scores(mid * u + math.sqrt(max(0.0, 1 - mid * mid)) * v, cuts_b)
+        got = np.corrcoef(sa, sb)[0, 1] if sa.std() > 0 and sb.std() > 0 else 0.0
+        low, high = (mid, high) if got < rho else (low, mid)
+    return (low + high) / 2
+
+
+def copula_fit(real: DataFrame, continuous: Sequence[str], discrete: Sequence[str] = (), grid: int = 200, row_key: str = "row_id") -> dict:
+    """Marginals, normal correlation and null patterns of ``real``.
+
+    ``tables``: continuous column -> ``grid`` exact quantiles; ``levels``: discrete column -> values in order and their
+    cumulative shares; ``corr``: normal correlation matrix, projected to the nearest one that is positive definite;
+    ``patterns``: (null columns, cumulative share).  All are bounded by columns, levels and patterns, not by rows."""
     from fidelis.operators.dependency import corr_spearman
 
-    items = list(items)
+    continuous, discrete = list(continuous), list(discrete)
+    items = [*continuous, *discrete]
     probs = [i / (grid - 1) for i in range(grid)]
-    long = melt(real.withColumn("_g", F.lit(0)), ["_g"], items, drop_nulls=True)
-    q = exact_quantiles(long, ["variable"], "value", probs).collect()
-    table = {it: sorted((r["q"], r["quantile"]) for r in q if r["variable"] == it) for it in items}
-    rs = corr_spearman(real.withColumn("_g", F.lit(0)), items, ["_g"], row_key="row_id").collect()
-    idx = {v: i for i, v in enumerate(items)}
+    tables: dict = {}
+    if continuous:
+        long = melt(real.withColumn("_g", F.lit(0)), ["_g"], continuous, drop_nulls=True)
+        q = exact_quantiles(long, ["variable"], "value", probs).collect()
+        tables = {it: [x for _, x in sorted((r["q"], r["quantile"]) for r in q if r["variable"] == it)] for it in continuous}
+    levels, coded = {}, real
+    for it in discrete:
+        counts = real.filter(F.col(it).isNotNull()).groupBy(it).count().orderBy(it).limit(MAX_LEVELS + 1).collect()
+        if len(counts) > MAX_LEVELS:
+            raise ValueError(f"{it} has more than {MAX_LEVELS} values: treat it as continuous")
+        total = sum(r["count"] for r in counts)
+        levels[it] = ([r[it] for r in counts], np.cumsum([r["count"] / total for r in counts]))
+        # categories are ordered by value: their number is the rank that correlations see
+        codes = F.array(*[F.lit(v) for v in levels[it][0]])
+        coded = coded.withColumn(it, F.when(F.col(it).isNotNull(), F.array_position(codes, F.col(it)).cast("double")))
+    masks = real.groupBy(F.concat(*[F.col(it).isNull().cast("int").cast("string") for it in items]).alias("mask")).count()
+    masks = masks.orderBy("mask").limit(MAX_PATTERNS + 1).collect()
+    if len(masks) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} null patterns")
+    shares = np.cumsum([r["count"] for r in masks]) / sum(r["count"] for r in masks)
     corr = np.eye(len(items))
-    for r in rs:
-        v = 2 * math.sin(math.pi * (r["r"] or 0.0) / 6)
-        corr[idx[r["var_i"]], idx[r["var_j"]]] = corr[idx[r["var_j"]], idx[r["var_i"]]] = v
-    bounds = {it: (table[it][0][1], table[it][-1][1]) for it in items}
-    return table, corr, bounds
+    idx = {v: i for i, v in enumerate(items)}
+    if len(items) > 1:
+        cuts = {it: levels[it][1] if it in levels else None for it in items}
+        for r in corr_spearman(coded.withColumn("_g", F.lit(0)).select("_g", row_key, *items), items, ["_g"], row_key=row_key).collect():
+            a, b = r["var_i"], r["var_j"]
+            corr[idx[a], idx[b]] = corr[idx[b], idx[a]] = normal_correlation(r["r"] or 0.0, cuts[a], cuts[b])
+    return {"items": items, "tables": tables, "levels": levels, "corr": nearest_correlation(corr),
+            "patterns": [(r["mask"], float(s)) for r, s in zip(masks, shares)], "types": {it: real.schema[it].dataType for it in items}}
+
 
+def _passed(shares: Sequence[float], u: Column) -> Column:
+    """How many of the cumulative ``shares`` are at most ``u``."""
+    return F.size(F.filter(F.array(*[F.lit(s) for s in shares]), lambda s: s <= u))
 
-def copula_synthesize(spark, real: DataFrame, items: Sequence[str], n: int, seed: int = 42, grid: int = 200) -> DataFrame:
-    """n synthetic rows: correlated normals (Cholesky as a linear Column expression), mapped
-    through the normal CDF and each item's inverse quantile table, clipped to REAL's range."""
+
+def copula_sample(spark, fit: dict, n: int, seed: int = 42) -> DataFrame:
+    """n rows: correlated normals (Cholesky as linear column expressions), mapped through the normal CDF to each column's
+    quantiles or levels; the row's null pattern is drawn on its own.  Values never leave REAL's range."""
     from fidelis.functions.stats import normal_cdf
 
-    items = list(items)
-    table, corr, bounds = copula_fit(real, items, grid)
-    lchol = np.linalg.cholesky(corr + 1e-10 * np.eye(len(items)))
+    items, tables, levels = fit["items"], fit["tables"], fit["levels"]
+    lchol = np.linalg.cholesky(fit["corr"])
     base = spark.range(n).withColumnRenamed("id", "row_id")
     # step by step, so that no long expression is repeated inside another
     normals = base.select("row_id", *[normal(F.col("row_id"), k, seed).alias(f"_z{k}") for k in range(len(items))])
     mixed = normals.select("row_id", *[sum((F.lit(float(lchol[i, j])) * F.col(f"_z{j}") for j in range(1, i + 1)),
                                            F.lit(float(lchol[i, 0])) * F.col("_z0")).alias(f"_n{i}") for i in range(len(items))])
-    ranks = mixed.select("row_id", *[(normal_cdf(F.col(f"_n{i}")) * (grid - 1)).alias(f"_u{i}") for i in range(len(items))])
+    draw = uniform(F.col("row_id"), 2 * len(items), seed)
+    # the first pattern whose cumulative share is above the draw
+    pattern = F.get(F.array(*[F.lit(m) for m, _ in fit["patterns"]]), F.least(_passed([s for _, s in fit["patterns"]], draw), F.lit(len(fit["patterns"]) - 1)))
+    ranks = mixed.select("row_id", pattern.alias("_mask"), *[normal_cdf(F.col(f"_n{i}")).alias(f"_u{i}") for i in range(len(items))])
     out = [F.col("row_id")]
     for i, it in enumerate(items):
-        # the grid of probabilities is even: a position in the quantile table, then linear between two entries
-        points = F.array(*[F.lit(float(x)) for _, x in table[it]])
-        at = F.least(F.floor(f"_u{i}"), F.lit(grid - 2)).cast("int")
-        low, high = F.get(points, at), F.get(points, at + 1)
-        lo, hi = bounds[it]
-        value = low + (F.col(f"_u{i}") - at) * (high - low)
-        out.append(F.least(F.greatest(value, F.lit(lo)), F.lit(hi)).alias(it))
+        u = F.col(f"_u{i}")
+        if it in levels:
+            values, cum = levels[it]
+            if not values:
+                out.append(F.lit(None).cast(fit["types"][it]).alias(it))
+                continue
+            at = F.least(_passed([float(c) for c in cum], u), F.lit(len(values) - 1))
+            value = F.get(F.array(*[F.lit(v) for v in values]), at).cast(fit["types"][it])
+        else:
+            points = tables[it]
+            if not points:
+                out.append(F.lit(None).cast("double").alias(it))
+                continue
+            # the grid of probabilities is even: a position in the quantile table, then linear between two entries
+            table, last = F.array(*[F.lit(float(x)) for x in points]), len(points) - 1
+            place = u * last
+            at = F.least(F.floor(place), F.lit(last - 1)).cast("int")
+            low, high = F.get(table, at), F.get(table, at + 1)
+            value = F.least(F.greatest(low + (place - at) * (high - low), F.lit(float(points[0]))), F.lit(float(points[-1])))
+        out.append(F.when(F.substring("_mask", i + 1, 1) == "0", value).alias(it))
     return ranks.select(*out)
 
 
+def copula_synthesize(spark, real: DataFrame, items: Sequence[str], n: int, seed: int = 42, grid: int = 200, discrete: Sequence[str] = ()) -> DataFrame:
+    """n synthetic rows of a Gaussian copula over continuous ``items`` and ``discrete`` (ordinal or categorical) columns."""
+    return copula_sample(spark, copula_fit(real, items, discrete, grid), n, seed)
+
+
 def latent_simulate(df: DataFrame, betas: dict[str, float], r2: float, out: str, key: str = "row_id",
                     seed: int = 7) -> DataFrame:
     """latent = sum beta * x + N(0, sqrt(1 - R2)) from stored path estimates."""

@@ -197,5 +197,7 @@ register("covariate_range", with_panel(
 register("corr_diff", with_panel(
     "SELECT s.technique, s.var_i, s.var_j, " + rd("x.corr - s.corr", "diff")
     + " FROM m s JOIN m x ON x.technique = 'REAL' AND s.var_i = x.var_i AND s.var_j = x.var_j WHERE s.technique <> 'REAL'",
-    [("m", _pairs_sql("panel", ["technique"], V))]))(
+    # one scan: all correlations of a technique in one row
+    [("g", "SELECT technique, " + ", ".join(f"corr({a}, {b}) AS {a}_{b}" for a, b in D.pairs(V)) + " FROM panel GROUP BY technique"),
+     ("m", " UNION ALL ".join(f"SELECT technique, '{a}' AS var_i, '{b}' AS var_j, {a}_{b} AS corr FROM g" for a, b in D.pairs(V)))]))(
     lambda spark, d: D.corr_diff(load_panel(spark, d), V))

@@ -30,9 +30,23 @@ def _paths(spark, d):
     return MS.bootstrap_summary(*_boot(spark, d))
 
 
+def boot_med(spark, d):
+    """Bootstrap draws and estimates of the mediation model."""
+    return _boot(spark, d, STRUCTURE_MED)
+
+
+def pls_med(spark, d):
+    return MS.pls_fit(load_panel(spark, d), MEASUREMENT, STRUCTURE_MED)
+
+
+def _indirect(spark, d):
+    return MS.indirect_effects(*boot_med(spark, d), MEDIATIONS)
+
+
 register("bootstrap_fit")(lambda spark, d: _boot(spark, d)[0])
 register("std_paths")(_paths)
-register("indirect_effect")(lambda spark, d: MS.indirect_effects(*_boot(spark, d, STRUCTURE_MED), MEDIATIONS))
+register("indirect_effect")(_indirect)
+register("indirect_compare")(lambda spark, d: RP.indirect_compare(_indirect(spark, d)))
 register("path_beta_table")(lambda spark, d: RP.beta_table(_paths(spark, d).filter("effect = 'direct'").select(
     *DS, "iv", "dv", F.col("estimate").alias("mean"), F.col("boot_sd").alias("sd"), F.col("p_value").alias("p"))))
 register("path_range_overlap")(lambda spark, d: RP.path_range_overlap(_paths(spark, d).filter("effect = 'direct'"), ["iv", "dv"]))
@@ -94,10 +108,13 @@ def _real(spark, d):
     return load_panel(spark, d, with_row_id=True).filter("technique = 'REAL'")
 
 
+# all nine indicators (a2 has nulls), the ordinal o1, the sensitive attribute and a text category
+_DISCRETE = ["o1", "sens", "l_returnflag"]
+
+
 def _copula(spark, d):
-    real = _real(spark, d)
-    n = real.count()
-    return SY.copula_synthesize(spark, real, V[:3], n, seed=42)
+    real = load_panel(spark, d, extended=True, with_row_id=True).filter("technique = 'REAL'")
+    return SY.copula_synthesize(spark, real, V, real.count(), seed=42, discrete=_DISCRETE)
 
 
 register("copula_synthesize")(_copula)

@@ -99,13 +99,31 @@ register("grid_rmse_htmt", with_panel(
     "WHERE s.technique <> 'REAL' AND s.m - r.m IS NOT NULL GROUP BY s.technique", _htmt_sql() + [_HT_TM]))(
     lambda spark, d: RP.grid_rmse(RP.vs_real(_htmt(spark, d), ["construct_a", "construct_b"], "htmt")))
 
-# ------------------------------------------------------------------ zero-variance items (the filter)
+# ------------------------------------------------------------------ zero-variance items and the model that is left
+# Nothing is constant in the derived panel: one dataset loses an item, another two items and so a construct.
+_DAMAGE = {"a1": ("SYN_NOISY", 1), "b1": ("SYN_INDEP", 2), "b3": ("SYN_INDEP", 2)}
+
+
+def damaged_panel(spark, d):
+    p = load_panel(spark, d, extended=True)
+    return p.withColumns({v: F.when((F.col("technique") == t) & (F.col("replicate") == k), 0.5).otherwise(F.col(v)) for v, (t, k) in _DAMAGE.items()})
+
+
+def _damaged_sql(v: str) -> str:
+    if v not in _DAMAGE:
+        return v
+    t, k = _DAMAGE[v]
+    return f"CASE WHEN technique = '{t}' AND replicate = {k} THEN 0.5 ELSE {v} END"
+
+
 register("drop_zero_variance_items", with_panel(
-    "SELECT technique, replicate, variable, " + rd("sd") + ", sd = 0 OR sd IS NULL AS constant FROM ("
-    + " UNION ALL ".join(f"SELECT technique, replicate, '{v}' AS variable, stddev_samp({v}) AS sd FROM panel GROUP BY ALL"
-                         for v in V) + ")", extended=True))(
-    lambda spark, d: melt(load_panel(spark, d, extended=True), DS, V).groupBy(*DS, "variable").agg(
-        F.stddev_samp("value").alias("sd")).withColumn("constant", (F.col("sd") == 0) | F.col("sd").isNull()))
+    "SELECT technique, replicate, construct, item, " + rd("sd") + ", constant, n_items, NOT constant AND n_items >= 2 AS kept FROM "
+    "(SELECT *, count(CASE WHEN NOT constant THEN 1 END) OVER (PARTITION BY technique, replicate, construct) AS n_items FROM "
+    "(SELECT *, sd IS NULL OR sd = 0 AS constant FROM ("
+    + " UNION ALL ".join(f"SELECT technique, replicate, '{c}' AS construct, '{v}' AS item, stddev_samp({_damaged_sql(v)}) AS sd FROM panel GROUP BY ALL"
+                         for c, its in MEASUREMENT.items() for v in its) + ")))", extended=True))(
+    lambda spark, d: MS.item_model(damaged_panel(spark, d), MEASUREMENT).drop("var"))
+register("rebuilt_model")(lambda spark, d: MS.fit_rebuilt(damaged_panel(spark, d), MEASUREMENT, STRUCTURE))
 
 
 # ------------------------------------------------------------------ PLS path model (property-tested)
@@ -207,7 +225,21 @@ def _margin(spark, d):
 register("discriminant_margin")(_margin)
 register("path_direction_rank")(lambda spark, d: RP.direction_rank(
     RP.vs_real(_est(spark, d, "paths", "beta"), ["key1", "key2"], "value"), "key1"))
-register("path_errors")(lambda spark, d: RP.pairwise_error(RP.vs_real(_est(spark, d, "paths", "beta"), ["key1", "key2"], "value")))
+# every sheet of the estimates: paths, loadings, reliability, R2 and total effects
+def estimate_sheets(spark, d):
+    """technique, replicate, sheet, metric, key1, key2, value."""
+    fit = _pls(spark, d).filter(F.col("sheet").isin("paths", "loadings", "rsquared", "total_effects"))
+    fit = fit.filter("metric IN ('beta', 'loading', 'R2', 'total')")
+    rel = _reliability(spark, d).select(*DS, F.lit("reliability").alias("sheet"), "metric", F.col("construct").alias("key1"), F.lit(None).cast("string").alias("key2"), "value")
+    return fit.select(*DS, "sheet", "metric", "key1", "key2", "value").unionByName(rel)
+
+
+def _path_errors(spark, d):
+    delta = RP.vs_real(estimate_sheets(spark, d).na.fill("", ["key1", "key2"]), ["sheet", "metric", "key1", "key2"], "value")
+    return RP.sheet_errors(delta, ["technique", "sheet", "metric"])
+
+
+register("path_errors")(_path_errors)
 register("r2_summary")(lambda spark, d: RP.technique_mean(_est(spark, d, "rsquared", "R2", ("key1",)), ["key1"], "value")
                        .select("technique", F.col("key1").alias("construct"), F.col("mean").alias("mean_r2")))
 _SHEET = ["sheet", "metric", "key1", "key2"]
@@ -217,15 +249,26 @@ register("compare_sheets")(lambda spark, d: RP.compare_sheets(
 
 
 def _seed_pass(spark, d):
-    res = _pls(spark, d)
-    beta = MS.sheet(res, "paths", "beta").groupBy("technique", "key1", "key2").agg(
-        F.avg("value").alias("beta_mean"), F.stddev_samp("value").alias("beta_sd"),
-        F.min("value").alias("beta_min"), F.max("value").alias("beta_max"))
-    ave = MS.sheet(res, "reliability", "AVE").groupBy("technique").agg(
-        F.avg((F.col("value") >= 0.5).cast("double")).alias("share_ave_ok"))
-    ht = _htmt(spark, d).groupBy("technique").agg(F.avg((F.col("htmt") <= RP.HTMT_SEED_MAX).cast("double")).alias("share_htmt_ok"),
-                                                   F.max("htmt").alias("htmt_max"))
-    return beta.join(ave, "technique", "left").join(ht, "technique", "left")
+    """Over the replicates (seeds) of a technique, per quantity: mean, sd, least, greatest, and the share that passes."""
+    from fidelis.plans import q_latent as QL  # bootstrap p-values and the mediation model
+
+    boot, est = QL.boot_med(spark, d)
+    paths = MS.bootstrap_summary(boot, est).filter("effect = 'direct'")
+    name = lambda quantity, k1, k2, value, ok: [F.lit(quantity).alias("quantity"), k1.alias("key1"), k2.alias("key2"), value.alias("value"), ok.alias("ok")]
+    none, text = F.lit(None).cast("boolean"), F.lit(None).cast("string")
+    parts = [paths.select(*DS, *name("beta", F.col("iv"), F.col("dv"), F.col("estimate"), F.col("p_value") < 0.05))]
+    ind = MS.indirect_effects(boot, est, QL.MEDIATIONS)
+    parts.append(ind.select(*DS, *name("indirect", F.concat_ws("->", "iv", "mediator"), F.col("dv"), F.col("indirect_b"), F.col("p_value") < 0.05)))
+    fit = QL.pls_med(spark, d)
+    parts.append(MS.sheet(fit, "rsquared", "R2").select(*DS, *name("R2", F.col("key1"), text, F.col("value"), none)))
+    rel = _reliability(spark, d).filter("metric IN ('alpha', 'rhoC', 'AVE')")
+    parts.append(rel.select(*DS, F.col("metric").alias("quantity"), F.col("construct").alias("key1"), text.alias("key2"), "value",
+                            F.when(F.col("metric") == "AVE", F.col("value") >= RP.RELIABILITY_MIN["AVE"]).alias("ok")))
+    parts.append(_htmt(spark, d).select(*DS, *name("htmt", F.col("construct_a"), F.col("construct_b"), F.col("htmt"), F.col("htmt") <= RP.HTMT_SEED_MAX)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return RP.seed_summary(out, ["technique", "quantity", "key1", "key2"])
 
 
 register("seed_pass_rates")(_seed_pass)

@@ -19,3 +19,66 @@ def test_copula(spark):
     assert abs(one[["a", "b"]].corr("spearman").iloc[0, 1] - np.corrcoef(a.argsort().argsort(), b.argsort().argsort())[0, 1]) < 0.05
     again = copula_synthesize(spark, real, ["a", "b"], 3000, seed=4).toPandas().sort_values("row_id")
     assert (one.to_numpy() == again.to_numpy()).all()
+
+
+def _spearman(x, y):
+    keep = x.notna() & y.notna()
+    return np.corrcoef(x[keep].rank(), y[keep].rank())[0, 1]
+
+
+def test_copula_over_all_column_types(spark):
+    """The registered query's columns: marginals, null patterns, ranges and rank correlations of REAL."""
+    from fidelis.plans import QUERIES
+    from fidelis.plans.q_latent import _DISCRETE
+    from fidelis.sources.panel import VARIABLES, load_panel
+
+    sf = "/root/testdata/sf0.01"
+    real = load_panel(spark, sf, extended=True).filter("technique = 'REAL'").toPandas()
+    syn = QUERIES["copula_synthesize"](spark, sf).toPandas()
+    assert len(syn) == len(real) > 10_000
+    for v in VARIABLES:
+        q = [0.05, 0.25, 0.5, 0.75, 0.95]
+        assert np.abs(syn[v].quantile(q) - real[v].quantile(q)).max() < 0.06 * real[v].std(), v
+        assert syn[v].min() >= real[v].min() - 1e-6 and syn[v].max() <= real[v].max() + 1e-6
+    for v in _DISCRETE:
+        assert (syn[v].value_counts(normalize=True).sub(real[v].value_counts(normalize=True), fill_value=0).abs() < 0.015).all(), v
+        assert set(syn[v].dropna()) <= set(real[v].dropna())
+    assert abs(syn["a2"].isna().mean() - real["a2"].isna().mean()) < 0.005 and not syn["a1"].isna().any()
+    codes = {v: {x: i for i, x in enumerate(sorted(real[v].unique()))} for v in _DISCRETE}
+    a, b = (df[[*VARIABLES, *_DISCRETE]].assign(**{v: df[v].map(codes[v]) for v in _DISCRETE}) for df in (real, syn))
+    cols = list(a.columns)
+    off = [abs(_spearman(a[x], a[y]) - _spearman(b[x], b[y])) for i, x in enumerate(cols) for y in cols[i + 1:]]
+    assert max(off) < 0.06 and np.mean(off) < 0.015
+
+
+def test_nearest_correlation():
+    from fidelis.operators.synth import nearest_correlation
+
+    bad = np.array([[1.0, 0.9, -0.9], [0.9, 1.0, 0.9], [-0.9, 0.9, 1.0]])
+    assert np.linalg.eigvalsh(bad).min() < 0
+    good = nearest_correlation(bad)
+    assert np.linalg.eigvalsh(good).min() > 0 and np.allclose(np.diag(good), 1)
+    np.linalg.cholesky(good)
+    # the nearest one by symmetry: all entries of size one half, by a search over that family
+    sizes = np.linspace(0.3, 0.9, 6001)
+    ok = [s for s in sizes if np.linalg.eigvalsh(np.sign(bad) * np.where(np.eye(3) > 0, 1, s)).min() >= 0]
+    assert abs(abs(good[0, 1]) - max(ok)) < 1e-3
+    fine = np.array([[1.0, 0.3], [0.3, 1.0]])
+    assert np.allclose(nearest_correlation(fine), fine)
+
+
+def test_indefinite_input_and_null_patterns(spark):
+    """Pairwise-complete correlations of three columns that are never filled together need not be positive definite."""
+    from fidelis.operators.synth import copula_fit, copula_sample
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(3000):
+        x = float(rng.normal())
+        y = float(0.1 * rng.normal())
+        rows.append((i, *[(x, x + y, None), (x, None, -x + y), (None, x, x + y)][i % 3], ["lo", "hi"][int(x > 0.5)]))
+    real = spark.createDataFrame(rows, "row_id long, a double, b double, c double, k string")
+    fit = copula_fit(real, ["a", "b", "c"], ["k"])
+    assert np.linalg.eigvalsh(fit["corr"]).min() > 0
+    one = copula_sample(spark, fit, 3000).toPandas()
+    assert one[["a", "b", "c"]].isna().sum(axis=1).eq(1).all() and abs((one.k == "hi").mean() - (np.array([r[4] for r in rows]) == "hi").mean()) < 0.03
