@@ -59,7 +59,9 @@ _HY = ("hy", "SELECT s.technique, s.replicate, s.beta, r.beta AS real FROM pt s
 _RANK = "rank() OVER (PARTITION BY technique, replicate ORDER BY {0}) + (count(*) OVER (PARTITION BY technique, replicate, {0}) - 1) / 2.0"
 _HG = ("hg", "SELECT technique, replicate, count(*) AS n_paths, avg(CASE WHEN sign(beta) = sign(real) THEN 1.0 ELSE 0.0 END) AS direction, "
              f"coalesce(corr(rs, rr), 0.0) AS rho FROM (SELECT *, {_RANK.format('beta')} AS rs, {_RANK.format('real')} AS rr FROM hy) GROUP BY technique, replicate")
-register("path_hybrid_score", with_panel(
+register("path_hybrid_score")(lambda spark, d: RP.path_hybrid_score(
+    MS.sheet(pls_med(spark, d), "paths", "beta").select(*DS, "key1", "key2", "value"), ["key1", "key2"], "value"))
+register("path_hybrid_score_pairs", with_panel(
     "SELECT technique, replicate, n_paths, " + ", ".join([rd("direction"), rd("rho"), rd("(direction + rho) / 2", "hybrid")])
     + ", row_number() OVER (PARTITION BY technique ORDER BY round((direction + rho) / 2, 9) DESC, replicate) = 1 AS best FROM hg", [_PT, _HY, _HG]))(
     lambda spark, d: RP.path_hybrid_score(_pair_table(spark, d), ["path"], "beta").withColumn("hybrid", F.round("hybrid", 9)))

@@ -203,7 +203,7 @@ register("recode_binary", with_panel(
                               F.avg("flag").alias("share_flag")))
 
 # ------------------------------------------------------------------ zscore_columns (ddof 1, per dataset)
-_ZC = ["a1", "b1", "c1"]
+_ZC = list(V)
 register("zscore_columns", with_panel(
     "SELECT technique, replicate, row_id, " + ", ".join(
         rd(f"({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w", f"{c}_z") for c in _ZC)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fidelis.operators import privacy as PV
+from fidelis.operators.knn import knn_compared
+from fidelis.operators.knn_approx import knn_approx
 from fidelis.plans.registry import rd, register
 from fidelis.session import materialise
 from fidelis.sources.panel import QI_COLUMNS, SENSITIVE, load_panel, with_panel
@@ -56,6 +58,26 @@ register("k_distance", with_panel(
     + " FROM d1 GROUP BY technique, replicate", _NN_CTES, extended=True, with_row_id=True))(
     lambda spark, d: PV.k_distance(PV.nn_distances(_px(spark, d), NN_FEATURES, 5), 5))
 
+# ------------------------------------------------------------------ work of the exact search, and the approximate one
+register("nn_compared_share")(lambda spark, d: _compared(spark, d))
+PAIR_SHARE = 0.15  # the approximate search may compare so much of all pairs
+
+
+def _compared(spark, d):
+    """Share of REAL's rows that a synthetic row is compared with, per dataset."""
+    r, s = PV._split(_px(spark, d), "REAL")
+    done = knn_compared(s, r, NN_FEATURES, 1, query_id="row_id", ref_id="row_id", carry=DS)
+    return done.groupBy(*DS).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.col("compared") / F.col("ref_rows")).alias("share"), F.max(F.col("compared") / F.col("ref_rows")).alias("max_share"))
+
+
+def _approx(spark, d):
+    r, s = PV._split(_px(spark, d), "REAL")
+    near = knn_approx(s, r, NN_FEATURES, 1, query_id="row_id", ref_id="row_id", carry=DS, pair_budget=PAIR_SHARE * s.count() * r.count())
+    return near.groupBy(*DS).agg(F.count(F.lit(1)).alias("n_found"), F.avg("dist").alias("nn_distance_mean"), F.first("recall").alias("recall"))
+
+
+register("nn_distance_approx")(_approx)
+
 # ------------------------------------------------------------------ membership_proxy
 def membership(px):
     nn = materialise(PV.nn_distances(px, NN_FEATURES, 1), "nn")

@@ -115,7 +115,7 @@ def _scores(spark, d):
 
 
 for _name, _part in (("score_covariate", "covariate_score"), ("score_loading", "loading_score"), ("score_reliability", "reliability_score"),
-                     ("score_privacy", "privacy_score")):
+                     ("score_privacy_matches", "privacy_score")):
     register(_name, _sql(f"SELECT technique, {rd(_part)} FROM sc"))(lambda spark, d, part=_part: _scores(spark, d).select("technique", part))
 register("score_distribution", _sql(f"SELECT technique, {rd('distribution_score')}, {rd('distribution_error_raw')} FROM sc"))(
     lambda spark, d: _scores(spark, d).select("technique", "distribution_score", "distribution_error_raw"))

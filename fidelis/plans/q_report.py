@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fidelis.operators import marginal as M
+from fidelis.operators import privacy as PV
 from fidelis.operators import ranking as RK
 from fidelis.operators import report as RP
 from fidelis.operators.dependency import covariate_corr, pair_delta
 from fidelis.operators.reshape import minmax_normalize, sort_real_first
 from fidelis.plans import q_measurement as QM
+from fidelis.plans import q_privacy as QP
 from fidelis.plans.registry import rd, register
+from fidelis.session import materialise
 from fidelis.sources.panel import MEASUREMENT, load_panel, with_panel
 from fidelis.sources.panel import VARIABLES as V
 
@@ -29,13 +32,12 @@ register("agg_counts_pct", with_panel(
 
 # ------------------------------------------------------------------ agg_mean_per_run (per-run stats, then mean of runs)
 register("agg_mean_per_run", with_panel(
-    "SELECT technique, count(*) AS runs, " + ", ".join(rd(f"avg({s})", f"{s}") for s in ["mean_a1", "sd_a1", "mean_c1", "sd_c1"])
-    + " FROM (SELECT technique, replicate, avg(a1) AS mean_a1, stddev_samp(a1) AS sd_a1, avg(c1) AS mean_c1, "
-      "stddev_samp(c1) AS sd_c1 FROM panel GROUP BY technique, replicate) GROUP BY technique"))(
+    "SELECT technique, count(*) AS runs, " + ", ".join(rd(f"avg({s}_{v})", f"{s}_{v}") for v in V for s in ("mean", "sd"))
+    + " FROM (SELECT technique, replicate, " + ", ".join(f"avg({v}) AS mean_{v}, stddev_samp({v}) AS sd_{v}" for v in V)
+    + " FROM panel GROUP BY technique, replicate) GROUP BY technique"))(
     lambda spark, d: load_panel(spark, d).groupBy(*DS).agg(
-        F.avg("a1").alias("mean_a1"), F.stddev_samp("a1").alias("sd_a1"), F.avg("c1").alias("mean_c1"),
-        F.stddev_samp("c1").alias("sd_c1")).groupBy("technique").agg(
-        F.count(F.lit(1)).alias("runs"), *[F.avg(c).alias(c) for c in ["mean_a1", "sd_a1", "mean_c1", "sd_c1"]]))
+        *[x for v in V for x in (F.avg(v).alias(f"mean_{v}"), F.stddev_samp(v).alias(f"sd_{v}"))]).groupBy("technique").agg(
+        F.count(F.lit(1)).alias("runs"), *[F.avg(f"{s}_{v}").alias(f"{s}_{v}") for v in V for s in ("mean", "sd")]))
 
 # ------------------------------------------------------------------ agg_replicates over an estimate table
 register("agg_replicates", with_panel(
@@ -106,9 +108,32 @@ register("sort_real_first", with_panel(
 
 
 # ------------------------------------------------------------------ overall ranking of the panel's techniques
-def _rank_overall(spark, d):
-    """Component inputs measured on the panel.  CB-SEM fit and membership inference are not
-    measured; their parts are left out and the other weights scaled (see ``parts_used``)."""
+def path_inputs(pls):
+    return RP.direction_rank(RP.vs_real(QM.MS.sheet(pls, "paths", "beta").select(*DS, "key1", "key2", "value"),
+                                        ["key1", "key2"], "value"), "key1").select(
+        "technique", F.col("direction_share").alias("direction"), F.coalesce("rank_rho", F.lit(0.0)).alias("rank_rho"))
+
+
+def latent_inputs(pls):
+    return RP.vs_real(QM.MS.sheet(pls, "construct_corr", "r").filter("key1 < key2").select(*DS, "key1", "key2", "value"),
+                      ["key1", "key2"], "value").groupBy("technique").agg(F.avg("abs_delta").alias("latent_err"))
+
+
+def htmt_inputs(spark, d):
+    return RP.grid_rmse(RP.vs_real(QM._htmt(spark, d), ["construct_a", "construct_b"], "htmt")).select("technique", F.col("rmse").alias("htmt_rmse"))
+
+
+def privacy_inputs(p):
+    """Exact matches, membership inference, distance to the nearest REAL row and its 5th percentile, per technique."""
+    nn = materialise(PV.nn_distances(p, V, 1), "nn")
+    per_run = PV.exact_match_rate(p, V).join(PV.membership_proxy(p, nn, V).select(*DS, "membership_inference"), DS) \
+        .join(PV.nn_distance_mean(nn), DS).join(PV.dcr(nn).select(*DS, "dcr_p05"), DS)
+    return per_run.groupBy("technique").agg(*[F.avg(c).alias(c) for c in ["exact_match_rate", "membership_inference", "nn_distance_mean", "dcr_p05"]])
+
+
+def _rank_inputs(spark, d):
+    """Component inputs measured on the panel, one row per technique.  CB-SEM fit is not measured; its part is left
+    out and the other weights scaled (see ``parts_used``)."""
     p = load_panel(spark, d, extended=True, with_row_id=True)
     dist = M.dist_summary(p, V, ["o1", "sens"])
     cont = dist.filter("variable_type = 'continuous'").select("technique", F.col("mean_abs_dmu").alias("e_mu"),
@@ -116,28 +141,37 @@ def _rank_overall(spark, d):
                                                               F.col("mean_adherence").alias("cont_adherence"))
     cat = dist.filter("variable_type <> 'continuous'").select("technique", F.col("mean_adherence").alias("cat_adherence"))
     pls = QM._pls(spark, d)
-    paths = RP.direction_rank(RP.vs_real(QM.MS.sheet(pls, "paths", "beta").select(*DS, "key1", "key2", "value"),
-                                         ["key1", "key2"], "value"), "key1").select(
-        "technique", F.col("direction_share").alias("direction"), F.coalesce("rank_rho", F.lit(0.0)).alias("rank_rho"))
-    lat = RP.vs_real(QM.MS.sheet(pls, "construct_corr", "r").filter("key1 < key2").select(*DS, "key1", "key2", "value"),
-                     ["key1", "key2"], "value").groupBy("technique").agg(F.avg("abs_delta").alias("latent_err"))
+    paths, lat = path_inputs(pls), latent_inputs(pls)
     cov = pair_delta(covariate_corr(p, MEASUREMENT)).filter("var_i <> var_j").groupBy("technique").agg(
         F.avg("abs_delta").alias("covariate_err"))
     load = RP.vs_real(QM.MS.sheet(pls, "loadings", "loading").select(*DS, "key1", "key2", "value"), ["key1", "key2"], "value") \
         .groupBy("technique", "key2").agg(F.avg("abs_delta").alias("m")).groupBy("technique").agg(F.avg("m").alias("loading_err"))
     rel = RP.vs_real(QM.MS.sheet(pls, "reliability").filter(F.col("metric").isin("rhoC", "AVE", "rhoA")).select(
         *DS, "key1", "metric", "value"), ["key1", "metric"], "value").groupBy("technique").agg(F.avg("abs_delta").alias("reliability_err"))
-    ht = RP.grid_rmse(RP.vs_real(QM._htmt(spark, d), ["construct_a", "construct_b"], "htmt")).select(
-        "technique", F.col("rmse").alias("htmt_rmse"))
-    from fidelis.operators import privacy as PV
-
-    nn = PV.nn_distances(p, V, 1)
-    priv = PV.exact_match_rate(p, V).join(PV.nn_distance_mean(nn), DS).join(PV.dcr(nn).select(*DS, "dcr_p05"), DS) \
-        .groupBy("technique").agg(*[F.avg(c).alias(c) for c in ["exact_match_rate", "nn_distance_mean", "dcr_p05"]])
+    ht, priv = htmt_inputs(spark, d), privacy_inputs(p)
     t = cont.join(cat, "technique").join(paths, "technique").join(lat, "technique").join(cov, "technique") \
         .join(load, "technique").join(rel, "technique").join(ht, "technique").join(priv, "technique")
     t = t.filter("technique <> 'REAL'").select("technique", *[c for c in RK.INPUTS if c in t.columns])
-    return RK.rank_overall(t, compat=True)
-
-
-register("rank_overall")(_rank_overall)
+    return materialise(t, "rank-inputs")
+
+
+register("join_inner_components")(_rank_inputs)
+register("rank_overall")(lambda spark, d: RK.rank_overall(_rank_inputs(spark, d), compat=True))
+register("score_path")(lambda spark, d: RK.component_scores(path_inputs(QM._pls(spark, d))))
+register("score_latent")(lambda spark, d: RK.component_scores(latent_inputs(QM._pls(spark, d))))
+register("score_htmt", with_panel("SELECT s.technique, " + rd("-sqrt(avg((s.m - r.m) * (s.m - r.m)))", "htmt_score")
+    + " FROM htm s JOIN htm r ON r.technique = 'REAL' AND r.construct_a = s.construct_a AND r.construct_b = s.construct_b "
+    "WHERE s.technique <> 'REAL' AND s.m - r.m IS NOT NULL GROUP BY s.technique", QM._htmt_sql() + [QM._HT_TM]))(
+    lambda spark, d: RK.component_scores(htmt_inputs(spark, d)))
+_PRIV = {"exact_match_rate": "-", "membership_inference": "-", "nn_distance_mean": "", "dcr_p05": ""}
+_mm = "CASE WHEN max({0}) OVER () = min({0}) OVER () THEN 0.0 ELSE ({0} - min({0}) OVER ()) / (max({0}) OVER () - min({0}) OVER ()) END".format
+register("score_privacy", with_panel(
+    "SELECT technique, " + rd("(" + " + ".join(_mm(f"({sign}{c})") for c, sign in _PRIV.items()) + ") / 4", "privacy_score") + " FROM pv",
+    [*QP._MP_CTES,
+     ("em", "SELECT technique, avg(e) AS exact_match_rate FROM (SELECT s.technique, s.replicate, avg(CASE WHEN h.hit IS NOT NULL THEN 1.0 ELSE 0.0 END) AS e FROM panel s "
+            "LEFT JOIN (SELECT DISTINCT " + ", ".join(V) + ", 1 AS hit FROM panel WHERE technique = 'REAL') h ON " + " AND ".join(f"s.{v} = h.{v}" for v in V)
+            + " WHERE s.technique <> 'REAL' GROUP BY ALL) GROUP BY technique"),
+     ("mm", "SELECT technique, avg(membership_inference) AS membership_inference FROM mp GROUP BY technique"),
+     ("nm", "SELECT technique, avg(m) AS nn_distance_mean, avg(p) AS dcr_p05 FROM (SELECT technique, replicate, avg(d1) AS m, quantile_cont(d1, 0.05) AS p FROM mn GROUP BY ALL) GROUP BY technique"),
+     ("pv", "SELECT * FROM em JOIN mm USING (technique) JOIN nm USING (technique)")], extended=True, with_row_id=True))(
+    lambda spark, d: RK.component_scores(privacy_inputs(load_panel(spark, d, extended=True, with_row_id=True))))

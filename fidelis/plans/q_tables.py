@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from fidelis.operators import dependency as D
 from fidelis.operators import joins as J
 from fidelis.operators import marginal as M
+from fidelis.operators import measurement as MS
 from fidelis.operators import prep as P
 from fidelis.operators.reshape import unpivot_long
 from fidelis.plans import q_dependency as QD
 from fidelis.plans.registry import rd, register
 from fidelis.session import shared_path
 from fidelis.sources import files as S
-from fidelis.sources.panel import load_panel, with_panel
+from fidelis.sources.panel import MEASUREMENT, STRUCTURE, TECHNIQUES, load_panel, with_panel
 from fidelis.sources.panel import VARIABLES as V
 
 DS = ["technique", "replicate"]
@@ -119,13 +120,13 @@ register("infer_variable_type",
 
 def _wide_sheet(spark, d):
     g = load_panel(spark, d).groupBy("replicate")
-    cells = [F.avg(F.when(F.col("technique") == t, F.col(v))).alias(f"{t}__{v}") for t in ("REAL", "SYN_SAME", "SYN_NOISY") for v in ("a1", "b1")]
+    cells = [F.avg(F.when(F.col("technique") == t, F.col(v))).alias(f"{t}__{v}") for t in TECHNIQUES for v in V]
     return g.agg(*cells)
 
 
 register("unpivot_long", with_panel(
     " UNION ALL ".join(f"SELECT replicate, '{t}' AS technique, '{v}' AS metric, " + rd(f"avg(CASE WHEN technique = '{t}' THEN {v} END)", "value")
-                       + " FROM panel GROUP BY replicate" for t in ("REAL", "SYN_SAME", "SYN_NOISY") for v in ("a1", "b1"))))(
+                       + " FROM panel GROUP BY replicate" for t in TECHNIQUES for v in V)))(
     lambda spark, d: unpivot_long(_wide_sheet(spark, d), ["replicate"]))
 
 
@@ -173,12 +174,21 @@ def _profile_sql():
 register("distribution_stats", _profile_sql())(lambda spark, d: J.profile(
     _t(spark, d, "lineitem"), ["l_linenumber"], _PROFILE, {k: {v: F.col(c) == v for v in vs} for k, (c, vs) in _SHARES.items()}))
 
-# ------------------------------------------------------------------ construct correlations (composites stand in for latent scores)
-register("latent_delta", with_panel(
+# ------------------------------------------------------------------ construct correlations of the path model
+def _latent_pairs(spark, d):
+    pls = MS.pls_fit(load_panel(spark, d), MEASUREMENT, STRUCTURE)
+    return MS.sheet(pls, "construct_corr", "r").filter("key1 > key2").select(
+        "technique", "replicate", F.col("key1").alias("var_i"), F.col("key2").alias("var_j"), F.col("value").alias("r"))
+
+
+register("latent_delta")(lambda spark, d: D.pair_delta(_latent_pairs(spark, d)))
+register("latent_stability")(lambda spark, d: D.latent_stability(D.pair_delta(_latent_pairs(spark, d)), "pls"))
+# equal-weight composites stand in for latent scores, so that SQL can rebuild them
+register("latent_delta_composites", with_panel(
     "SELECT technique, var_i, var_j, " + ", ".join(rd(c) for c in ["r_real", "r_syn", "r_min", "r_max", "delta", "abs_delta"])
     + " FROM dl WHERE var_i <> var_j", QD._COV_CTES, extended=True))(
     lambda spark, d: QD._cov_delta(spark, d).filter(F.col("var_i") != F.col("var_j")))
-register("latent_stability", with_panel(
+register("latent_stability_composites", with_panel(
     "SELECT technique, " + rd("avg(abs_delta)", "mean_abs_delta") + ", " + rd("median(abs_delta)", "median_abs_delta") + ", " + rd("max(abs_delta)", "max_abs_delta")
     + ", 'composite' AS model FROM dl WHERE var_i <> var_j GROUP BY technique", QD._COV_CTES, extended=True))(
     lambda spark, d: D.latent_stability(QD._cov_delta(spark, d), "composite"))
@@ -198,7 +208,10 @@ def _headerless(spark, d):
     path = shared_path(spark, "headerless")
     rows = _t(spark, d, "part").selectExpr("CAST(p_partkey AS STRING) AS a", "CAST(p_size AS STRING) AS b", "p_brand AS c", "1 AS o")
     bogus = _t(spark, d, "part").agg(F.lit("0").alias("a"), F.lit("1").alias("b"), F.lit("2").alias("c"), F.lit(0).alias("o"))
-    rows.unionByName(bogus).orderBy("o", "a").coalesce(1).drop("o").write.csv(path)
+    # four replicate files, each led by the bogus row
+    file = F.explode(F.when(F.col("o") == 0, F.array(*[F.lit(k) for k in range(4)])).otherwise(F.array(F.pmod(F.xxhash64("a"), F.lit(4)).cast("int"))))
+    files = rows.unionByName(bogus).withColumn("f", file).repartition("f").sortWithinPartitions("f", "o", "a")
+    files.drop("o").write.partitionBy("f").csv(path)
     return S.drop_index_row_set_headers(S.read_headerless_csv(spark, path), ["partkey", "size", "brand"])
 
 
@@ -207,17 +220,19 @@ register("drop_index_row_set_headers", "SELECT CAST(p_partkey AS VARCHAR) AS par
 
 def _panel_files(spark, d):
     path = shared_path(spark, "panel-files")
-    p = load_panel(spark, d).select("technique", "replicate", "a1", "b1")
-    p.filter("technique = 'REAL'").drop("technique", "replicate").coalesce(1).write.option("header", True).csv(f"{path}/real")
-    for k in (1, 2, 3):  # one file per replicate, as generators leave them
-        p.filter(f"technique = 'SYN_SAME' AND replicate = {k}").drop("technique", "replicate").coalesce(1).write.option("header", True).csv(f"{path}/same/{k}")
+    p = load_panel(spark, d).select("technique", "replicate", *V)
+    p.filter("technique = 'REAL'").drop("technique", "replicate").coalesce(1).write.option("header", True).csv(f"{path}/real")  # REAL is one file by contract
+    # one file per replicate, as generators leave them
+    syn = p.filter("technique <> 'REAL'").withColumns({"t": F.col("technique"), "k": F.col("replicate")}).drop("technique", "replicate")
+    syn.repartition("t", "k").write.partitionBy("t", "k").option("header", True).csv(f"{path}/syn")
     from pyspark.sql import types as T
 
-    schema = T.StructType([T.StructField("a1", T.DoubleType()), T.StructField("b1", T.DoubleType())])
-    files = S.scan_panel_files(spark, {"REAL": f"{path}/real", "SYN_SAME": f"{path}/same/*"}, schema)
-    return files.groupBy(*DS).agg(F.count(F.lit(1)).alias("n_rows"), F.avg("a1").alias("mean_a1"), F.avg("b1").alias("mean_b1"))
+    schema = T.StructType([T.StructField(v, T.DoubleType()) for v in V])
+    names = [t for t in TECHNIQUES if t != "REAL"]
+    files = S.scan_panel_files(spark, {"REAL": f"{path}/real"} | {t: f"{path}/syn/t={t}/k=*" for t in names}, schema)
+    return files.groupBy(*DS).agg(F.count(F.lit(1)).alias("n_rows"), *[F.avg(v).alias(f"mean_{v}") for v in V])
 
 
 register("scan_panel_files", with_panel(
-    "SELECT technique, replicate, count(*) AS n_rows, " + rd("avg(a1)", "mean_a1") + ", " + rd("avg(b1)", "mean_b1")
-    + " FROM panel WHERE technique IN ('REAL', 'SYN_SAME') GROUP BY technique, replicate"))(_panel_files)
+    "SELECT technique, replicate, count(*) AS n_rows, " + ", ".join(rd(f"avg({v})", f"mean_{v}") for v in V)
+    + " FROM panel GROUP BY technique, replicate"))(_panel_files)

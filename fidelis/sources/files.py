@@ -99,22 +99,30 @@ def table_metadata(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+_ORIGIN = ("_file", "_start", "_row")
+
+
 def drop_index_row_set_headers(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Headerless synthetic file: drop a bogus first row holding 0, 1, 2, ... and name the columns.
 
-    ``df`` is read without header and carries ``_row`` (its line number from the reader)."""
-    data_cols = [c for c in df.columns if c != "_row"]
+    ``df`` comes from ``read_headerless_csv`` of any number of files; each file may have such a first line."""
+    data_cols = [c for c in df.columns if c not in _ORIGIN]
     if len(data_cols) != len(names):
         raise ValueError(f"expected {len(names)} columns, found {len(data_cols)}")
     bogus = reduce(lambda a, b: a & b, [F.trim(F.col(c).cast("string")).isin(str(i), f"{i}.0")
                                         for i, c in enumerate(data_cols)])
-    keep = df.filter(~((F.col("_row") == 0) & bogus))
+    # the first line of a file is the first row of the split that starts at byte 0
+    first = df.filter("_start = 0").groupBy("_file").agg(F.min("_row").alias("_first")).select("_first")
+    keep = df.withColumn("_bogus", bogus).join(first, (F.col("_row") == F.col("_first")) & F.col("_bogus"), "left_anti")
     return keep.select(*[F.col(c).alias(n) for c, n in zip(data_cols, names)])
 
 
 def read_headerless_csv(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.option("header", False).csv(path)
-    return df.withColumn("_row", F.monotonically_increasing_id())
+    """Headerless files under ``path``: columns _c0, _c1, ..., and where each row comes from: _file, _start (of its
+    split) and _row (numbers that ascend within a split)."""
+    df = spark.read.option("header", False).option("recursiveFileLookup", True).csv(path)
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                     F.monotonically_increasing_id().alias("_row"))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (),

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fidelis.operators.knn import knn
+from fidelis.operators.knn import knn, knn_compared
+from fidelis.operators.knn_approx import PairBudgetExceeded, knn_approx
 from fidelis.sources.panel import VARIABLES, load_panel
 
 from .conftest import SF_SMALL
@@ -40,3 +41,39 @@ def test_exact_copies_have_zero_distance(spark):
     assert res.agg(F.max("dist")).first()[0] == 0.0
     # the nearest REAL row of a copy is its source row
     assert res.filter(F.col("row_id") != F.col("ref_id")).count() == 0
+
+
+def test_keys_ties_and_a_hot_cell(spark):
+    """A third of all rows equal; references of the query's own key only; fewer than k references."""
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(900, 2)), 1)
+    x[:300] = x[0]
+    rows = [(int(i % 3 if i < 890 else 9), i, *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "g int, id long, u double, v double")
+    got = {}
+    for r in knn(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), ["u", "v"], 8, query_id="id", ref_id="id", keys=["g"], leaf_rows=6).collect():
+        got.setdefault((r.g, r.id), []).append((r["rank"], r.dist, r.ref_id))
+    for g, i, *v in rows[::2]:
+        d = sorted((float(np.sqrt(((np.array(w) - v) ** 2).sum())), j) for h, j, *w in rows[1::2] if h == g)[:8]
+        assert [(round(a, 12), j) for _, a, j in sorted(got[g, i])] == [(round(a, 12), j) for a, j in d], (g, i)
+
+
+def test_few_rows_are_compared(spark):
+    p = load_panel(spark, SF_SMALL, extended=True, with_row_id=True)
+    real, syn = p.filter("technique = 'REAL'"), p.filter("technique = 'SYN_SAME'")
+    done = knn_compared(syn, real, FEATS, 1, query_id="row_id", ref_id="row_id", leaf_rows=8).toPandas()
+    assert (done.compared >= 1).all() and (done.compared / done.ref_rows).mean() < 0.25
+
+
+def test_approximate_search(spark):
+    p = load_panel(spark, SF_SMALL, extended=True, with_row_id=True)
+    real, syn = p.filter("technique = 'REAL'"), p.filter("technique <> 'REAL'")
+    args = dict(query_id="row_id", ref_id="row_id", carry=["technique"])
+    n = real.dropna(subset=FEATS).count() * syn.dropna(subset=FEATS).count()
+    near = knn_approx(syn, real, FEATS, 1, pair_budget=0.3 * n, **args).toPandas()
+    exact = knn(syn, real, FEATS, 1, **args).toPandas()
+    both = exact.merge(near, on=["technique", "row_id"], how="left")
+    assert (both.dist_y.dropna() >= both.dist_x[both.dist_y.notna()] - 1e-12).all()
+    assert (both.ref_id_x == both.ref_id_y).mean() >= 0.9 and (near.groupby("technique").recall.first() >= 0.85).all()
+    with pytest.raises(PairBudgetExceeded):
+        knn_approx(syn, real, FEATS, 1, pair_budget=100, **args)

@@ -298,3 +298,26 @@ def test_rebuilt_model(spark):
                 assert got[d]["paths", *k, "beta"] == pytest.approx(v, abs=2e-5)
             for (i, c), v in want["loading"].items():
                 assert got[d]["loadings", i, c, "loading"] == pytest.approx(v, abs=2e-5)
+
+
+def test_latent_and_path_scores(spark, fits):
+    lower = [(b, a) for a, b in PAIRS]
+    mean = means(fits, lambda f: {k: f["plain"]["r"][k] for k in lower})
+    got = run(spark, "latent_delta", "technique", "var_i", "var_j")
+    close({k: r.delta for k, r in got.items()}, {(t, *k): mean[t][k] - mean["REAL"][k] for t in mean if t != "REAL" for k in lower})
+    got = run(spark, "latent_stability", "technique")
+    scores = run(spark, "score_latent", "technique")
+    for (t,), r in got.items():
+        d = [abs(mean[t][k] - mean["REAL"][k]) for k in lower]
+        assert (r.mean_abs_delta, r.median_abs_delta, r.max_abs_delta) == pytest.approx((np.mean(d), np.median(d), max(d)), abs=2e-5)
+        assert scores[t,].latentcorr_score == pytest.approx(-np.mean(d), abs=2e-5)
+    real = next(f for (t, _), f in fits.items() if t == "REAL")["med"]["beta"]
+    got = run(spark, "path_hybrid_score", "technique", "replicate")
+    for (t, k), r in got.items():
+        b = fits[t, k]["med"]["beta"]
+        keys = sorted(b)
+        direction, rho = np.mean([np.sign(b[p]) == np.sign(real[p]) for p in keys]), spearman([b[p] for p in keys], [real[p] for p in keys])
+        assert r.n_paths == 3 and r.hybrid == pytest.approx((direction + rho) / 2, abs=1e-6)
+    assert all(sum(r.best for (u, _), r in got.items() if u == t) == 1 for t, _ in got)
+    score = run(spark, "score_path", "technique")
+    assert set(score) == {(t,) for t in mean if t != "REAL"} and all(0 <= r.path_score <= 1 for r in score.values())
