@@ -38,7 +38,7 @@ from fidelis.llm.common import materialise
 
 WINDOW = 50
 GRAM = 10
-CHUNK = 1 << 20  # bytes of text that are hashed at a time, if no single text is longer
+CHUNK = 1 << 17  # bytes of text that a task holds and hashes at a time, if no single text is longer
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -123,15 +123,27 @@ def spans(w: Words) -> tuple[np.ndarray, ...]:
     return grams[anchor[begin]], w.run(0, first, size), w.run(1, first, size), first, last
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > CHUNK:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def _chunks(column: pa.Array, read) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of consecutive rows of about CHUNK bytes; only these texts are held."""
+    start, size, texts = 0, 0, []
+    for i, cell in enumerate(column):
+        text = read(cell)
+        if texts and size + len(text) > CHUNK:
+            yield start, texts
+            start, size, texts = i, 0, []
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield start, texts
+
+
+def _plain(cell: pa.Scalar) -> bytes:
+    return cell.as_py() or b""
+
+
+def _reader():
+    press = zstandard.ZstdDecompressor()
+    return lambda cell: press.decompress(cell.as_py())
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -140,10 +152,9 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _emit_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t.as_py() or b"" for t in batch.column("_text")]
-        for a, b in _chunks(texts):
+        for a, texts in _chunks(batch.column("_text"), _plain):
             with np.errstate(over="ignore"):
-                w = Words(texts[a:b])
+                w = Words(texts)
                 anchor, s1, s2, first, last = spans(w)
             doc = w.doc[first]
             row = pa.array(doc + a)
@@ -156,23 +167,20 @@ def _emit_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        packed = pa.array([press.compress(t.as_py() or b"") for t in batch.column("_text")], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_th"), packed], ["doc_id", "_th", "_zip"])
-
-
-def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
-    press = zstandard.ZstdDecompressor()
-    return [press.decompress(z.as_py()) for z in batch.column("_zip")]
+        for a, texts in _chunks(batch.column("_text"), _plain):
+            packed = pa.array([press.compress(t) for t in texts], pa.binary())
+            rows = batch.slice(a, len(texts))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("_th"), packed], ["doc_id", "_th", "_zip"])
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    read = _reader()
     for batch in batches:
-        texts = _unpacked(batch)
-        asked = batch.column("_spans").to_pylist()
-        for a, b in _chunks(texts):
+        for a, texts in _chunks(batch.column("_zip"), read):
+            asked = batch.column("_spans").slice(a, len(texts))
             with np.errstate(over="ignore"):
-                w = Words(texts[a:b])
-                at = [np.arange(x["at"], x["at"] + x["n"]) + w.first[k - a] for k in range(a, b) for x in asked[k]]
+                w = Words(texts)
+                at = [np.arange(x["at"], x["at"] + x["n"]) + w.first[k] for k, spans_of in enumerate(asked) for x in spans_of.as_py()]
                 at = np.concatenate(at) if at else np.zeros(0, np.int64)
                 w1, w2 = w.run(0, at, WINDOW), w.run(1, at, WINDOW)
             doc = w.doc[at] if len(at) else at
@@ -184,24 +192,26 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    read = _reader()
     for batch in batches:
-        count, removed, digests = [], [], []
-        for text, repeats in zip(_unpacked(batch), batch.column("_repeats"), strict=True):
-            tokens = text.split()
-            count.append(len(tokens))
-            found = repeats.as_py()
-            if found:
-                edge = np.zeros(len(tokens) + 1, np.int64)
-                np.add.at(edge, [x["at"] for x in found], 1)
-                np.add.at(edge, [x["at"] + x["n"] + WINDOW - 1 for x in found], -1)
-                keep = (np.cumsum(edge[:-1]) == 0).tolist()
-                tokens = [t for t, k in zip(tokens, keep, strict=True) if k]
-            removed.append(count[-1] - len(tokens))
-            kept = b" ".join(tokens)
-            digests.append(hashlib.sha256(kept).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())],
-            ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        for a, texts in _chunks(batch.column("_zip"), read):
+            rows = batch.slice(a, len(texts))
+            count, removed, digests = [], [], []
+            for text, repeats in zip(texts, rows.column("_repeats"), strict=True):
+                tokens = text.split()
+                count.append(len(tokens))
+                found = repeats.as_py()
+                if found:
+                    edge = np.zeros(len(tokens) + 1, np.int64)
+                    np.add.at(edge, [x["at"] for x in found], 1)
+                    np.add.at(edge, [x["at"] + x["n"] + WINDOW - 1 for x in found], -1)
+                    keep = (np.cumsum(edge[:-1]) == 0).tolist()
+                    tokens = [t for t, k in zip(tokens, keep, strict=True) if k]
+                removed.append(count[-1] - len(tokens))
+                digests.append(hashlib.sha256(b" ".join(tokens)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())],
+                ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:

@@ -163,6 +163,20 @@ def test_substring_dedup_rows_and_ids(documents):
     assert got == [(0, 80, 0), (5, 80, 0), (5, 80, 0), (6, 80, 80), (6, 81, 80)]
 
 
+def test_substring_dedup_long_texts_and_a_common_passage(documents):
+    """Texts longer than a chunk, and one passage amid different words in a third of all documents."""
+    rnd = random.Random(12)
+    long = sentence(rnd, 60_000, 50_000)
+    assert len(long) > 2 * substring.CHUNK
+    words = long.split()
+    rows = [(1, long), (2, " ".join(words[20_000:20_080])), (3, " ".join(["new", *words[100:400], "old"] + words[50_000:])), (4, long + " end")]
+    passage = sentence(rnd, 70, 5000)
+    rows += [(10 + i, f"{sentence(rnd, rnd.randrange(60), 9000)} {passage if i % 3 == 0 else ''} {sentence(rnd, rnd.randrange(60), 9000)}") for i in range(150)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(documents(rows)).collect()}
+    assert got == removed(rows)
+    assert sum(n >= 70 for i, (_, n, _) in got.items() if i >= 10) == 49
+
+
 def line_truth(docs, least=2):
     docs = sorted(set(docs), key=lambda x: (x[0] is not None, x[0] or 0))
     all_lines = []
