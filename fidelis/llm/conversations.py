@@ -196,7 +196,8 @@ def parse(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     # equal blocks have equal cells: each is parsed once
     different = blocks.select("symbols").distinct()
     spread = int(different.sparkSession.conf.get("spark.sql.shuffle.partitions") or 200)  # few bytes, much work: not to be coalesced
-    cells = materialise(different.repartition(spread, "symbols").withColumn("cell", _parse_block("symbols")), "cells")
+    # by a hash of the symbols: by the symbols themselves it would be the partitioning of the distinct step, and left out
+    cells = materialise(different.repartition(spread, F.xxhash64("symbols")).withColumn("cell", _parse_block("symbols")), "cells")
     spans = blocks.join(cells, "symbols").drop("symbols")
     whole = None
     while True:
