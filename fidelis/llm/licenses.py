@@ -16,7 +16,7 @@ A vote is one k-gram compared by its words, not by hash alone, so no collision c
 ``score`` is the greatest share covered in the document: 1 where a phrase stands whole, 0 where
 nothing matches.
 
-Only DataFrame functions are used.  The templates are a table of the library (about 1,000
+Only DataFrame functions are used.  The templates are a table of the library (about 500
 places) and are broadcast up to ``LIBRARY`` places; a larger library is joined by shuffle.
 Votes of one document lie together at most; a frequent k-gram is spread with its documents.
 
