@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from fidelis.llm.common import materialise
 
@@ -161,7 +163,9 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> DataFrame:
     """Contaminated documents only: doc_id, items (ids), n_items, coverage and n_tiles of the best covered."""
     spark = docs.sparkSession
-    schema = docs.select(F.col("doc_id")).schema.simpleString()[7:-1] + ", item_id bigint, coverage double, n_tiles int"
+    kind = benchmark.schema["item_id"].dataType
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", kind), T.StructField("coverage", T.DoubleType()), T.StructField("n_tiles", T.IntegerType())])
+    item_type = to_arrow_type(kind)
     out = None
     for block in item_blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)
@@ -172,7 +176,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE)
                 rows = [(k, *hit) for k, text in enumerate(batch.column("text")) for hit in covered(items, text.as_py(), least)]
                 at = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(at), pa.array([r[1] for r in rows], pa.int64()),
+                    [batch.column("doc_id").take(at), pa.array([r[1] for r in rows], item_type),
                      pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int32())],
                     ["doc_id", "item_id", "coverage", "n_tiles"])
 

@@ -22,7 +22,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,11 +41,20 @@ _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "archive string, offset long, length long, url string, digest string"
 
 
-def _record_id(page: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMES, page)}>"
+def _record_id(page: str | None) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, 'null' if page is None else 'page ' + page)}>"
 
 
-def record(page: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def _coded(page: str | None) -> str | None:
+    """An id as a header value: percent-encoded, so that no id ends its line."""
+    return None if page is None else quote(page, safe="")
+
+
+def _decoded(value: str | None) -> str | None:
+    return None if value is None else unquote(value)
+
+
+def record(page: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One WARC/1.1 record; ``refers_to`` makes it a revisit without the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
@@ -55,10 +64,10 @@ def record(page: str, url: str | None, payload: bytes, digest: str, refers_to: s
         "WARC-Date": DATE,
         "WARC-Target-URI": url and quote(url, safe="%/:?#[]@!$&'()*+,;=~"),
         "WARC-Payload-Digest": f"sha1:{digest}",
-        "WARC-Refers-To": refers_to and _record_id(refers_to),
-        "WARC-Profile": refers_to and _REVISIT,
-        "Page-Id": page,
-        "Refers-To-Page-Id": refers_to,
+        "WARC-Refers-To": None if refers_to is None else _record_id(refers_to),
+        "WARC-Profile": None if refers_to is None else _REVISIT,
+        "Page-Id": _coded(page),
+        "Refers-To-Page-Id": _coded(refers_to),
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": str(len(block)),
     }
@@ -94,8 +103,7 @@ def _write(folder: str):
                 for r in batch.to_pylist():
                     payload = (r["html"] or "").encode()
                     digest = sha1_base32(payload)
-                    page = "null" if r["page"] is None else r["page"]
-                    member = _gzip(record(page, r["url"], payload, digest, r["refers_to"]))
+                    member = _gzip(record(r["page"], r["url"], payload, digest, r["refers_to"]))
                     if out is None or at >= ARCHIVE:
                         if out is not None:
                             out.close()
@@ -165,8 +173,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not revisit and sha1_base32(payload) != digest:
                     raise ValueError(f"digest of {fields['WARC-Record-ID']} does not hold")
                 size = next(int(h.split(b":")[1]) for h in http.split(b"\r\n") if h.startswith(b"Content-Length:"))
-                out.append({"page": fields["Page-Id"], "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest,
-                            "record_type": fields["WARC-Type"], "refers": fields.get("Refers-To-Page-Id"), "payload": None if revisit else payload})
+                out.append({"page": _decoded(fields.get("Page-Id")), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest,
+                            "record_type": fields["WARC-Type"], "refers": _decoded(fields.get("Refers-To-Page-Id")), "payload": None if revisit else payload})
             yield pa.RecordBatch.from_pylist(out, schema)
 
 
@@ -182,5 +190,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType
     back = read_records(write_archives(pages))
     return back.select(
-        F.when(F.col("page") != "null", F.col("page")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest",
         "record_type", F.col("refers").cast(kind).alias("refers_to"))

@@ -261,6 +261,21 @@ def test_tiles_are_greedy_and_do_not_overlap():
         assert longest < 3
 
 
+def test_decontamination_text_ids_and_blocks(spark, documents, monkeypatch):
+    rnd = random.Random(31)
+    items = {f"q{k}": sentence(rnd, 30, 100_000) for k in range(6)}
+    rows = [(k, f"{sentence(rnd, 40, 100_000)} {items[f'q{k}']} {sentence(rnd, 20, 100_000)}") for k in range(6)] + [(90, sentence(rnd, 200, 100_000))]
+    rows.append((91, f"{items['q1']} and {items['q5']}"))
+    bench = spark.createDataFrame(list(items.items()), "item_id string, text string")
+    want = {k: [f"q{k}"] for k in range(6)} | {91: ["q1", "q5"]}
+    for words in (10**6, 70):  # one block, several
+        monkeypatch.setattr(decontam, "BLOCK_WORDS", words)
+        monkeypatch.setattr(decontam.item_blocks, "__defaults__", (words,))
+        assert len(list(decontam.item_blocks(bench))) == (1 if words > 1000 else 3)
+        assert {r.doc_id: r["items"] for r in decontam.contaminated(documents(rows), bench).collect()} == want
+        assert [r.doc_id for r in decontam.keep_clean(documents(rows), bench).collect()] == [90]
+
+
 def test_decontamination(spark, documents):
     rnd = random.Random(5)
     items = [(i, sentence(rnd, rnd.randrange(15, 60), 3000)) for i in range(30)]

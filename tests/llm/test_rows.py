@@ -226,6 +226,13 @@ def test_warc_round_trip(spark):
         assert (r.record_type, r.refers_to) == (("revisit", first[payload]) if revisit else ("response", None))
 
 
+def test_warc_text_ids(spark):
+    ids = ["null", "a\r\nB: c", "", None, "é %41", "z"]
+    pages = spark.createDataFrame([(i, "u", "same" if i in ("null", "z") else f"own {k}") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+    assert got == {i: ("response", None) for i in ids} | {"z": ("revisit", "null")}
+
+
 def test_warc_selection_reads_only_chosen_payloads(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " * 50) for i in range(40)], "page_id long, url string, html string")
     index = warc.write_archives(pages)
