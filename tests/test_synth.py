@@ -82,3 +82,20 @@ def test_indefinite_input_and_null_patterns(spark):
     assert np.linalg.eigvalsh(fit["corr"]).min() > 0
     one = copula_sample(spark, fit, 3000).toPandas()
     assert one[["a", "b", "c"]].isna().sum(axis=1).eq(1).all() and abs((one.k == "hi").mean() - (np.array([r[4] for r in rows]) == "hi").mean()) < 0.03
+
+
+def test_latent_simulate_and_condition_seed(spark):
+    from pyspark.sql import functions as F
+
+    from fidelis.operators.synth import condition_seed, latent_simulate, uniform
+
+    rng = np.random.default_rng(9)
+    n, a, b = 4000, rng.normal(size=4000), rng.normal(size=4000)
+    df = spark.createDataFrame([(i * 3, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "row_id long, a double, b double")
+    sim = latent_simulate(df, {"a": 0.4, "b": -0.3}, 0.25, "lv").toPandas().sort_values("row_id")
+    noise = sim.lv.to_numpy() - (0.4 * a - 0.3 * b)
+    assert abs(noise.mean()) < 0.05 and abs(noise.std() - np.sqrt(0.75)) < 0.03 and abs(np.corrcoef(noise, a)[0, 1]) < 0.05
+    assert abs(np.mean(np.abs(noise) < np.sqrt(0.75)) - 0.6827) < 0.03  # normal
+    drawn = condition_seed(spark, df, "a", 2000, seed=3).toPandas().sort_values("row_id")
+    u = spark.range(2000).select("id", uniform(F.col("id"), 0, 3).alias("u")).toPandas().sort_values("id").u.to_numpy()
+    assert (drawn.a.to_numpy() == a[np.floor(u * n).astype(int)]).all()  # the row at that place in key order
