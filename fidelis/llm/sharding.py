@@ -1,32 +1,39 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
 A group is all rows of one text (null counts as empty) and stays in one shard.  Sizes are
-UTF-8 bytes plus ``ROW_BYTES`` per row.  Packing runs over a bounded number of units:
-groups of at least total / (shards * ``GRAIN``) bytes are units of their own, at most
-shards * GRAIN of them; smaller groups fall into as many hash bundles.  Units sorted by
-size enter the bin with the tightest remaining capacity that holds them, found in a
-balanced tree of bins; the capacity is the least one, searched by bisection, that needs no
-more than the given shards.  A unit larger than an even share gets a shard of its own.
-
-A row finds its shard from its own text: a broadcast of the units (bounded, see above),
-else its bundle.  Texts are never shuffled.
+UTF-8 bytes plus ``ROW_BYTES`` per row.  Every group is packed: groups sorted by size enter
+the bin with the tightest remaining capacity that holds them, found in a balanced tree of
+bins; the capacity is the least one, searched by bisection, that needs no more than the
+given shards.  A group larger than an even share gets a shard of its own.
+
+Groups of one size are interchangeable, and the tightest bin stays the tightest until it is
+full for that size, so packing runs over (size, number of groups) and gives each size its
+runs (bin, how many groups).  The driver holds one row a size: different sizes add up to no
+more than the bytes of the table, so there are at most sqrt(2 * bytes) of them.  A group
+finds its bin by its number within its size, counted per (size, hash bucket) and added up,
+so a size that many groups share is not one task.  Rows meet their group's bin on the text's
+hash; groups with at least 1 / ``HOT`` of the rows (no more than HOT groups) are salted.
 
 Defined cases: null text counts as empty; rows repeated in full get slots of their own; an
-empty table gives an empty result; other columns are left alone.
+empty table gives an empty result; a very long text is one group like any other; other
+columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm.common import materialise
+from fidelis.llm.common import lookup_join, materialise
 
 ROW_BYTES = 8
 SHARDS = 24
-GRAIN = 512
-# slots are numbered within (shard, hash bucket), buckets one after the other
-SLOT_BUCKETS = 256
+HOT = 2048
+SALTS = 32
+# groups are numbered within (size, hash bucket) and slots within (shard, hash bucket), buckets one after the other
+BUCKETS = 256
 
 
 class _Node:
@@ -109,82 +116,113 @@ class BinTree:
         return _balance(n)
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """Bin of each of ``sizes`` (sorted, largest first; none above ``capacity``)."""
+Runs = list[list[tuple[int, int]]]
+
+
+def best_fit_decreasing(sizes: list[tuple[int, int]], capacity: int, limit: int | None = None) -> Runs | None:
+    """Runs (bin, how many) of each (size, count), largest size first and none above ``capacity``.
+
+    None if more than ``limit`` bins are needed.
+    """
     tree, bins, placed = BinTree(), 0, []
-    for size in sizes:
-        found = tree.take_tightest(size)
-        if found is None:
-            found, bins = (capacity, bins), bins + 1
-        tree.add((found[0] - size, found[1]))
-        placed.append(found[1])
+    for size, count in sizes:
+        runs = []
+        while count:
+            found = tree.take_tightest(size)
+            if found is None:
+                if bins == limit:
+                    return None
+                found, bins = (capacity, bins), bins + 1
+            # what is left of this bin is tighter than any other that holds the size
+            n = min(count, found[0] // size)
+            tree.add((found[0] - n * size, found[1]))
+            runs.append((found[1], n))
+            count -= n
+        placed.append(runs)
     return placed
 
 
-def pack(sizes: list[int], shards: int) -> list[int]:
-    """Shard of each of ``sizes`` (largest first), with the least capacity that needs no more than ``shards``."""
-    total, alone = sum(sizes), 0
-    while alone < min(len(sizes), shards - 1) and sizes[alone] * (shards - alone) > total:
-        total -= sizes[alone]
+def pack(sizes: list[tuple[int, int]], shards: int) -> tuple[int, Runs]:
+    """Least capacity that needs no more than ``shards``, and the runs (shard, how many) of each (size, count).
+
+    Sizes come largest first.  Groups above an even share of what is left have shards of their own, 0, 1, ...
+    """
+    total, alone, head, rest = sum(s * n for s, n in sizes), 0, [], list(sizes)
+    while rest and alone < shards - 1 and rest[0][0] * (shards - alone) > total:
+        size, count = rest[0]
+        total -= size
+        if head and head[-1][0] == size:
+            head[-1][1].append((alone, 1))
+        else:
+            head.append((size, [(alone, 1)]))
         alone += 1
-    rest, bins = sizes[alone:], shards - alone
+        rest = [(size, count - 1), *rest[1:]] if count > 1 else rest[1:]
     if not rest:
-        return list(range(alone))
-    low = max(rest[0], -(-total // bins))
+        return 0, [runs for _, runs in head]
+    bins = shards - alone
+    low = max(rest[0][0], -(-total // bins))
     step, high = max(1, low // 4096), low
-    while max(placed := best_fit_decreasing(rest, high)) >= bins:
+    while (placed := best_fit_decreasing(rest, high, bins)) is None:
         low, high, step = high, high + step, step * 2
     while high - low > max(1, low // 16384):
         mid = (low + high) // 2
-        trial = best_fit_decreasing(rest, mid)
-        if max(trial) >= bins:
+        trial = best_fit_decreasing(rest, mid, bins)
+        if trial is None:
             low = mid
         else:
             high, placed = mid, trial
-    return list(range(alone)) + [alone + b for b in placed]
+    placed = [[(alone + b, n) for b, n in runs] for runs in placed]
+    if head and head[-1][0] == rest[0][0]:  # the rest of a size of which some groups are alone
+        placed[0] = head.pop()[1] + placed[0]
+    return high, [runs for _, runs in head] + placed
 
 
 def group_key(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def _bundle(key: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n))
-
-
 def _size(text: Column) -> Column:
     return (F.octet_length(F.coalesce(text, F.lit(""))) + ROW_BYTES).cast("long")
 
 
+def _bucket(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS))
+
+
 class Packing:
     """Shards of the groups of ``keyed`` (_key, size); ``assign`` adds the column _shard."""
 
-    def __init__(self, keyed: DataFrame, shards: int = SHARDS, grain: int = GRAIN):
+    def __init__(self, keyed: DataFrame, shards: int = SHARDS):
         spark = keyed.sparkSession
-        self.bundles = shards * grain
-        groups = materialise(keyed.groupBy("_key").agg(F.sum("size").alias("_bytes")), "shard-groups")
-        total = groups.agg(F.sum("_bytes")).first()[0] or 0
-        quantum = max(1, -(-total // self.bundles))
-        own = F.col("_bytes") >= quantum
-        units = groups.groupBy(
-            F.when(own, F.col("_key")).alias("_key"), F.when(~own, _bundle(F.col("_key"), self.bundles)).alias("_bundle")
-        ).agg(F.sum("_bytes").alias("_bytes"))
-        # at most 2 * shards * grain rows: own units hold a quantum each, bundles are numbered
-        rows = sorted(units.collect(), key=lambda r: (-r["_bytes"], bytes(r["_key"] or b""), r["_bundle"] or 0))
-        placed = pack([r["_bytes"] for r in rows], shards)
-        own_rows = [(bytes(r["_key"]), s) for r, s in zip(rows, placed, strict=True) if r["_key"] is not None]
-        by_bundle = [(r["_bundle"], s) for r, s in zip(rows, placed, strict=True) if r["_key"] is None]
-        self.own = spark.createDataFrame(own_rows, "_own_key binary, _own_shard int")
-        self.rest = spark.createDataFrame(by_bundle, "_rest_bundle long, _rest_shard int")
+        groups = materialise(
+            keyed.groupBy("_key").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
+            .withColumn("_bucket", _bucket("_key")), "shard-groups")
+        counts = materialise(groups.groupBy("_bytes", "_bucket").agg(F.count(F.lit(1)).alias("_n")), "shard-sizes")
+        # one row a size, see above
+        table = counts.groupBy("_bytes").agg(F.sum("_n").alias("_n")).toPandas().sort_values("_bytes", ascending=False)
+        sizes = list(zip(table["_bytes"].tolist(), table["_n"].tolist(), strict=True))
+        self.capacity, placed = pack(sizes, shards)
+        runs = [(size, list(accumulate(n for _, n in of)), [b for b, _ in of]) for (size, _), of in zip(sizes, placed, strict=True)]
+        runs = materialise(spark.createDataFrame(runs, "_bytes long, _ends array<long>, _shards array<int>"), "shard-runs")
+        before = counts.withColumn("_before", F.expr(
+            "coalesce(sum(_n) OVER (PARTITION BY _bytes ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
+        numbered = groups.withColumn("_at", F.expr("row_number() OVER (PARTITION BY _bytes, _bucket ORDER BY _key)") - 1).join(
+            before.drop("_n"), ["_bytes", "_bucket"])
+        number = F.col("_at") + F.col("_before")
+        shard = F.get("_shards", F.size(F.filter("_ends", lambda e: e <= number)))
+        self.groups = materialise(
+            lookup_join(numbered, runs, ["_bytes"]).select("_key", "_rows", shard.alias("_shard")), "shard-of-group")
+        rows = self.groups.agg(F.sum("_rows")).first()[0] or 0
+        self.hot = F.col("_rows") >= max(2, -(-rows // HOT))
 
     def assign(self, keyed: DataFrame) -> DataFrame:
-        return (
-            keyed.join(F.broadcast(self.own), F.col("_key") == F.col("_own_key"), "left")
-            .withColumn("_bundle", _bundle(F.col("_key"), self.bundles))
-            .join(F.broadcast(self.rest), F.col("_bundle") == F.col("_rest_bundle"), "left")
-            .withColumn("_shard", F.coalesce("_own_shard", "_rest_shard").cast("int"))
-            .drop("_own_key", "_own_shard", "_bundle", "_rest_bundle", "_rest_shard")
-        )
+        salts = F.sequence(F.lit(0), F.when(self.hot, SALTS - 1).otherwise(0))
+        right = self.groups.select(F.col("_key").alias("_k"), "_shard", F.explode(salts).alias("_s"))
+        # at most HOT rows
+        hot = F.broadcast(self.groups.filter(self.hot).select(F.col("_key").alias("_h")))
+        salt = F.when(F.col("_h").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")
+        left = keyed.join(hot, F.col("_key") == F.col("_h"), "left").withColumn("_salt", salt)
+        return left.join(right, (F.col("_key") == F.col("_k")) & (F.col("_salt") == F.col("_s"))).drop("_h", "_salt", "_k", "_s")
 
 
 def add_shard(docs: DataFrame, shards: int = SHARDS, name: str = "shard") -> DataFrame:
@@ -202,10 +240,10 @@ def shard_report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         docs.select("doc_id", _size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"),
                     group_key(F.col("text")).alias("_key")), "shard-rows")
     placed = materialise(
-        Packing(keyed, shards).assign(keyed).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "_key"), F.lit(SLOT_BUCKETS)))
+        Packing(keyed, shards).assign(keyed).withColumn("_bucket", _bucket("doc_id", "_key"))
         .drop("_key"), "shard-placed")
     in_shard = "PARTITION BY _shard ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    # shards * SLOT_BUCKETS rows
+    # at most shards * BUCKETS rows
     before = placed.groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(
         F.col("_shard").alias("_s"), F.col("_bucket").alias("_b"),
         F.expr(f"coalesce(sum(_n) OVER ({in_shard}), 0)").alias("_before"))

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -14,20 +14,56 @@ from fidelis.llm import decontam, lines, sharding, simhash, substring
 from tests.llm.conftest import sentence
 
 
+def plain_best_fit(sizes, capacity):
+    free, out = [], []
+    for s in sizes:
+        fit = [(f, b) for b, f in enumerate(free) if f >= s]
+        if not fit:
+            free.append(capacity)
+            fit = [(capacity, len(free) - 1)]
+        b = min(fit)[1]
+        free[b] -= s
+        out.append(b)
+    return out
+
+
 def test_best_fit_decreasing_against_linear_search():
     rnd = random.Random(2)
-    for _ in range(50):
-        sizes = sorted((rnd.randrange(1, 60) for _ in range(rnd.randrange(1, 80))), reverse=True)
-        free, want = [], []
-        for s in sizes:
-            fit = [(f, b) for b, f in enumerate(free) if f >= s]
-            if not fit:
-                free.append(60)
-                fit = [(60, len(free) - 1)]
-            b = min(fit)[1]
-            free[b] -= s
-            want.append(b)
-        assert sharding.best_fit_decreasing(sizes, 60) == want
+    for _ in range(200):
+        sizes = sorted((rnd.randrange(1, rnd.choice([6, 60])) for _ in range(rnd.randrange(1, 80))), reverse=True)
+        counted = sorted(Counter(sizes).items(), reverse=True)
+        got = [b for runs in sharding.best_fit_decreasing(counted, 60) for b, n in runs for _ in range(n)]
+        want = plain_best_fit(sizes, 60)
+        assert got == want
+        assert sharding.best_fit_decreasing(counted, 60, max(want) + 1) is not None and sharding.best_fit_decreasing(counted, 60, max(want)) is None
+        capacity, placed = sharding.pack(counted, 4)
+        assert [sum(n for _, n in runs) for runs in placed] == [n for _, n in counted]
+        assert {b for runs in placed for b, _ in runs} <= set(range(4))
+
+
+def test_every_group_is_packed(documents):
+    """Thousands of small groups and a few large ones, many of one size, against a plain best-fit-decreasing."""
+    rnd = random.Random(4)
+    rows = [(i, f"{i:05d}" + "x" * rnd.choice([3, 3, 3, 40, rnd.randrange(200)])) for i in range(5000)]
+    rows += [(6000 + i, f"big {i % 3} " * 900) for i in range(30)] + [(7000 + i, "é" * 150_000) for i in range(2)]
+    group = Counter()
+    for _, t in rows:
+        group[t] += len(t.encode()) + 8
+    sizes = sorted(group.values(), reverse=True)
+    capacity, _ = sharding.pack(sorted(Counter(sizes).items(), reverse=True), 24)
+    total, alone = sum(sizes), 0
+    while sizes[alone] * (24 - alone) > total:
+        total -= sizes[alone]
+        alone += 1
+    want = defaultdict(list)
+    for s, b in zip(sizes, [*range(alone), *(alone + b for b in plain_best_fit(sizes[alone:], capacity))], strict=True):
+        want[b].append(s)
+    got, text = defaultdict(set), dict(rows)
+    for r in sharding.shard_report(documents(rows)).collect():
+        got[r.shard].add(text[r.doc_id])
+    assert 0 < alone < 24 and {b: sorted((group[t] for t in ts), reverse=True) for b, ts in got.items()} == want
+    loads = [sum(group[t] for t in ts) for b, ts in got.items() if b >= alone]
+    assert max(loads) - min(loads) < 0.01 * max(loads)
 
 
 def test_shards(documents):
