@@ -3,29 +3,37 @@
 Per document the word, symbol, duplicate-line and repeated-window counts are taken from
 the whole text.  Documents that break a base rule fail.  Of the rest, four transformed
 statistics form a vector, and for every language and source the minimum-covariance-
-determinant estimate of its mean and covariance is found by C-steps: start from the
-coordinate-wise median, keep the share ``SUPPORT`` of rows with the smallest distance,
-re-estimate, repeat.  A document is rejected when its squared Mahalanobis distance exceeds
-the chi-square quantile at 1 - ``TAIL``.
-
-All steps are DataFrame aggregations of the narrow statistics table; the Cholesky factor
-and the distances are column expressions.  Standard deviations have a floor (``FLOORS``) that
-only guards against a zero variance: most documents have no symbol, equal line or repeated
-window at all.  With ``TAIL`` each statistic can reject alone, within the range that the base
-rules leave it: from about 4.9 floors, that is 6 % equal lines, 6 % repeated words, one symbol
-in 36 words or words longer or shorter by a quarter, where a group varies less than its floor.
-Groups of fewer than
-``SMALL`` rows share the estimate of the small groups of their language.
+determinant estimate of its mean and covariance is sought from several starts at once: the
+medians with interquartile scales, the covariances of tanh-squashed vectors and of their
+spatial signs, and ``HANDFULS`` handfuls of hash-chosen rows.  A C-step keeps the share
+``SUPPORT`` of rows with the smallest distance and re-estimates.  After two steps the
+``FINALISTS`` starts of least determinant go on, each until its log determinant stops
+falling; the least one of a group is its estimate, followed by one reweighting step over
+the rows within the ``REWEIGHT`` quantile.  Starts are rows of one table and every step
+reads all rows of the groups that still improve.
+
+A document is rejected when its squared Mahalanobis distance exceeds the chi-square
+quantile at 1 - ``TAIL``.  The covariance it is held against is its group's plus the
+sampling variance of its own statistics (one symbol, equal line or repeated window of a
+short text is chance), so short documents are not outliers for one event.
+
+All steps are DataFrame aggregations of the narrow statistics table; the Cholesky factors
+and the distances are column expressions.  Standard deviations have a floor (``FLOORS``)
+that guards against a zero variance: most documents have no symbol, equal line or repeated
+window at all.  Groups of fewer than ``SMALL`` rows share the estimate of the small groups
+of their language.
 
 Defined cases: null text has no words and fails the base rules; null language or source
-is a group of its own; an empty table gives an empty result.
+is a group of its own; rows repeated in full count as often as they occur and share one
+verdict; a very long text is one vector like any other; an empty table gives an empty
+result; other columns, whatever their names, pass through ``keep_good`` unchanged.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidelis.llm.common import lookup_join, materialise, words
@@ -38,7 +46,12 @@ SYMBOLS = "#*$%&|<>"
 FEATURES = ("_x0", "_x1", "_x2", "_x3")
 FLOORS = (0.05, 0.05, 0.05, 0.05)
 SUPPORT = 0.75
-STEPS = 3
+HANDFULS = 6
+HANDFUL_ROWS = 12
+FINALISTS = 3
+REWEIGHT = 0.975
+LEAST_FALL = 1e-6  # of a log determinant; smaller falls end a search
+WORD_SPREAD = 0.3  # squared coefficient of variation of word lengths
 TAIL = 1e-4
 SMALL = 30
 ACCURACY = 10_000
@@ -118,20 +131,45 @@ def _distance() -> Column:
     return sum((v * v for v in z[1:]), z[0] * z[0])
 
 
-def _start(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Medians and floored interquartile scales as a diagonal factor."""
-    quart = rows.groupBy(*keys).agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], ACCURACY).alias(f"_q{i}") for i, x in enumerate(FEATURES)])
+def _medians(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Medians, floored interquartile scales as a diagonal factor, and the number of rows _n."""
+    quart = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.percentile_approx(x, [0.25, 0.5, 0.75], ACCURACY).alias(f"_q{i}") for i, x in enumerate(FEATURES)])
     cols = []
     for i in range(len(FEATURES)):
         cols.append(F.get(f"_q{i}", F.lit(1)).alias(f"_m{i}"))
         for j in range(i):
             cols.append(F.lit(0.0).alias(f"_l{i}{j}"))
         cols.append(F.greatest((F.get(f"_q{i}", F.lit(2)) - F.get(f"_q{i}", F.lit(0))) / 1.349, F.lit(FLOORS[i])).alias(f"_l{i}{i}"))
-    return quart.select(*keys, *cols)
+    return quart.select(*keys, "_n", *cols)
+
+
+def _starts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Starting estimates: one row per ``keys`` and _start with _m*, _l**."""
+    medians = materialise(_medians(rows, keys).coalesce(8), "mcd")
+    d = range(len(FEATURES))
+    z = [(F.col(x) - F.col(f"_m{i}")) / F.col(f"_l{i}{i}") for i, x in enumerate(FEATURES)]
+    norm = F.sqrt(F.greatest(sum((v * v for v in z[1:]), z[0] * z[0]), F.lit(1e-12)))
+
+    def entry(start: int, values: list[Column]) -> Column:
+        return F.struct(F.lit(start).alias("_start"), *[v.alias(x) for v, x in zip(values, FEATURES, strict=True)])
+
+    tries = [
+        entry(1, [F.col(f"_m{i}") + F.col(f"_l{i}{i}") * F.tanh(z[i]) for i in d]),
+        entry(2, [F.col(f"_m{i}") + F.col(f"_l{i}{i}") * z[i] / norm for i in d]),
+    ]
+    own = [c for c in rows.columns if c not in keys]
+    for k in range(HANDFULS):
+        chance = F.pmod(F.xxhash64(F.lit(k), *own), F.lit(1 << 31)) * F.col("_n") < F.lit(HANDFUL_ROWS << 31)
+        tries.append(F.when(chance, entry(3 + k, [F.col(x) for x in FEATURES])))
+    each = lookup_join(rows, medians, keys).select(*keys, F.explode(F.filter(F.array(*tries), lambda t: t.isNotNull())).alias("_t")).select(*keys, "_t.*")
+    found = _estimate(each, [*keys, "_start"], 1.0).drop("_det")
+    return medians.drop("_n").withColumn("_start", F.lit(0)).unionByName(found)
 
 
 def _estimate(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
-    """Mean and Cholesky factor of the covariance (times ``factor``, variances floored) per group."""
+    """Mean, Cholesky factor of the covariance (times ``factor``, variances floored) and its log determinant _det per group."""
     d = len(FEATURES)
     aggs = [F.avg(x).alias(f"_m{i}") for i, x in enumerate(FEATURES)]
     aggs += [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"_c{i}{j}") for i in range(d) for j in range(i + 1)]
@@ -146,25 +184,87 @@ def _estimate(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
             # rounding must not take a pivot below a small part of its floor
             value = F.sqrt(F.greatest(cov, F.lit((FLOORS[i] / 10) ** 2))) if i == j else cov / F.col(f"_l{j}{j}")
             df = df.withColumn(f"_l{i}{j}", value)
-    return df.drop(*[f"_c{i}{j}" for i in range(d) for j in range(i + 1)])
+    logs = [F.log(f"_l{i}{i}") for i in range(d)]
+    return df.withColumn("_det", 2 * sum(logs[1:], logs[0])).drop(*[f"_c{i}{j}" for i in range(d) for j in range(i + 1)])
 
 
-def mcd(rows: DataFrame, keys: list[str], support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant estimate per ``keys``: one row a group with _m*, _l**."""
+def _consistency(share: float) -> float:
+    """Factor that makes the covariance of the nearest ``share`` of normal vectors consistent."""
     d = len(FEATURES)
-    factor = support / _chi2_cdf(_chi2_quantile(support, d), d + 2)
-    params = materialise(_start(rows, keys).coalesce(8), "mcd")
-    for _ in range(steps):
-        far = lookup_join(rows, params, keys).withColumn("_d2", _distance()).select(*keys, *FEATURES, "_d2")
-        cut = materialise(far.groupBy(*keys).agg(F.percentile_approx("_d2", support, ACCURACY).alias("_cut")).coalesce(8), "mcd-cut")
-        near = lookup_join(far, cut, keys).filter("_d2 <= _cut")
-        params = materialise(_estimate(near, keys, factor).coalesce(8), "mcd")
-    return params
+    return share / _chi2_cdf(_chi2_quantile(share, d), d + 2)
+
+
+def _far(rows: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with _start and _d2, once per estimate that ``params`` holds of their group (none: left out)."""
+    values = [c for c in params.columns if c not in keys]
+    tries = params.groupBy(*keys).agg(F.collect_list(F.struct(*values)).alias("_t"))  # at most 3 + HANDFULS a group
+    each = lookup_join(rows.select(*keys, *FEATURES), tries, keys).select(*keys, *FEATURES, F.explode("_t").alias("_t"))
+    return each.select(*keys, *FEATURES, "_t.*").withColumn("_d2", _distance()).select(*keys, "_start", *FEATURES, "_d2")
+
+
+def _concentrate(rows: DataFrame, params: DataFrame, keys: list[str], support: float) -> DataFrame:
+    """One C-step of every estimate in ``params``."""
+    one = [*keys, "_start"]
+    far = _far(rows, params, keys)
+    cut = materialise(far.groupBy(*one).agg(F.percentile_approx("_d2", support, ACCURACY).alias("_cut")).coalesce(8), "mcd-cut")
+    near = lookup_join(far, cut, one).filter("_d2 <= _cut")
+    return materialise(_estimate(near, one, _consistency(support)).coalesce(8), "mcd")
+
+
+def raw_mcd(rows: DataFrame, keys: list[str], support: float = SUPPORT) -> DataFrame:
+    """Estimate of least determinant per ``keys``: one row a group with _m*, _l**, _det, _start."""
+    params = materialise(_starts(rows, keys).coalesce(8), "mcd")
+    for _ in range(2):
+        params = _concentrate(rows, params, keys, support)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_det", "_start"))
+    state = materialise(params.withColumn("_place", place).filter(F.col("_place") <= FINALISTS).drop("_place").coalesce(8), "mcd")
+    state = state.withColumn("_falls", F.lit(True))
+    values = [c for c in state.columns if c not in (*keys, "_start", "_falls")]
+    rank = ["_det", *[c for c in values if c != "_det"]]
+    # ends: a search goes on only while its determinant falls by LEAST_FALL, and FLOORS bound it below
+    while not (active := state.filter("_falls").drop("_falls")).isEmpty():
+        after = _concentrate(rows, active, keys, support)
+        both = state.select(*keys, "_start", *values).withColumn("_new", F.lit(False)).unionByName(after.withColumn("_new", F.lit(True)))
+        least = F.min(F.struct(*rank)).alias("_best")
+        before, now = (F.min(F.when(F.col("_new") == new, F.col("_det"))) for new in (False, True))
+        falls = F.coalesce(before - now > LEAST_FALL, F.lit(False))  # a search at rest has no new row
+        state = materialise(both.groupBy(*keys, "_start").agg(least, falls.alias("_falls")).select(*keys, "_start", "_best.*", "_falls").coalesce(8), "mcd")
+    best = F.min(F.struct(*rank[:1], "_start", *rank[1:])).alias("_best")
+    return materialise(state.groupBy(*keys).agg(best).select(*keys, "_best.*").coalesce(8), "mcd")
+
+
+def mcd(rows: DataFrame, keys: list[str], support: float = SUPPORT) -> DataFrame:
+    """Reweighted minimum-covariance-determinant estimate per ``keys``: one row a group with _m*, _l**, _det."""
+    far = _far(rows, raw_mcd(rows, keys, support), keys)
+    near = far.filter(F.col("_d2") <= _chi2_quantile(REWEIGHT, len(FEATURES)))
+    return materialise(_estimate(near, keys, _consistency(REWEIGHT)).coalesce(8), "mcd")
 
 
 KEYS = ["_lang", "_source", "_small"]
 
 
+def _with_sampling_variance(df: DataFrame) -> DataFrame:
+    """_l** becomes the factor of the group's covariance plus the sampling variance of the row's statistics."""
+    n, lines = F.greatest(F.col("n_words"), F.lit(1)).cast("double"), F.greatest(F.col("_n_lines"), F.lit(1)).cast("double")
+    symbol = 10 / n / (1 + F.col("n_symbols") * 10 / n)
+    own = [
+        WORD_SPREAD / n,
+        symbol * symbol * (F.col("n_symbols") + 1),  # a count varies by itself
+        1 / (4 * lines),  # square root of a share of L
+        2 / (4 * n),  # the same for words, which repeat in pairs of places
+    ]
+    d = range(len(FEATURES))
+    cov = {f"_c{i}{j}": sum((F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}") for k in range(j + 1)), F.lit(0.0)) for i in d for j in range(i + 1)}
+    df = df.withColumns(cov).withColumns({f"_c{i}{i}": F.col(f"_c{i}{i}") + own[i] for i in d})
+    for i in d:
+        for j in range(i + 1):
+            rest = F.col(f"_c{i}{j}")
+            for k in range(j):
+                rest = rest - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
+            df = df.withColumn(f"_l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"_l{j}{j}"))
+    return df.drop(*cov)
+
+
 class Estimates:
     """Group sizes and MCD estimates of a corpus, both one row per language and source."""
 
@@ -172,7 +272,7 @@ class Estimates:
         passed = stats.filter(~F.col("base_failed"))
         self.sizes = materialise(
             passed.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_n")).coalesce(8), "quality-groups")
-        self.params = mcd(self._grouped(passed).select(*KEYS, *FEATURES), KEYS)
+        self.params = mcd(self._grouped(passed).select(*KEYS, *FEATURES, F.xxhash64("doc_id").alias("_r")), KEYS)
 
     def _grouped(self, df: DataFrame) -> DataFrame:
         # a row whose group has no row that passes goes with the small groups
@@ -185,7 +285,7 @@ class Estimates:
     def judge(self, stats: DataFrame) -> DataFrame:
         """``stats`` with distance2 and kept."""
         limit = _chi2_quantile(1 - TAIL, len(FEATURES))
-        far = lookup_join(self._grouped(stats), self.params, KEYS)
+        far = _with_sampling_variance(lookup_join(self._grouped(stats), self.params.drop("_det"), KEYS))
         far = far.withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
         # one CASE over both sides of the join: a conjunct on base_failed alone would be pushed below
         # the statistics, and the optimiser would unfold them there for every window of a text
@@ -208,9 +308,8 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, columns unchanged.
 
-    The statistics are taken twice, once for the estimates and once beside the texts:
-    cheaper than shuffling the texts to a verdict table.
+    Rows and statistics are written together once; the estimates read the statistics only.
     """
-    estimates = Estimates(materialise(_statistics(docs), "quality"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return estimates.judge(_statistics(docs, row)).filter("kept").select("_row.*")
+    stats = materialise(_statistics(docs, row), "quality")
+    return Estimates(stats).judge(stats).filter("kept").select("_row.*")

@@ -86,6 +86,71 @@ def test_each_statistic_rejects_alone(documents):
         1000: (True, False, False), 1001: (False, True, False), 1002: (False, False, False), 1003: (False, False, True)}
 
 
+def test_short_documents_are_kept_after_one_event(documents):
+    rnd = random.Random(21)
+
+    def fresh(n):
+        return " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+
+    rows = [(i, "\n".join(fresh(rnd.randrange(10, 30)) for _ in range(rnd.randrange(1, 30)))) for i in range(300)]
+    for k, n in enumerate((8, 12, 17)):
+        rows.append((1000 + k, "\n".join(["two words", *(fresh(9) for _ in range(n - 2)), "two words"])))
+    for k, n in enumerate((100, 150)):
+        five = fresh(5)
+        rows.append((1010 + k, f"{five} {fresh(n - 10)} {five}"))
+    rows += [(1020, "R&D " + fresh(29)), (1021, fresh(33) + " R&D")]
+    rows += [(1030, "\n".join(["two words"] * 30 + [fresh(9) for _ in range(60)])), (1031, " ".join(f"w{i} &" for i in range(60)))]
+    got = {r.doc_id: r for r in quality.judge(documents(rows)).collect()}
+    assert [i for i, r in got.items() if not r.kept] == [1030, 1031]
+    assert not any(r.base_failed for r in got.values())
+
+
+def numpy_mcd(x, floors, rng, tries=300):
+    """(log determinant, mean, covariance) of the best of many random starts, each run to rest."""
+    h, factor, best = int(np.ceil(quality.SUPPORT * len(x))), quality._consistency(quality.SUPPORT), None
+    for _ in range(tries):
+        keep, last = rng.choice(len(x), 5, False), None
+        while True:
+            cov = np.cov(x[keep].T, bias=True) * factor
+            cov[np.diag_indices(4)] = np.maximum(cov[np.diag_indices(4)], floors ** 2) + (1e-9 if last is None else 0)
+            far = x - x[keep].mean(0)
+            det = np.linalg.slogdet(cov)[1]
+            if last is not None and len(keep) == h and det > last - 1e-9:
+                break
+            last = det if len(keep) == h else np.inf
+            if best is None or (len(keep) == h and det < best[0]):
+                if len(keep) == h:
+                    best = det, x[keep].mean(0), cov
+            keep = np.argsort(np.einsum("ij,ij->i", far @ np.linalg.inv(cov), far), kind="stable")[:h]
+    return best
+
+
+def test_mcd_against_numpy(spark):
+    """Five groups; in two of them the outliers lie where medians and scales alone end in the wrong set."""
+    rng = np.random.default_rng(17)
+    groups, bad = {}, dict(zip(["g0", "g1", "g2", "g3", "g4"], (0, 0, 30, 60, 75), strict=True))
+    for g, k in enumerate(bad):
+        n = 160 + 40 * g
+        mix = rng.normal(size=(4, 4)) + 2 * np.eye(4)
+        clean = rng.normal(size=(n - bad[k], 4)) @ mix
+        near = rng.normal(size=(bad[k], 4)) * 0.3 + (np.array([6.0, -6.0, 5.0, 7.0]) if g % 2 else np.array([9.0, 9.0, 9.0, -9.0]))
+        groups[k] = np.vstack([clean, near])
+    rows = spark.createDataFrame([(k, *map(float, r)) for k, x in groups.items() for r in x], ["k", *quality.FEATURES])
+    got = {r.k: r for r in quality.raw_mcd(rows, ["k"]).collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        det, mean, cov = numpy_mcd(x, np.array(quality.FLOORS), rng)
+        r = got[k]
+        low = np.array([[r[f"_l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        assert r._det == pytest.approx(np.linalg.slogdet(low @ low.T)[1])
+        assert r._det <= det + 0.02, k
+        far = x - np.array([r[f"_m{i}"] for i in range(4)])
+        near = np.argsort(np.einsum("ij,ij->i", far @ np.linalg.inv(low @ low.T), far))[:int(np.ceil(quality.SUPPORT * len(x)))]
+        again = np.cov(x[near].T, bias=True) * quality._consistency(quality.SUPPORT)
+        assert np.linalg.slogdet(again)[1] == pytest.approx(r._det, abs=0.01)  # at rest
+        assert near.max() < len(x) - bad[k]  # no outlier among the rows that the estimate rests on
+
+
 def test_mcd_is_near_the_clean_part(spark):
     rng = np.random.default_rng(2)
     clean = rng.multivariate_normal([1, 2, 3, 4], np.diag([1, 2, 1, 3]) + 0.5, 900)
