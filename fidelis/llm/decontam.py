@@ -7,24 +7,32 @@ seed, the longest common run is marked again and again, none overlapping a marke
 until none of ``TILE`` words is left.  The document is contaminated when the marked tiles
 cover at least ``COVERAGE`` of an item's words, so a reordered passage is caught too.
 
+A stem that many items share costs one pass over sorted arrays: how far its seeds cover an
+item is counted first, and places are paired only for items that the seeds can cover enough.
+
 The benchmark is a query set: it is read in blocks of at most ``BLOCK_WORDS`` words, each
 broadcast and held against all documents in one pass without a shuffle.  Items of one
-text (case aside) are held once, under their smallest item_id.  Memory is one block and one batch.
+text (case aside) are held once, under their smallest item_id.  Memory is one block, as
+sorted arrays built once per Python worker, and one batch; a block is finished before the next.
 
 Defined cases: null and empty texts are clean; items without words are left out; items
 shorter than ``TILE`` words are sought whole; an empty table on either side flags nothing;
-a null doc_id is judged like any other; other columns pass through ``keep_clean`` unchanged.
+a null doc_id is judged like any other; rows repeated in full share one verdict; a very long
+text is held whole by its task; other columns, whatever their names, pass through
+``keep_clean`` unchanged.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,36 +53,77 @@ def word_list(text: str | None) -> list[str]:
 
 
 class Items:
-    """Seeds of a block of benchmark items."""
+    """Seeds of a block of benchmark items, as arrays sorted by hash."""
 
-    def __init__(self, items: list[tuple[int, str]], tile: int = TILE):
-        self.tile, self.number, self.words, self.seeds = tile, {}, {}, {}
-        by_length: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+    def __init__(self, items: list[tuple[object, str]], tile: int = TILE):
+        self.number: dict[str, int] = {}
+        self.names, parts = [], []
         for item, text in items:
-            ids = np.array([self.number.setdefault(w, len(self.number)) for w in word_list(text)], np.int64)
-            if len(ids):
-                self.words[item] = ids
-                size = min(tile, len(ids))
-                for at, h in enumerate(rolling(ids, size).tolist()):
-                    by_length[size][h].append((item, at))
-        self.seeds = {size: (np.sort(np.fromiter(table, np.uint64, len(table))), dict(table)) for size, table in by_length.items()}
-
-    def hits(self, text: str) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
-        """Word numbers of the text, and per item the (item position, text position) of common seeds."""
+            ids = [self.number.setdefault(w, len(self.number)) for w in word_list(text)]
+            if ids:
+                self.names.append(item)
+                parts.append(np.array(ids, np.int32))
+        self.length = np.array([len(p) for p in parts], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        sizes = np.minimum(self.length, tile)
+        #: per seed size: different hashes, where their places begin, places (positions in flat)
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(sizes).tolist():
+            of = np.nonzero(sizes == size)[0]
+            at = _ranges(self.first[of], self.length[of] - size + 1).astype(np.int32)
+            h = rolling(self.flat, size)[at]
+            order = np.argsort(h, kind="stable")
+            hashes, begin = np.unique(h[order], return_index=True)
+            self.seeds[size] = hashes, np.append(begin, len(h)), at[order]
+
+    def hits(self, text: str, least: float = 0.0) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+        """Seed size, item positions and text positions of the common seeds, per number of an item that they cover by ``least``."""
         tokens = word_list(text)
         get = self.number.get
         ids = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for size, (sorted_hashes, table) in self.seeds.items():
+        found = {}
+        for size, (hashes, begin, places) in self.seeds.items():
             if len(ids) < size:
                 continue
             h = rolling(ids, size)
-            at = np.minimum(np.searchsorted(sorted_hashes, h), len(sorted_hashes) - 1)
-            for j in np.nonzero(sorted_hashes[at] == h)[0].tolist():
-                for item, i in table[int(h[j])]:
-                    if (self.words[item][i:i + size] == ids[j:j + size]).all():
-                        found[item].append((i, j))
-        return ids, found
+            seed = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            there = np.nonzero(hashes[seed] == h)[0]
+            there = there[np.argsort(seed[there], kind="stable")]
+            seeds, start, times = np.unique(seed[there], return_index=True, return_counts=True)
+            if not len(seeds):
+                continue
+            n = begin[seeds + 1] - begin[seeds]
+            at = places[_ranges(begin[seeds], n)].astype(np.int64)
+            order = np.argsort(at)
+            at, which = at[order], np.repeat(np.arange(len(seeds)), n)[order]
+            item = np.searchsorted(self.first, at, "right") - 1
+            cuts = np.nonzero(np.diff(item, prepend=-1))[0]
+            # words that the seeds cover: of each place those before the next one of the item
+            reach = np.minimum(np.diff(at, append=at[-1] + size), size)
+            reach[np.append(cuts[1:], len(at)) - 1] = size
+            enough = np.add.reduceat(reach, cuts) >= least * self.length[item[cuts]]
+            keep = np.repeat(enough, np.diff(np.append(cuts, len(at))))
+            at, which, item = at[keep], which[keep], item[keep]
+            # pair the places in items with those in the text, and compare words
+            i, item = np.repeat(at, times[which]), np.repeat(item, times[which])
+            j = there[_ranges(start[which], times[which])]
+            same = np.ones(len(i), bool)
+            for k in range(size):
+                same &= self.flat[i + k] == ids[j + k]
+            i, j, item = i[same], j[same], item[same]
+            if not len(item):
+                continue
+            cuts = np.nonzero(np.diff(item, prepend=-1))[0]
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(item)], strict=True):
+                found[int(item[a])] = size, i[a:b] - self.first[item[a]], j[a:b]
+        return found
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], ..., first[0] + n[0] - 1, first[1], ..."""
+    total = int(n.sum())
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(total)
 
 
 def rolling(ids: np.ndarray, size: int) -> np.ndarray:
@@ -82,7 +131,7 @@ def rolling(ids: np.ndarray, size: int) -> np.ndarray:
     h = np.zeros(len(ids) - size + 1, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(size):
-            h = h * np.uint64(_BASE) + (ids[k:len(ids) - size + 1 + k] + 2).astype(np.uint64)
+            h = h * np.uint64(_BASE) + ids[k:len(ids) - size + 1 + k].astype(np.uint64) + np.uint64(2)
     return h
 
 
@@ -127,23 +176,27 @@ def covered(items: Items, text: str | None, least: float = COVERAGE) -> list[tup
     """(item, coverage, tiles) of the items that a text covers by at least ``least``."""
     if not text:
         return []
-    _, found = items.hits(text)
     out = []
-    for item, hits in found.items():
-        length = len(items.words[item])
-        size = min(items.tile, length)
-        marked = np.zeros(length, bool)
-        for i in {i for i, _ in hits}:
-            marked[i:i + size] = True
-        if marked.sum() < least * length:  # tiles cannot cover more than the seeds do
-            continue
-        laid = tiles(hits, size)
+    for number, (size, at, there) in items.hits(text, least).items():
+        length = int(items.length[number])
+        laid = tiles(list(zip(at.tolist(), there.tolist(), strict=True)), size)
         share = sum(n for _, _, n in laid) / length
         if share >= least:
-            out.append((item, share, len(laid)))
+            out.append((items.names[number], share, len(laid)))
     return sorted(out)
 
 
+_BUILT: dict[str, Items] = {}
+
+
+def _items(key: str, shared: Broadcast) -> Items:
+    """The seeds of a broadcast block, built once per Python worker; the block before is let go."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Items(shared.value)
+    return _BUILT[key]
+
+
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
     """Benchmark items of different words in blocks of bounded size, read one partition after the other."""
     text = F.lower(F.trim(F.coalesce(F.col("text"), F.lit(""))))
@@ -168,10 +221,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE)
     item_type = to_arrow_type(kind)
     out = None
     for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
+        shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            items = _items(key, shared)
             for batch in batches:
                 rows = [(k, *hit) for k, text in enumerate(batch.column("text")) for hit in covered(items, text.as_py(), least)]
                 at = pa.array([r[0] for r in rows], pa.int64())
@@ -180,7 +233,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE)
                      pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int32())],
                     ["doc_id", "item_id", "coverage", "n_tiles"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = materialise(docs.select("doc_id", "text").mapInArrow(run, schema), "contaminated")
+        shared.unpersist()
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], schema)
@@ -193,10 +247,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -
     """The rows of ``docs`` that cover no item; columns unchanged."""
     spark, first = docs.sparkSession, True
     for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
+        shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            items = _items(key, shared)
             for batch in batches:
                 clean = [not covered(items, text.as_py(), least) for text in batch.column("text")]
                 yield batch.filter(pa.array(clean, pa.bool_()))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -331,3 +332,49 @@ def test_decontamination(spark, documents):
     assert {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - set(got)
     blocks = list(decontam.item_blocks(benchmark, block_words=100))
     assert len(blocks) > 3 and sorted(i for b in blocks for i, _ in b) == [i for i, _ in items]
+
+
+def plain_coverage(item, text, tile=5):
+    """Greedy tiling by looking for the longest unmarked common run again and again."""
+    a, b = decontam.word_list(item), decontam.word_list(text)
+    size, free_a, free_b, total = min(tile, len(a)), [True] * len(a), [True] * len(b), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < size:
+            return total / len(a)
+        total += n
+        free_a[i:i + n], free_b[j:j + n] = [False] * n, [False] * n
+
+
+def test_coverage_against_plain_tiling():
+    rnd = random.Random(41)
+    seen = 0
+    for _ in range(60):
+        bench = [(k, " ".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 25)))) for k in range(6)]
+        bench = list({t: (k, t) for k, t in bench}.values())
+        items = decontam.Items(bench)
+        text = " ".join(rnd.choice(["a", "b", "c", "zz"]) for _ in range(rnd.randrange(1, 60)))
+        want = {k: c for k, t in bench if (c := plain_coverage(t, text)) >= decontam.COVERAGE}
+        got = {k: c for k, c, _ in decontam.covered(items, text)}
+        assert got == pytest.approx(want)
+        seen += len(want)
+    assert seen > 30
+
+
+def test_a_stem_that_all_items_share():
+    stem = "which of the following statements about the topic is"
+    items = decontam.Items([(i, f"{stem} " + " ".join(f"v{i}x{k}" for k in range(21))) for i in range(50_000)])
+    text = " ".join([stem, "one", stem, "two", stem, "three"])
+    start = time.process_time()
+    for _ in range(5):
+        assert decontam.covered(items, text) == []
+    assert (time.process_time() - start) / 5 < 0.25
+    tail = " ".join(f"v77x{k}" for k in range(21))
+    assert decontam.covered(items, f"{text} {tail}") == [(77, 1.0, 2)]
