@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fidelis.operators.knn import knn, knn_compared
+from fidelis.operators.knn import _Best, _meet, knn, knn_compared
 from fidelis.operators.knn_approx import PairBudgetExceeded, knn_approx
+from fidelis.operators.privacy import dcr
 from fidelis.sources.panel import VARIABLES, load_panel
 
 from .conftest import SF_SMALL
@@ -77,3 +78,28 @@ def test_approximate_search(spark):
     assert (both.ref_id_x == both.ref_id_y).mean() >= 0.9 and (near.groupby("technique").recall.first() >= 0.85).all()
     with pytest.raises(PairBudgetExceeded):
         knn_approx(syn, real, FEATS, 1, pair_budget=100, **args)
+
+
+def test_equal_rows_leave_k_candidates_a_leaf():
+    """A leaf of equal rows keeps at most k candidates of a query row, and few pairs are measured at once."""
+    q, r, ids = np.zeros((300, 2)), np.zeros((4000, 2)), np.arange(4000)[::-1].copy()
+    best = _Best(np.full(300, np.inf), 2)
+    _meet(best, q, np.arange(300), r, ids)
+    assert sum(len(rows) for rows, _, _ in best.rows) == 600
+    rows, d, found = best.result()
+    assert list(rows) == [i for i in range(300) for _ in (0, 1)] and set(found) == {0, 1} and not d.any()
+
+
+def test_dcr_searches_once(spark):
+    """Mean, minimum and percentile of the distances read one search."""
+    ran = spark.sparkContext.accumulator(0)
+
+    def search(batches):
+        for b in batches:
+            ran.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([("S", 1, i, 1, float(i), i) for i in range(50)], "technique string, replicate int, row_id long, rank int, dist double, ref_id long")
+    got = dcr(rows.mapInPandas(search, rows.schema)).first()
+    assert (got.dcr_mean, got.dcr_min, got.dcr_p05) == (24.5, 0.0, pytest.approx(np.percentile(np.arange(50), 5)))
+    assert ran.value == 50
