@@ -1,6 +1,7 @@
 """Exact quantiles of all pair distances, and the membership proxy, against numpy on every pair."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,17 @@ def test_only_straddling_pairs_are_expanded(spark):
     r = pairs.PairDistances(df, df.drop("g"), ["u", "v"], ["g"], "id", 20).quantile(0.01)[0]
     assert r["expanded"] < 0.3 * r["pairs"]
     assert r["value"] == pytest.approx(np.percentile(_all(far, far), 1), rel=1e-12)
+
+
+def test_a_row_travels_few_times_and_only_the_last_pass_lists():
+    """A node of up to 65,536 rows is one block, and a wide bracket holds no distances."""
+    assert pairs.BLOCK >= 65_536
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(300, 2)), rng.normal(size=(20_000, 2))
+    a, b = (pd.DataFrame(m, columns=["u", "v"]).assign(_leaf=0) for m in (x, y))
+    d = _all(x, y).ravel()
+    below, counts, expanded, found = pairs.count_block(a, b, ["u", "v"], ["u", "v"], np.linspace(0.5, 2.0, 4))
+    assert below == (d < 0.5).sum() and expanded == d.size and not len(found)
+    assert list(counts) == [((d >= lo) & (d < hi)).sum() for lo, hi in ((0.5, 1.0), (1.0, 1.5), (1.5, 2.0))]
+    listed = pairs.count_block(a, b, ["u", "v"], ["u", "v"], np.array([0.5, 0.51]))[3]
+    np.testing.assert_allclose(np.sort(listed), np.sort(d[(d >= 0.5) & (d < 0.51)]))
