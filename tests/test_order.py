@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fidelis.operators.marginal import exact_quantiles, ks_two_sample
-from fidelis.operators.order import cumulative_counts
+from fidelis.operators.order import cumulative_counts, with_row_index
 from fidelis.operators.rules import Rule, flag_rules
 
 
@@ -49,3 +49,14 @@ def test_rules_on_nan_text_and_null(spark):
     assert {r.row_id for r in flag_rules(df, rules).filter(F.col("failed_rule") == 0).collect()} == {3, 4}
     strict = {r.row_id: r.failed_rule for r in flag_rules(df, rules, null_fails=True, drop_na=False).collect()}
     assert strict == {1: None, 2: 1, 3: 1, 4: 1, 5: 2}
+
+
+def test_row_index_needs_no_checkpoint(spark, monkeypatch):
+    """Numbers follow the order, nulls first, whatever the partitions; the rows are written as a table."""
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda *_, **__: pytest.fail("checkpoint"))
+    rows = [(None if i % 50 == 0 else i * 7 % 101, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    want = {r: k for k, r in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])), 1)}
+    for parts in (1, 5):
+        got = with_row_index(df, ["a", "b"], "n", parts).collect()
+        assert {(r.a, r.b): r.n for r in got} == want and len(got) == len(rows)
