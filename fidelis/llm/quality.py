@@ -32,6 +32,7 @@ result; other columns, whatever their names, pass through ``keep_good`` unchange
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -243,8 +244,17 @@ def mcd(rows: DataFrame, keys: list[str], support: float = SUPPORT) -> DataFrame
 KEYS = ["_lang", "_source", "_small"]
 
 
-def _with_sampling_variance(df: DataFrame) -> DataFrame:
-    """_l** becomes the factor of the group's covariance plus the sampling variance of the row's statistics."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it and wherever the optimiser moves the column."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _own_distance() -> Column:
+    """Squared distance of the row's vector under its group's covariance plus the sampling variance of its own statistics.
+
+    A factor's entry uses those before it twice and more; as plain columns a filter on the distance
+    would unfold them into an expression too large to be compiled, so every entry is bound once.
+    """
     n, lines = F.greatest(F.col("n_words"), F.lit(1)).cast("double"), F.greatest(F.col("_n_lines"), F.lit(1)).cast("double")
     symbol = 10 / n / (1 + F.col("n_symbols") * 10 / n)
     own = [
@@ -253,16 +263,34 @@ def _with_sampling_variance(df: DataFrame) -> DataFrame:
         1 / (4 * lines),  # square root of a share of L
         2 / (4 * n),  # the same for words, which repeat in pairs of places
     ]
-    d = range(len(FEATURES))
-    cov = {f"_c{i}{j}": sum((F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}") for k in range(j + 1)), F.lit(0.0)) for i in d for j in range(i + 1)}
-    df = df.withColumns(cov).withColumns({f"_c{i}{i}": F.col(f"_c{i}{i}") + own[i] for i in d})
-    for i in d:
-        for j in range(i + 1):
-            rest = F.col(f"_c{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
-            df = df.withColumn(f"_l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"_l{j}{j}"))
-    return df.drop(*cov)
+    d = len(FEATURES)
+    l, z = {}, []  # noqa: E741
+
+    def entry(i: int, j: int) -> Column:
+        rest = sum((F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}") for k in range(j + 1)), F.lit(0.0))
+        if i == j:
+            rest = rest + own[i]
+        for k in range(j):
+            rest = rest - l[i, k] * l[j, k]
+
+        def following(value: Column) -> Column:
+            l[i, j] = value
+            return entry(i, j + 1) if j < i else solved(i)
+
+        return _let(F.sqrt(rest) if i == j else rest / l[j, j], following)
+
+    def solved(i: int) -> Column:
+        rest = F.col(FEATURES[i]) - F.col(f"_m{i}")
+        for j in range(i):
+            rest = rest - l[i, j] * z[j]
+
+        def following(value: Column) -> Column:
+            z.append(value)
+            return entry(i + 1, 0) if i + 1 < d else sum((v * v for v in z[1:]), z[0] * z[0])
+
+        return _let(rest / l[i, i], following)
+
+    return entry(0, 0)
 
 
 class Estimates:
@@ -285,8 +313,8 @@ class Estimates:
     def judge(self, stats: DataFrame) -> DataFrame:
         """``stats`` with distance2 and kept."""
         limit = _chi2_quantile(1 - TAIL, len(FEATURES))
-        far = _with_sampling_variance(lookup_join(self._grouped(stats), self.params.drop("_det"), KEYS))
-        far = far.withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
+        far = lookup_join(self._grouped(stats), self.params.drop("_det"), KEYS)
+        far = far.withColumn("distance2", F.when(~F.col("base_failed"), _own_distance()))
         # one CASE over both sides of the join: a conjunct on base_failed alone would be pushed below
         # the statistics, and the optimiser would unfold them there for every window of a text
         good = F.when(F.coalesce(F.col("distance2"), F.lit(0.0)) > limit, False).otherwise(~F.col("base_failed"))

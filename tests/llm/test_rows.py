@@ -51,6 +51,14 @@ def statistics(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(cover), failed
 
 
+def test_quality_filter_stays_small(documents):
+    """The optimiser pushes the filter into the distance; an unfolded one is beyond what can be compiled."""
+    kept = quality.keep_good(documents([(i, f"one two three four five six seven eight nine ten w{i}") for i in range(40)]))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_l00") < 60 and plan.count("sqrt(") < 10, len(plan)
+    assert kept.count() == 40
+
+
 def test_quality_statistics_and_verdict(documents):
     rnd = random.Random(5)
     rows = [(i, sentence(rnd, rnd.randrange(10, 200)), "en" if i % 3 else "fr", f"s{i % 2}") for i in range(300)]
