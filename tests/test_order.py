@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fidelis.operators.marginal import exact_quantiles, ks_two_sample
-from fidelis.operators.order import cumulative_counts, with_row_index
+from fidelis.operators.order import cumulative_counts, ranked_rows, with_row_index
 from fidelis.operators.rules import Rule, flag_rules
 
 
@@ -60,3 +60,20 @@ def test_row_index_needs_no_checkpoint(spark, monkeypatch):
     for parts in (1, 5):
         got = with_row_index(df, ["a", "b"], "n", parts).collect()
         assert {(r.a, r.b): r.n for r in got} == want and len(got) == len(rows)
+
+
+def test_ranked_rows_moves_rows_once(spark):
+    """Ties over slices are whole, and no join shuffles the rows again."""
+    rows = [("a" if i % 3 else "b", float(i * 7 % 5 if i % 2 else 2), i, i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, x double, id int, w int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ranked_rows(df, ["k"], "x", ["w"], "id", 16)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        got = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == len(rows)
+    for r in got:
+        own = [(x, w) for k, x, _, w in rows if k == r.k]
+        assert (r.below_w, r.at_w) == (sum(w for x, w in own if x < r.x), sum(w for x, w in own if x == r.x))
