@@ -157,3 +157,12 @@ def test_reports_hold_all_their_metrics(spark):
     want = spec[spec.technique != "REAL"].groupby("technique")[["eig_l2", "eig_cosine"]].mean()
     np.testing.assert_allclose(dep.loc[want.index, ["eig_l2", "eig_cosine"]], want, atol=2e-6)
     np.testing.assert_allclose(dep.loc[matrix.index, matrix.columns], matrix, atol=2e-6)
+
+
+@pytest.mark.parametrize("call", [MV.mahalanobis_outliers, MV.pca_scores])
+def test_rows_are_not_shuffled_by_dataset(spark, big, call):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in call(big, ITEMS)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
