@@ -160,9 +160,11 @@ def test_reports_hold_all_their_metrics(spark):
 
 
 @pytest.mark.parametrize("call", [MV.mahalanobis_outliers, MV.pca_scores])
-def test_rows_are_not_shuffled_by_dataset(spark, big, call):
+def test_rows_are_not_shuffled_by_dataset(spark, call):
+    rows = [("REAL" if i % 2 else "S", 0, *(float(i * k % 11) for k in range(1, 1 + len(ITEMS)))) for i in range(60)]
+    df = spark.createDataFrame(rows, ["technique", "replicate", *ITEMS])
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "SortMergeJoin" not in call(big, ITEMS)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in call(df, ITEMS)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
