@@ -103,3 +103,34 @@ def test_dcr_searches_once(spark):
     got = dcr(rows.mapInPandas(search, rows.schema)).first()
     assert (got.dcr_mean, got.dcr_min, got.dcr_p05) == (24.5, 0.0, pytest.approx(np.percentile(np.arange(50), 5)))
     assert ran.value == 50
+
+
+def _shuffles_on_disk(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {str(blocks.apply(i)) for i in range(blocks.size()) if str(blocks.apply(i)).startswith("shuffle_")}
+
+
+def test_materialise_leaves_no_shuffle_files(spark):
+    from fidelis.session import materialise
+
+    before = _shuffles_on_disk(spark)
+    out = materialise(spark.range(5000).groupBy((F.col("id") % 97).alias("k")).agg(F.sum("id").alias("s")), "test")
+    assert not _shuffles_on_disk(spark) - before
+    assert out.count() == 97
+
+
+def test_approximate_search_in_passes_equals_one_pass(spark, monkeypatch):
+    from fidelis.operators import knn_approx as KA
+
+    rng = np.random.default_rng(8)
+    rows = rng.standard_normal((900, 3)).round(2).tolist() + [[0.5, 0.5, 0.5]] * 60
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "row_id long, x double, y double, z double")
+    q, r = df.filter("row_id % 3 = 0").withColumn("d", F.col("row_id") % 2), df.filter("row_id % 3 <> 0")
+    monkeypatch.setattr(KA, "R_BLOCK", 16)  # large cells are split into blocks as well
+    monkeypatch.setattr(KA, "Q_BLOCK", 16)
+    got = {}
+    for tables in (5, KA.TABLES):
+        monkeypatch.setattr(KA, "PASS_TABLES", tables)
+        found = KA.knn_approx(q, r, ["x", "y", "z"], 2, query_id="row_id", ref_id="row_id", carry=["d"], pair_budget=1e9)
+        got[tables] = sorted(map(tuple, found.collect()))
+    assert got[5] == got[KA.TABLES] and len(got[5]) > 300
