@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.session import materialise, shared_path
+from fidelis.session import materialise, open_store, shared_path
 
 __all__ = ["lookup_join", "materialise", "open_store", "read_table", "shared_path", "words"]
 
@@ -49,12 +49,3 @@ def lookup_join(left: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> Data
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def open_store(uri: str):
-    """(pyarrow filesystem, path) of a shared folder or file, for byte-range access inside tasks."""
-    from pyarrow import fs
-
-    if uri.startswith("file:/"):
-        uri = "file:///" + uri[len("file:"):].lstrip("/")
-    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))

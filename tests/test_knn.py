@@ -80,6 +80,39 @@ def test_approximate_search(spark):
         knn_approx(syn, real, FEATS, 1, pair_budget=100, **args)
 
 
+def _bytes_below(folder):
+    import os
+
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder.removeprefix("file:")) for f in files)
+
+
+def test_query_rows_are_not_sent_to_every_cell_they_reach(spark):
+    """Ten features without structure: a row's ball reaches most cells, and still neither side is written or shuffled more than a few times."""
+    from fidelis.session import checkpoint_dir
+
+    x = [f"x{i}" for i in range(10)]
+    rows = spark.range(6000).select("id", *[F.rand(i).alias(c) for i, c in enumerate(x)])
+    q, r = rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")
+    before = _bytes_below(checkpoint_dir(spark))
+    found = knn(q, r, x, 1, query_id="id", ref_id="id", leaf_rows=4)
+    assert found.count() == 3000
+    assert _bytes_below(checkpoint_dir(spark)) - before < 6 * 6000 * 8 * len(x)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "xplode" not in plan
+
+
+def test_far_values_and_huge_norms_are_searched_exactly(spark):
+    """Rows about 1e8 apart from 0 and rows beyond single precision: the screen must not lose a neighbour."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([1e8 + rng.normal(size=(300, 3)), rng.normal(size=(100, 3)) * 1e18, rng.normal(size=(300, 3)) * 1e-3])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, u double, v double, w double")
+    found = knn(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), ["u", "v", "w"], 2, query_id="id", ref_id="id", leaf_rows=4).collect()
+    got = {(r.id, r["rank"]): (r.dist, r.ref_id) for r in found}
+    for i in range(0, len(x), 2):
+        d = sorted((float(np.sqrt(((x[j] - x[i]) ** 2).sum())), j) for j in range(1, len(x), 2))[:2]
+        assert [got[i, 1], got[i, 2]] == [(pytest.approx(a, rel=1e-12), j) for a, j in d]
+
+
 def test_equal_rows_leave_k_candidates_a_leaf():
     """A leaf of equal rows keeps at most k candidates of a query row, and few pairs are measured at once."""
     q, r, ids = np.zeros((300, 2)), np.zeros((4000, 2)), np.arange(4000)[::-1].copy()
