@@ -71,3 +71,24 @@ def test_a_row_travels_few_times_and_only_the_last_pass_lists():
     assert list(counts) == [((d >= lo) & (d < hi)).sum() for lo, hi in ((0.5, 1.0), (1.0, 1.5), (1.5, 2.0))]
     listed = pairs.count_block(a, b, ["u", "v"], ["u", "v"], np.array([0.5, 0.51]))[3]
     np.testing.assert_allclose(np.sort(listed), np.sort(d[(d >= 0.5) & (d < 0.51)]))
+
+
+def test_few_true_finds_every_position():
+    from fidelis.operators.knn import few_true
+
+    rng = np.random.default_rng(5)
+    for n, share in ((0, 0.5), (5, 1.0), (64, 0.0), (1000, 0.01), (1003, 0.4), (8191, 0.001)):
+        mask = rng.random(n) < share
+        assert (few_true(mask) == np.flatnonzero(mask)).all() and len(few_true(mask)) == mask.sum()
+
+
+def test_a_wide_bracket_needs_one_counting_pass(spark, monkeypatch):
+    """Half a million distances in the first bracket: one pass of bins, one that lists; 256 bins took two."""
+    monkeypatch.setattr(pairs, "LISTED", 400)
+    df = spark.range(3000).select("id", F.rand(1).alias("u"), F.rand(2).alias("v"), F.lit("A").alias("t"))
+    p = pairs.PairDistances(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), ["u", "v"], ["t"], "id")
+    found = p.quantile(0.5)[0]
+    assert found["passes"] == 2
+    x = df.toPandas()
+    a, b = x[x.id % 2 == 0][["u", "v"]].to_numpy(), x[x.id % 2 == 1][["u", "v"]].to_numpy()
+    assert found["value"] == pytest.approx(np.quantile(np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)), 0.5), abs=1e-12)
