@@ -96,3 +96,13 @@ def test_ranked_rows_moves_rows_once(spark):
     for r in got:
         own = [(x, w) for k, x, _, w in rows if k == r.k]
         assert (r.below_w, r.at_w) == (sum(w for x, w in own if x < r.x), sum(w for x, w in own if x == r.x))
+
+
+def test_dependency_metrics_rank_the_rows_once(spark):
+    """The comparisons read written correlations: no pass over rows is left in their plan."""
+    from fidelis.plans import q_dependency as Q
+
+    found = Q._dependency_metrics(spark, "/root/testdata/sf0.001", eigen=False)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "panel-" not in plan
+    assert found.count() == 3
